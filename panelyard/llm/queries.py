@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, urls
+from . import bpe, mixing, tokencount, urls
 
 QUERIES = {
+    "op3_token_counts": tokencount.op3,
+    "op5_byte_bpe": bpe.op5,
     "op7_url_filter": urls.op7,
     "op8_mix_sources": mixing.op8,
 }
