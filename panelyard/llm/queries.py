@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, tokencount, urls
+from . import bpe, langid, mixing, quality, tokencount, urls
 
 QUERIES = {
+    "op1_language_id": langid.op1,
     "op3_token_counts": tokencount.op3,
     "op5_byte_bpe": bpe.op5,
     "op7_url_filter": urls.op7,
     "op8_mix_sources": mixing.op8,
+    "op10_quality": quality.op10,
 }
 ORACLES = {
     "op7_url_filter": urls.OP7_SQL,
