@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, mixing, quality, tokencount, urls
+from . import bpe, langid, lcp, mixing, quality, tokencount, urls
 
 QUERIES = {
     "op1_language_id": langid.op1,
+    "op2_fingerprints": lcp.op2,
     "op3_token_counts": tokencount.op3,
     "op5_byte_bpe": bpe.op5,
     "op7_url_filter": urls.op7,
