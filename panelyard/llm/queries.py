@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, lcp, mixing, quality, tokencount, urls
+from . import bpe, langid, lcp, mixing, quality, tokencount, urls, warc
 
 QUERIES = {
     "op1_language_id": langid.op1,
@@ -11,9 +11,11 @@ QUERIES = {
     "op5_byte_bpe": bpe.op5,
     "op7_url_filter": urls.op7,
     "op8_mix_sources": mixing.op8,
+    "op9_warc": warc.op9,
     "op10_quality": quality.op10,
 }
 ORACLES = {
     "op7_url_filter": urls.OP7_SQL,
     "op8_mix_sources": mixing.OP8_SQL,
+    "op9_warc": warc.OP9_SQL,
 }
