@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, lcp, mixing, neardup, quality, tokencount, urls, warc
+from . import ann, bpe, langid, lcp, mixing, neardup, quality, tokencount, urls, warc
 
 QUERIES = {
     "op1_language_id": langid.op1,
     "op2_fingerprints": lcp.op2,
     "op3_token_counts": tokencount.op3,
+    "op4_nearest_neighbours": ann.op4,
     "op5_byte_bpe": bpe.op5,
     "op6_near_duplicates": neardup.op6,
     "op7_url_filter": urls.op7,
