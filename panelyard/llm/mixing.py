@@ -35,7 +35,7 @@ def _due(share: Column, slope: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, slope: float = SLOPE) -> DataFrame:
-    """One row per source: its words, weight, schedule slope and target.
+    """One row per source: source_size, target, slope. sizes: source, size; many rows a source.
 
     Water filling in closed form: with sources ordered by cap / weight, the level is found at the
     first source whose cap exceeds it.  The single-partition windows see one row per source.
@@ -65,48 +65,65 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, slope: float = SLOPE) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, copies, first_position per document.
+    """The documents (all columns) with a struct ``__mix``: size, source_size, target, slope, goal, start, passes, taken.
 
     ``taken`` counts the words the mix takes, repeats included: every full pass over the source
     takes each document whole, the last pass ends within one document, so that a source's taken
-    words are its target rounded to a word.  ``first_position`` is null where nothing is taken.
+    words are its target rounded to a word.  ``start`` is the place of the document's first word in
+    its source's stream.
 
     The running total within a source is two-level: MD5 prefixes split each source in 4096 blocks,
-    so the largest source is summed by many tasks and only block sums meet in one.
+    so the largest source is summed by many tasks and only block sums meet in one.  Source figures
+    travel with the block sums, so the documents are shuffled once, by source and block.
     """
-    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    rows = rows.withColumn("k", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).withColumn("block", F.substring("k", 1, 3))
-    targets = source_targets(rows, weights, max_epochs, slope)
-    blocks = rows.groupBy("source", "block").agg(F.sum("size").alias("words"))
-    offset = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("offset", F.coalesce(F.sum("words").over(offset), F.lit(0))).select(F.col("source").alias("s1"), F.col("block").alias("b1"), "offset")
-    inside = Window.partitionBy("source", "block").orderBy("k", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rows = rows.join(blocks, F.col("source").eqNullSafe(F.col("s1")) & (F.col("block") == F.col("b1")))
-    targets = targets.withColumnRenamed("source", "s2")
-    rows = rows.join(targets, F.col("source").eqNullSafe(F.col("s2")))
-    goal = F.round("target").cast("long")
-    start = F.col("offset") + F.col("inner")
-    passes = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rows = rows.withColumn("goal", goal).withColumn("start", start).withColumn("passes", passes)
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("goal") - F.col("passes") * F.col("source_size") - F.col("start"))).cast("long")
-    rows = rows.withColumn("part", part).withColumn("taken", F.col("passes") * F.col("size") + F.col("part"))
-    share = F.col("start").cast("double") / F.col("goal").cast("double")
-    return rows.select(
-        "doc_id",
-        "source",
-        "size",
-        "source_size",
-        "target",
-        "taken",
-        (F.col("passes") + F.when(F.col("part") * 2 > F.col("size"), 1).otherwise(0)).cast("int").alias("copies"),
-        F.when((F.col("taken") > 0) & (F.col("goal") > 0), F.round(_due(share, F.col("slope")), 9)).alias("first_position"),
+    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    narrow = docs.select("source", key.alias("key"), size.alias("size"), F.substring(order, 1, 3).alias("block"))
+    blocks = narrow.groupBy("source", "key", "block").agg(F.sum("size").alias("size"))
+    targets = source_targets(blocks, weights, max_epochs, slope).withColumn("t_key", key).drop("source")
+    offset = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("offset", F.coalesce(F.sum("size").over(offset), F.lit(0))).join(targets, F.col("key") == F.col("t_key"))
+    blocks = blocks.select(F.col("key").alias("__k"), F.col("block").alias("__b"), F.struct("source_size", "target", "slope", "offset").alias("__of"))
+    rows = docs.select("*", key.alias("__key"), F.substring(order, 1, 3).alias("__block"), order.alias("__order"), size.alias("__size"))
+    inside = Window.partitionBy("__key", "__block").orderBy("__order", "__size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__inner", F.coalesce(F.sum("__size").over(inside), F.lit(0)))
+    rows = rows.join(blocks, (F.col("__key") == F.col("__k")) & (F.col("__block") == F.col("__b")))
+    of = F.col("__of")
+    rows = rows.withColumn("__goal", F.round(of["target"]).cast("long")).withColumn("__start", of["offset"] + F.col("__inner"))
+    rows = rows.withColumn("__passes", F.when(of["source_size"] > 0, F.floor(F.col("__goal") / of["source_size"])).otherwise(F.lit(0)).cast("long"))
+    part = F.greatest(F.lit(0), F.least(F.col("__size"), F.col("__goal") - F.col("__passes") * of["source_size"] - F.col("__start"))).cast("long")
+    rows = rows.withColumn("__part", part)
+    mixed = F.struct(
+        F.col("__size").alias("size"), of["source_size"].alias("source_size"), of["target"].alias("target"), of["slope"].alias("slope"), F.col("__goal").alias("goal"), F.col("__start").alias("start"),
+        F.col("__passes").alias("passes"), F.col("__part").alias("part"), (F.col("__passes") * F.col("__size") + F.col("__part")).alias("taken"),
     )
+    return rows.select(*[F.col(c) for c in docs.columns], mixed.alias("__mix"))
+
+
+def position(words: Column) -> Column:
+    """Training position at which word number ``words`` of a source's stream is due."""
+    m = F.col("__mix")
+    return F.round(_due(words.cast("double") / m["goal"].cast("double"), m["slope"]), 9)
+
+
+def training_set(docs: DataFrame, **options) -> DataFrame:
+    """The documents (all columns) as often as the mix takes them, range-sorted by position.
+
+    The copy in which a source's last pass ends is there if more than half of it is taken.
+    """
+    m = F.col("__mix")
+    copies = m["passes"] + F.when(m["part"] * 2 > m["size"], 1).otherwise(0)
+    rows = mix(docs, **options).filter(copies > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    at = position(m["start"] + (F.col("__copy") - 1) * m["source_size"])
+    return rows.withColumn("__at", at).orderBy("__at", "doc_id").select(*docs.columns)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(table(spark, sf_dir, "documents"))
-    return mixed.orderBy(F.col("first_position").asc_nulls_last(), "doc_id").select("doc_id", "size", "source_size", "target", "taken", "first_position")
+    m = F.col("__mix")
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    first = F.when((m["taken"] > 0) & (m["goal"] > 0), position(m["start"]))
+    return mixed.select("doc_id", m["size"].alias("size"), m["source_size"].alias("source_size"), m["target"].alias("target"), m["taken"].alias("taken"), first.alias("first_position")).orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
 
 
 #: The same in one DuckDB statement; the running total needs no blocks there.
