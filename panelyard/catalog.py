@@ -328,7 +328,7 @@ def winsorize_sigma(spark, d):
     return _sup(spark, d).select("date", "ticker", xsec.winsorize_sigma(F.col("px"), ["date"], 1.5).alias("px"))
 
 
-@query(f"""WITH {SUP}, e AS (SELECT date, quantile_cont(px, [0.01, 0.99]) AS p FROM sup GROUP BY date) SELECT date, ticker, {r('CASE WHEN p[2] > p[1] THEN greatest(least(px, p[2]), p[1]) ELSE px END AS px')} FROM sup JOIN e USING (date)""")
+@query(f"""WITH {SUP}, e AS (SELECT date, quantile_cont(px, [0.01, 0.99]) AS p FROM sup GROUP BY date) SELECT date, ticker, {r('greatest(least(px, p[2]), p[1]) AS px')} FROM sup JOIN e USING (date)""")
 def pct_winsor_by_date(spark, d):
     return xsec.winsorize_percentiles(_sup(spark, d), "px", ["date"]).select("date", "ticker", "px")
 
@@ -446,7 +446,7 @@ def ic_summary(spark, d):
 
 
 _QR = f"""WITH {SUP}, {RET}, {_z('volume', 'date, sector', 'ret')}, w AS (SELECT date, quantile_cont(ret_fwd_1, [0.01, 0.99]) AS p FROM zt GROUP BY date),
-  cl AS (SELECT date, z, CASE WHEN p[2] > p[1] THEN greatest(least(ret_fwd_1, p[2]), p[1]) ELSE ret_fwd_1 END AS y, ret_fwd_1 FROM zt LEFT JOIN w USING (date)), {_labels_sql('cl', 'z', 'date', 50, 5, True)},
+  cl AS (SELECT date, z, CASE WHEN ret_fwd_1 IS NOT NULL THEN greatest(least(ret_fwd_1, p[2]), p[1]) END AS y, ret_fwd_1 FROM zt LEFT JOIN w USING (date)), {_labels_sql('cl', 'z', 'date', 50, 5, True)},
   qr AS (SELECT date, {', '.join(f'avg(y) FILTER (q = {i}) AS q{i}' for i in range(1, 6))} FROM lb WHERE q IS NOT NULL AND ret_fwd_1 IS NOT NULL GROUP BY date HAVING count(*) >= 50 AND count(DISTINCT q) = 5),
   sp AS (SELECT *, q5 - q1 AS spread FROM qr)"""
 

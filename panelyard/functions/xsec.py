@@ -38,10 +38,10 @@ def group_percentiles(df: DataFrame, x: str, by: Sequence[str], points: Sequence
 
 
 def winsorize_percentiles(df: DataFrame, x: str, by: Sequence[str], low: float = 0.01, high: float = 0.99, out: str | None = None) -> DataFrame:
-    """Clip x to its group's interpolated percentiles; only where the upper exceeds the lower."""
+    """Clip x to its group's interpolated percentiles, also where the two are equal."""
     p = F.col("__p")
     edges = group_percentiles(df, x, by, (low, high), "__p")
-    clipped = F.when(p[1] > p[0], F.greatest(F.least(F.col(x), p[1]), p[0])).otherwise(F.col(x))
+    clipped = F.greatest(F.least(F.col(x), p[1]), p[0])
     return df.join(edges, list(by), "left").withColumn(out or x, F.when(F.col(x).isNotNull(), clipped)).drop("__p")
 
 
