@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Documents that are Python objects at a time; the rest of a batch stays in Arrow.
+ROWS = 256
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share.
@@ -34,3 +41,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """A task's batches in small slices; afterwards its free memory goes back to the system.
+
+    Python workers outlive their tasks, and what their allocators keep counts against the executor.
+    """
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    release()
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 from .pretoken import blocks
 
 #: Levels whose phrase names are sketched, and slots of the sketch (4 hex digits each).
@@ -99,7 +99,7 @@ def level(symbols: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarr
         begins = np.searchsorted(starts, begins)
         symbols = symbols[starts]
         symbols[run] = _mix(symbols[run] + _mix(length[run].astype(np.uint64)))
-        same = np.flatnonzero(symbols[1:] == symbols[:-1]) + 1  # a chance collision
+        same = np.setdiff1d(np.flatnonzero(symbols[1:] == symbols[:-1]) + 1, begins)  # a chance collision
         symbols[same] = _mix(symbols[same] + _U(1))
     n = len(symbols)
     label = symbols
@@ -178,7 +178,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     held: list[tuple] = []  # the last row met: (bucket, doc_id, own, text)
     held_sketch = np.zeros((0, SLOTS), np.uint16)
-    for b in batches:
+    for b in slices(batches):
         columns = [b.column(c).to_pylist() for c in ("bucket", "doc_id", "own", "text")]
         columns[3] = [x or "" for x in columns[3]]
         for lo, hi in blocks(columns[3]):
