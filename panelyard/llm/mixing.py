@@ -13,6 +13,8 @@ empty result; a source without words has target 0.  Extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,8 +66,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
     )
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, slope: float = SLOPE) -> DataFrame:
-    """The documents (all columns) with a struct ``__mix``: size, source_size, target, slope, goal, start, passes, taken.
+def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, slope: float = SLOPE, carry: Sequence[str] | None = None) -> DataFrame:
+    """Two structs per document: ``row`` (all its columns, or those in ``carry``) and ``mix``: size, source_size, target, slope, goal, start, passes, part, taken.
 
     ``taken`` counts the words the mix takes, repeats included: every full pass over the source
     takes each document whole, the last pass ends within one document, so that a source's taken
@@ -84,26 +86,21 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, slope: f
     targets = source_targets(blocks, weights, max_epochs, slope).withColumn("t_key", key).drop("source")
     offset = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("offset", F.coalesce(F.sum("size").over(offset), F.lit(0))).join(targets, F.col("key") == F.col("t_key"))
-    blocks = blocks.select(F.col("key").alias("__k"), F.col("block").alias("__b"), F.struct("source_size", "target", "slope", "offset").alias("__of"))
-    rows = docs.select("*", key.alias("__key"), F.substring(order, 1, 3).alias("__block"), order.alias("__order"), size.alias("__size"))
-    inside = Window.partitionBy("__key", "__block").orderBy("__order", "__size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__inner", F.coalesce(F.sum("__size").over(inside), F.lit(0)))
-    rows = rows.join(blocks, (F.col("__key") == F.col("__k")) & (F.col("__block") == F.col("__b")))
-    of = F.col("__of")
-    rows = rows.withColumn("__goal", F.round(of["target"]).cast("long")).withColumn("__start", of["offset"] + F.col("__inner"))
-    rows = rows.withColumn("__passes", F.when(of["source_size"] > 0, F.floor(F.col("__goal") / of["source_size"])).otherwise(F.lit(0)).cast("long"))
-    part = F.greatest(F.lit(0), F.least(F.col("__size"), F.col("__goal") - F.col("__passes") * of["source_size"] - F.col("__start"))).cast("long")
-    rows = rows.withColumn("__part", part)
-    mixed = F.struct(
-        F.col("__size").alias("size"), of["source_size"].alias("source_size"), of["target"].alias("target"), of["slope"].alias("slope"), F.col("__goal").alias("goal"), F.col("__start").alias("start"),
-        F.col("__passes").alias("passes"), F.col("__part").alias("part"), (F.col("__passes") * F.col("__size") + F.col("__part")).alias("taken"),
-    )
-    return rows.select(*[F.col(c) for c in docs.columns], mixed.alias("__mix"))
+    blocks = blocks.select("key", "block", F.struct("source_size", "target", "slope", "offset").alias("of"))
+    rows = docs.select(F.struct(*(carry or docs.columns)).alias("row"), key.alias("key"), F.substring(order, 1, 3).alias("block"), order.alias("order"), size.alias("size"))
+    inside = Window.partitionBy("key", "block").orderBy("order", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(blocks, ["key", "block"])
+    of = F.col("of")
+    rows = rows.withColumn("goal", F.round(of["target"]).cast("long")).withColumn("start", of["offset"] + F.col("inner"))
+    rows = rows.withColumn("passes", F.when(of["source_size"] > 0, F.floor(F.col("goal") / of["source_size"])).otherwise(F.lit(0)).cast("long"))
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("goal") - F.col("passes") * of["source_size"] - F.col("start"))).cast("long")
+    rows = rows.withColumn("part", part).withColumn("taken", F.col("passes") * F.col("size") + F.col("part"))
+    return rows.select("row", F.struct("size", of["source_size"].alias("source_size"), of["target"].alias("target"), of["slope"].alias("slope"), "goal", "start", "passes", "part", "taken").alias("mix"))
 
 
 def position(words: Column) -> Column:
     """Training position at which word number ``words`` of a source's stream is due."""
-    m = F.col("__mix")
+    m = F.col("mix")
     return F.round(_due(words.cast("double") / m["goal"].cast("double"), m["slope"]), 9)
 
 
@@ -112,18 +109,18 @@ def training_set(docs: DataFrame, **options) -> DataFrame:
 
     The copy in which a source's last pass ends is there if more than half of it is taken.
     """
-    m = F.col("__mix")
+    m = F.col("mix")
     copies = m["passes"] + F.when(m["part"] * 2 > m["size"], 1).otherwise(0)
-    rows = mix(docs, **options).filter(copies > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
-    at = position(m["start"] + (F.col("__copy") - 1) * m["source_size"])
-    return rows.withColumn("__at", at).orderBy("__at", "doc_id").select(*docs.columns)
+    rows = mix(docs, **options).filter(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    at = position(m["start"] + (F.col("copy") - 1) * m["source_size"])
+    return rows.withColumn("at", at).orderBy("at", "row.doc_id").select("row.*")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = F.col("__mix")
-    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    m = F.col("mix")
+    mixed = mix(table(spark, sf_dir, "documents"), carry=["doc_id"])
     first = F.when((m["taken"] > 0) & (m["goal"] > 0), position(m["start"]))
-    return mixed.select("doc_id", m["size"].alias("size"), m["source_size"].alias("source_size"), m["target"].alias("target"), m["taken"].alias("taken"), first.alias("first_position")).orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
+    return mixed.select("row.doc_id", m["size"].alias("size"), m["source_size"].alias("source_size"), m["target"].alias("target"), m["taken"].alias("taken"), first.alias("first_position")).orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
 
 
 #: The same in one DuckDB statement; the running total needs no blocks there.
