@@ -29,13 +29,13 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import release, slices, table
 from .pretoken import blocks, splitter
 
 #: Bytes above which a pre-token is contracted with a heap.
 LONG = 256
 #: Words that one recursive query contracts, and words whose ids a task remembers; both bound memory.
-BATCH, REMEMBER = 60_000, 400_000
+BATCH, REMEMBER = 30_000, 300_000
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
@@ -79,7 +79,7 @@ class Encoder:
         get = self.ranks.get
         pairs = [(get(t[:i]), get(t[i:]), rank) for t, rank in self.ranks.items() for i in range(1, len(t))]
         pairs = [p for p in pairs if p[0] is not None and p[1] is not None]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         merges = pa.table(dict(zip(("l", "r", "merged"), (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True)), strict=True)))
         tokens = pa.table({"id": pa.array(self.bytes_of, pa.int32()), "hex": [t.hex() for t in self.bytes_of.values()]})
         for name, rows in (("merges", merges), ("tokens", tokens)):
@@ -155,7 +155,7 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str, k
     """doc_id and text in; ids, counts and digests out."""
     split, own = splitter(pattern), encoder(path)
     known, ids_of, bytes_of = own.ids, own.ids.__getitem__, own.decoded.__getitem__
-    for batch in batches:
+    for batch in slices(batches):
         texts = [x or "" for x in batch.column("text").to_pylist()]
         n, ids_sha, decoded_sha, ids_out = [], [], [], []
         for a, b in blocks(texts):
@@ -176,6 +176,9 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str, k
         if keep_ids:
             columns["ids"] = pa.array(ids_out, pa.list_(pa.int32()))
         yield pa.RecordBatch.from_pydict(columns)
+    own.ids.clear()
+    own.decoded.clear()
+    release()
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, keep_ids: bool = False) -> DataFrame:

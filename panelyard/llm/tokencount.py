@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
-from .common import table
+from .common import slices, table
 from .pretoken import splitter
 
 #: Tokens that fit the model's context.
 LIMIT = 2048
 #: Pre-tokens whose counts a task remembers.
-REMEMBER = 1_000_000
+REMEMBER = 500_000
 
 SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
 
@@ -109,7 +109,7 @@ def counter(path: str) -> Counter:
 
 def count_batches(batches: Iterator[pa.RecordBatch], path: str, limit: int) -> Iterator[pa.RecordBatch]:
     own = counter(path)
-    for batch in batches:
+    for batch in slices(batches):
         texts = [x or "" for x in batch.column("text").to_pylist()]
         n = list(map(own.count, texts))
         yield pa.RecordBatch.from_pydict({

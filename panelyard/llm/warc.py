@@ -32,7 +32,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_path, table
+from .common import materialize, shared_path, slices, table
 
 #: Payloads of at least this many bytes may be revisits.
 LEAST = 0
@@ -98,7 +98,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
     store, path = fs.FileSystem.from_uri(folder)
     store.create_dir(path, recursive=True)
     out, name, at = None, "", 0
-    for b in batches:
+    for b in slices(batches):
         rows = []
         for page, url, html, to in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
             if out is None or at > FILE_BYTES:
