@@ -30,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, release, table
 
 K, EVERY = 20, 20
 #: Bound of the sample the trees are built from, trees, entries per leaf, entries visited per vector.
 SAMPLE, TREES, LEAF, SHARE = 20_000, 10, 512, 1.6
+#: Found rows that a task holds before it thins them.
+HELD = 300_000
 
 
 @dataclass
@@ -134,11 +136,59 @@ def _sought(batches: Iterator[pa.RecordBatch], forest: Forest, budget: float) ->
             yield pa.RecordBatch.from_pydict({"tree": pa.array(tree), "leaf": pa.array(leaf), "query": pa.array(np.ones(len(tree), bool)), "key": part.column("key").take(at), "rep": part.column("rep").take(at), "vec": part.column("vec").take(at)})
 
 
+class _Best:
+    """The best entries met so far for each query of a task, at most ``k`` each.
+
+    Found rows are kept as they come and thinned when they exceed HELD; if the thinned rows are still
+    half of that (very many queries), they are handed on and the rest starts anew.
+    """
+
+    def __init__(self, k: int):
+        self.k, self.rows, self.n = k, [], 0
+
+    def add(self, q: np.ndarray, c: np.ndarray, rep: np.ndarray, score: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.rows.append((q, c, rep, score))
+        self.n += len(rep)
+        if self.n > HELD:
+            self._thin()
+            if self.n > HELD // 2:
+                yield from self.flush()
+
+    def _thin(self) -> None:
+        q, c, rep, score = (np.concatenate(x) for x in zip(*self.rows, strict=True))
+        order = np.lexsort((-score, c[:, 1], c[:, 0], q[:, 1], q[:, 0]))
+        q, c, rep, score = q[order], c[order], rep[order], score[order]
+        new = np.append(True, (q[1:] != q[:-1]).any(1) | (c[1:] != c[:-1]).any(1))
+        q, c, rep, score = q[new], c[new], rep[new], score[new]
+        order = np.lexsort((rep, -score, q[:, 1], q[:, 0]))
+        q, c, rep, score = q[order], c[order], rep[order], score[order]
+        first = np.flatnonzero(np.append(True, (q[1:] != q[:-1]).any(1)))
+        place = np.arange(len(q)) - np.repeat(first, np.diff(first, append=len(q)))
+        keep = place < self.k
+        self.rows, self.n = [(q[keep], c[keep], rep[keep], score[keep])], int(keep.sum())
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.n:
+            return
+        self._thin()
+        q, c, rep, score = self.rows[0]
+        for a in range(0, len(rep), 10_000):
+            part = slice(a, a + 10_000)
+            yield pa.RecordBatch.from_pydict({"q": pa.array([x.tobytes() for x in q[part]], pa.binary()), "c": pa.array([x.tobytes() for x in c[part]], pa.binary()), "rep": pa.array(rep[part]), "score": pa.array(score[part])})
+        self.rows, self.n = [], 0
+
+
+def _names(column: pa.Array) -> np.ndarray:
+    """(n, 2) numbers of a column of 16-byte names."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, 2)
+
+
 def _scored(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by tree, leaf, entries before queries: the best entries of a leaf for each query."""
+    """Rows sorted by tree, leaf, entries before queries: the best entries of the task's leaves for each query."""
     now: tuple[int, int] | None = None
     entries: list[pa.RecordBatch] = []
-    keys, reps, x = pa.array([], pa.binary()), np.zeros(0, np.int64), np.zeros((0, 0))
+    keys, reps, x = np.zeros((0, 2), np.uint64), np.zeros(0, np.int64), np.zeros((0, 0))
+    best_of = _Best(k)
     for b in batches:
         tree, leaf, query = (np.asarray(b.column(c)) if c != "query" else b.column(c).to_numpy(zero_copy_only=False) for c in ("tree", "leaf", "query"))
         cut = np.flatnonzero((tree[1:] != tree[:-1]) | (leaf[1:] != leaf[:-1]) | (query[1:] != query[:-1])) + 1
@@ -153,19 +203,20 @@ def _scored(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
                 continue
             if entries:
                 whole = pa.Table.from_batches(entries)
-                keys, reps, x, entries = whole.column("key").combine_chunks(), np.asarray(whole.column("rep")), _matrix(whole.column("vec")), []
+                keys, reps, x, entries = _names(whole.column("key")), np.asarray(whole.column("rep")), _matrix(whole.column("vec")), []
             if not len(x):
                 continue
             most = min(k + 4, len(x))
             for a in range(0, part.num_rows, 512):
                 some = part.slice(a, 512)
-                q = _matrix(some.column("vec"))
+                q, names = _matrix(some.column("vec")), _names(some.column("key"))
                 best = np.argpartition(-(q @ x.T), most - 1, axis=1)[:, :most]
                 score = np.einsum("ijk,ik->ij", x[best], q)
                 order = np.lexsort((reps[best], -score), axis=1)[:, :k]
-                best, score = np.take_along_axis(best, order, 1), np.take_along_axis(score, order, 1)
-                at = np.repeat(np.arange(len(q)), best.shape[1])
-                yield pa.RecordBatch.from_pydict({"q": some.column("key").take(pa.array(at)), "c": keys.take(pa.array(best.ravel())), "rep": pa.array(reps[best.ravel()]), "score": pa.array(score.ravel())})
+                best, score = np.take_along_axis(best, order, 1).ravel(), np.take_along_axis(score, order, 1).ravel()
+                yield from best_of.add(np.repeat(names, order.shape[1], axis=0), keys[best], reps[best], score)
+    yield from best_of.flush()
+    release()
 
 
 def neighbours(vectors: DataFrame, k: int = K, every: int = EVERY, sample: int = SAMPLE, trees: int = TREES, leaf: int = LEAF, share: float = SHARE) -> DataFrame:
