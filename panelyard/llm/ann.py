@@ -34,7 +34,7 @@ from .common import materialize, release, table
 
 K, EVERY = 20, 20
 #: Bound of the sample the trees are built from, trees, entries per leaf, entries visited per vector.
-SAMPLE, TREES, LEAF, SHARE = 20_000, 10, 512, 1.6
+SAMPLE, TREES, LEAF, SHARE = 20_000, 10, 2048, 1.6
 #: Found rows that a task holds before it thins them.
 HELD = 300_000
 
