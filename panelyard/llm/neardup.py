@@ -1,18 +1,17 @@
-"""Near-duplicate detection by Order MinHash.
-
-A text is a sequence of words; its k-mers are shingles of ``SHINGLE`` words, each labelled with the
-number of its earlier occurrences.  For each of ``SKETCHES`` hash orders the ``TAKEN`` least labelled
-k-mers are picked and hashed in the order of the text.  Unlike plain MinHash the order counts, so
-agreement follows the edit similarity.  Texts that agree in a sketch are candidates; a banded
-alignment of their words decides: they are linked if the edit distance is at most 1 - ``SIMILAR`` of
-the longer text.  Classes are the connected components of the links.
-
-Groups never meet as pairs.  Equal texts are one node from the start.  In each bucket (texts that
-share a sketch) every text is compared with the bucket's first text only; those it doesn't match go
-on to the next round without it, now also split by length, since similar texts differ in length by a
-fifth at most, and in crowded buckets by more k-mers (see ``CROWD``).  Once the pairs left are no
-more than four times the texts, they are all compared.  So every pair of a bucket is either compared, or linked
-through the text that both match.
+"""Near-duplicate detection by shared rare word pairs.
+
+Two texts are linked if the edit distance of their words is at most 1 - ``SIMILAR`` of the longer
+text; classes are the connected components of the links.  Candidates are found without loss.  A
+text's k-mers (pairs of words, labelled with the number of their earlier occurrences) are put in one
+order for all texts, rare ones first.  An edit changes k of them at most, so linked texts of at most
+M words, d edits apart, share M - k + 1 - k d, and then at least ``SHARED`` (or all of these, if they
+are fewer) among the first n - M + k d + ``SHARED`` of a text of n words.  Texts that share as many
+of these first k-mers, and whose lengths allow a link, are compared by a banded alignment.
+
+Large groups mostly never meet as pairs.  Equal texts are one node from the start.  In each bucket
+(texts that share a first k-mer) every text is compared with one text of the bucket, then, in what is
+left, with another; the links found make classes.  After that every pair of a bucket is compared
+unless its texts are in one class already, so the classes are those of all links.
 
 Defined results: a null text is a class of its own; equal texts, empty ones included, are one class;
 the class id is the smallest doc_id in the class (null if it has none); repeated rows share their
@@ -27,25 +26,23 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, slices, table
 
-SHINGLE, SIMILAR = 5, 0.8
-#: Hash orders, and k-mers that each picks: texts with shingle similarity s agree somewhere with
-#: probability about 1 - (1 - s^3)^32; for s = 0.8 that is 1 - 1e-10, for s = 0.5 it is 0.986.
-SKETCHES, TAKEN = 32, 3
-#: A bucket with more texts than this left after its first round is split by the FINE least k-mers,
-#: which texts of similarity s share with probability s^9: a passage that very many texts have in
-#: common fills buckets with texts that are not similar at all.
-CROWD, FINE = 16, 9
+SIMILAR = 0.8
+#: First k-mers that a pair must share to be compared; more of them spare chance meetings.
+SHARED = 3
+#: Texts in which k-mers are counted, and how many of the most frequent ones are known as such.  The
+#: order of the rest is by hash: any order is right, a good one makes buckets small.
+COUNTED, FREQUENT = 10_000, 1 << 16
+#: A second star round is worth it if more pairs per node than this are left.
+PAIRS = 4
 #: Nodes up to which a list of node names is broadcast (16 bytes each); beyond it is shuffled.
 BROADCAST_NODES = 500_000
 
 _U = np.uint64
-_SEEDS = np.random.default_rng(20).integers(1, 1 << 63, SKETCHES, dtype=np.uint64) | _U(1)
-
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -65,41 +62,63 @@ class _WordHashes(dict):
 _hash_of = _WordHashes()
 
 
-def sketch(words: Sequence[str]) -> list[int]:
-    """Two signed 64-bit numbers per hash order, of its TAKEN and of its FINE least k-mers; none without words."""
-    if not words:
-        return []
+def _edits(n: int, least: float) -> int:
+    return int((1 - least) * n + 1e-9)
+
+
+def _k(least: float) -> int:
+    """Words of a k-mer: below 0.75 linked texts need not share a pair of words."""
+    return 2 if least >= 0.75 else 1
+
+
+def shared(longer: int, least: float = SIMILAR) -> int:
+    """First k-mers that linked texts share, the longer one of ``longer`` words."""
+    k = _k(least)
+    return max(1, min(SHARED, longer - k + 1 - k * _edits(longer, least)))
+
+
+def first(n: int, least: float = SIMILAR) -> int:
+    """How many first k-mers of a text of n words count: enough for every length it can be linked to."""
+    k = _k(least)
+    longest = int(n / least + 1e-9) if least > 0 else n
+    return max(n - m + k * _edits(m, least) + shared(m, least) for m in {*range(n, min(longest, n + 20) + 1), longest})
+
+
+def grams(words: Sequence[str], k: int) -> np.ndarray:
+    """Hashes of the labelled k-mers."""
     h = _mix(np.fromiter(map(_hash_of.__getitem__, words), np.uint64, len(words)))
-    k = min(SHINGLE, len(h))
+    k = min(k, len(h))
     n = len(h) - k + 1
-    grams = np.zeros(n, np.uint64)
+    out = np.zeros(n, np.uint64)
     for i in range(k):
-        grams = grams * _U(0x9E3779B97F4A7C15) + h[i : i + n]
-    grams = _mix(grams)
-    order = np.argsort(grams, kind="stable")
-    ranked = grams[order]
-    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-    labelled = grams
-    if len(first) < n:
+        out = out * _U(0x9E3779B97F4A7C15) + h[i : i + n]
+    out = _mix(out)
+    order = np.argsort(out, kind="stable")
+    ranked = out[order]
+    start = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    if len(start) < n:
         seen = np.empty(n, np.uint64)
-        seen[order] = np.arange(n, dtype=np.uint64) - np.repeat(first, np.diff(first, append=n)).astype(np.uint64)
-        labelled = grams + seen * _U(0xD6E8FEB86659FD93)
-    out = np.zeros((2, SKETCHES), np.uint64)
-    step = max(1, 400_000 // n)
-    for a in range(0, SKETCHES, step):
-        v = labelled[None, :] * _SEEDS[a : a + step, None]
-        v ^= v >> _U(32)
-        v *= _U(0xD6E8FEB86659FD93)
-        fine = min(FINE, n)
-        least = np.argpartition(v, fine - 1, axis=1)[:, :fine]
-        least = np.take_along_axis(least, np.argsort(np.take_along_axis(v, least, 1), axis=1), 1)
-        for kind, taken in enumerate((min(TAKEN, n), fine)):
-            at = np.sort(least[:, :taken], axis=1)
-            key = np.arange(a, a + len(at), dtype=np.uint64)
-            for i in range(taken):
-                key = _mix(key * _U(0x9E3779B97F4A7C15) + grams[at[:, i]])
-            out[kind, a : a + len(at)] = key
-    return out.view(np.int64).ravel().tolist()
+        seen[order] = np.arange(n, dtype=np.uint64) - np.repeat(start, np.diff(start, append=n)).astype(np.uint64)
+        out = out + seen * _U(0xD6E8FEB86659FD93)
+    return out
+
+
+def _slots(g: np.ndarray) -> np.ndarray:
+    return (g >> _U(32)).astype(np.int64)
+
+
+def keys(words: Sequence[str], slots: np.ndarray, counts: np.ndarray, least: float = SIMILAR) -> np.ndarray:
+    """The text's first k-mers. slots, counts: the frequent k-mers, by slot."""
+    if not words:
+        return np.zeros(0, np.int64)
+    g = grams(words, _k(least))
+    most = first(len(words), least)
+    if most < len(g):
+        slot = _slots(g)
+        at = np.minimum(np.searchsorted(slots, slot), len(slots) - 1)
+        often = np.where(slots[at] == slot, counts[at], 0) if len(slots) else np.zeros(len(g), np.int64)
+        g = g[np.lexsort((g, often))[:most]]
+    return g.view(np.int64)
 
 
 def distance(a: Sequence, b: Sequence, most: int) -> int:
@@ -144,18 +163,34 @@ def distance(a: Sequence, b: Sequence, most: int) -> int:
 
 
 def similar(a: Sequence[str], b: Sequence[str], least: float = SIMILAR) -> bool:
-    most = int((1 - least) * max(len(a), len(b)) + 1e-9)
+    most = _edits(max(len(a), len(b)), least)
     return distance(a, b, most) <= most
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches):
+        found = [np.unique(_slots(grams(w, k))) for w in map(str.split, b.column("text").to_pylist()) if w]
+        if found:
+            yield pa.RecordBatch.from_pydict({"slot": pa.array(np.concatenate(found), pa.int64())})
+
+
+def frequent(docs: DataFrame, least: float = SIMILAR) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent k-mers of a sample: their slots in order, and their counts. docs: node, text."""
+    slot = F.pmod("node", F.lit(1 << 20))
+    sample = docs.filter(slot < int(min(1.0, COUNTED / max(1, docs.count())) * (1 << 20)) + 1).select("text")
+    counted = sample.mapInArrow(lambda it: _counted(it, _k(least)), "slot bigint").groupBy("slot").count().filter("count > 2")
+    rows = sorted(tuple(r) for r in counted.orderBy(F.desc("count"), "slot").limit(FREQUENT).collect())
+    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+
+
+def _keyed(batches: Iterator[pa.RecordBatch], slots: np.ndarray, counts: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
-        n, keys = [], []
-        for text in b.column("text").to_pylist():
-            words = text.split()
-            n.append(len(words))
-            keys.append(sketch(words))
-        yield pa.RecordBatch.from_pydict({"node": b.column("node"), "doc_id": b.column("doc_id"), "n_words": pa.array(n, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+        words = [text.split() for text in b.column("text").to_pylist()]
+        found = [keys(w, slots, counts, least) for w in words]
+        n = [len(f) for f in found]
+        if sum(n):
+            node = np.repeat(b.column("node").to_numpy(zero_copy_only=False), n)
+            yield pa.RecordBatch.from_pydict({"key": np.concatenate(found), "node": node, "n": np.repeat(np.array([len(w) for w in words], np.int32), n)})
 
 
 def _aligned(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -175,46 +210,54 @@ def _compare(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float)
     return materialize(both.select("a", "b", "ta", "tb").mapInArrow(lambda it: _aligned(it, least), "a bigint, b bigint, ok boolean"), "aligned")
 
 
+def buckets(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """(key, node, n): the texts of n words by each of their first k-mers that another text has too. docs: node, text."""
+    slots, counts = frequent(docs, least)
+    keyed = docs.select("node", "text").mapInArrow(lambda it: _keyed(it, slots, counts, least), "key bigint, node bigint, n int")
+    keyed = keyed.repartition("key").dropDuplicates(["key", "node"])
+    w = Window.partitionBy("key")
+    return keyed.withColumns({"lo": F.min("node").over(w), "hi": F.max("node").over(w)}).filter("lo < hi").select("key", "node", "n")
+
+
+def _candidates(met: DataFrame, least: float) -> DataFrame:
+    """met: (a, b, na, nb), one row per shared first k-mer -> (a, b) that share enough of them."""
+    k, longer = _k(least), F.greatest("na", "nb")
+    edits = F.floor(longer * F.lit(1 - least) + 1e-9)
+    enough = F.greatest(F.lit(1), F.least(F.lit(SHARED), longer - k + 1 - k * edits))
+    near = met.filter(F.abs(F.col("na") - F.col("nb")) <= edits)
+    return near.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= enough).select("a", "b")
+
+
 def links(docs: DataFrame, nodes: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """(a, b): linked nodes. nodes: node, doc_id (of one of its documents), n_words, keys."""
-    both = F.arrays_zip(F.slice("keys", 1, SKETCHES).alias("key"), F.slice("keys", SKETCHES + 1, SKETCHES).alias("fine"))
-    members = nodes.select(F.explode(both).alias("x"), "node").select("x.key", "x.fine", "node")
-    found: DataFrame | None = None
+    """(a, b): links whose components are those of all links. nodes: node, doc_id (of one of its documents)."""
+    members = materialize(buckets(docs, least).withColumn("class", F.col("node")), "members")
+    total = nodes.count()
     tested: DataFrame | None = None
-    round_ = 0
-    while True:
-        round_ += 1
-        first = members.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        if round_ > 1:
-            todo = first.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
-            if not todo:
-                return found
-            if todo <= 4 * nodes_count:
-                other = members.select(F.col("key"), F.col("node").alias("b"))
-                pairs = members.select("key", F.col("node").alias("a")).join(other, "key").filter("a > b").select("a", "b").distinct()
-                pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-                pairs = materialize(pairs, "pairs")
-                return found.union(_compare(docs, nodes, pairs, least).filter("ok").select("a", "b"))
-        members = materialize(members.join(first.select("key", "b"), "key").filter("node > b").select("key", "fine", F.col("node").alias("a"), "b"), "members")
-        pairs = members.select("a", "b").distinct()
-        if tested is None:
-            fresh = _compare(docs, nodes, materialize(pairs, "pairs"), least)
-            tested = fresh
+    for star in ("min", "max", None):
+        sizes = members.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("sq"))
+        sizes = sizes.filter(F.col("n") * F.col("n") > F.col("sq"))
+        if star == "max" and (sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2)).first()[0] or 0) <= PAIRS * total:
+            continue
+        if star:
+            one = F.struct("class", "node", "n")
+            pivot = members.groupBy("key").agg((F.min if star == "min" else F.max)(one).alias("p"))
+            met = members.join(pivot, "key").filter(F.col("class") != F.col("p.class"))
+            met = met.select(F.greatest("node", "p.node").alias("a"), F.least("node", "p.node").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb"))
+            met = met.select("a", "b", F.greatest("na", "nb").alias("na"), F.least("na", "nb").alias("nb"))
         else:
-            fresh = _compare(docs, nodes, materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs"), least)
-            tested = tested.union(fresh)
-        good = fresh.filter("ok").select("a", "b")
-        found = good if found is None else found.union(good)
-        rest = members.join(tested.filter("ok").select("a", "b"), ["a", "b"], "left_anti").select("key", "fine", F.col("a").alias("node"))
-        if round_ == 1:
-            nodes_count = nodes.count()
-            rest = materialize(rest, "rest")
-            sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-            crowded = F.when(F.col("n") > CROWD, F.xxhash64("key", "fine")).otherwise(F.col("key"))
-            rest = rest.join(sizes, "key").select(crowded.alias("key"), "fine", "node")
-            step = F.floor(F.log(F.col("n_words").cast("double")) / F.log(F.lit(1 / least)) + 1e-9).cast("long")
-            rest = rest.join(nodes.select("node", "n_words"), "node").select(F.explode(F.array(F.xxhash64("key", step), F.xxhash64("key", step + 1))).alias("key"), F.lit(0).alias("fine"), "node")
-        members = materialize(rest.distinct(), "members")
+            members = materialize(members.join(sizes.select("key"), "key", "left_semi"), "members")
+            other = members.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("class").alias("other"))
+            met = members.withColumnsRenamed({"node": "a", "n": "na"}).join(other, "key").filter((F.col("a") > F.col("b")) & (F.col("class") != F.col("other")))
+            met = met.filter(F.abs(F.col("na") - F.col("nb")) <= F.floor(F.greatest("na", "nb") * F.lit(1 - least) + 1e-9)).select("a", "b", "na", "nb")
+        pairs = _candidates(met, least)
+        if tested is not None:
+            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        fresh = _compare(docs, nodes, materialize(pairs, "pairs"), least)
+        tested = fresh if tested is None else tested.union(fresh)
+        if star:
+            roots = components(fresh.filter("ok").select("a", "b") if star == "min" else tested.filter("ok").select("a", "b"))
+            members = materialize(members.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("class")), "members")
+    return tested.filter("ok").select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -242,8 +285,7 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """doc_id, node, class_id per document. docs: doc_id, text."""
     rows = docs.select("doc_id", "text").withColumn("node", F.xxhash64("text"))
     real = rows.filter(F.col("text").isNotNull())
-    sketched = real.select("node", "doc_id", "text").mapInArrow(_sketches, "node bigint, doc_id bigint, n_words bigint, keys array<bigint>")
-    nodes = materialize(sketched.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys")), "nodes")
+    nodes = materialize(real.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
     roots = components(links(real, nodes, least))
     of = nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     ids = of.groupBy("root").agg(F.min("doc_id").alias("class_id"))

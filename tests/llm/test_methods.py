@@ -153,6 +153,32 @@ def test_near_duplicates_equal_brute_force(spark):
     assert {r["doc_id"]: r["class_id"] for r in neardup.classes(df).collect()} == dict(enumerate(root))
 
 
+def classes_by_all_pairs(texts):
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            most = int(0.2 * max(len(texts[i]), len(texts[j])) + 1e-9)
+            if root[i] != root[j] and neardup.distance(texts[i], texts[j], most) <= most:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return dict(enumerate(root))
+
+
+def found_classes(spark, texts):
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    return {r["doc_id"]: r["class_id"] for r in neardup.classes(df).collect()}
+
+
+def test_near_duplicates_that_quote_what_many_quote(spark):
+    rng = random.Random(3)
+    texts = []
+    for _ in range(4):
+        passage = [f"p{rng.randrange(10**6)}" for _ in range(80)]
+        texts += [passage + [f"o{rng.randrange(10**6)}" for _ in range(20)] for _ in range(2)]
+        texts += [passage + [f"l{rng.randrange(10**6)}" for _ in range(rng.randint(30, 300))] for _ in range(60)]
+    assert found_classes(spark, texts) == classes_by_all_pairs(texts)
+
+
 def test_neighbours_against_brute_force(spark):
     df = table(spark, "/root/testdata/sf0.1", "embeddings")
     rows = df.select("vec_id", "embedding").collect()
