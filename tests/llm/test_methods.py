@@ -179,6 +179,22 @@ def test_near_duplicates_that_quote_what_many_quote(spark):
     assert found_classes(spark, texts) == classes_by_all_pairs(texts)
 
 
+def test_near_duplicates_of_many_versions(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    versions = []
+    for _ in range(60):
+        at = set(rng.sample(range(100), rng.randint(6, 14)))
+        versions.append([f"v{rng.randrange(10**6)}" if i in at else w for i, w in enumerate(base)])
+    # a bridge: b ~ a, a ~ c, b !~ c, whichever of them comes first in a bucket
+    bridges = []
+    for _ in range(20):
+        a = [f"a{rng.randrange(10**6)}" for _ in range(50)]
+        bridges += [a, [f"b{i}" if i % 6 == 0 else w for i, w in enumerate(a)], [f"c{i}" if i % 6 == 3 else w for i, w in enumerate(a)]]
+    texts = versions + bridges
+    assert found_classes(spark, texts) == classes_by_all_pairs(texts)
+
+
 def test_neighbours_against_brute_force(spark):
     df = table(spark, "/root/testdata/sf0.1", "embeddings")
     rows = df.select("vec_id", "embedding").collect()
