@@ -33,11 +33,11 @@ from .common import materialize, slices, table
 
 SIMILAR = 0.8
 #: First k-mers that a pair must share to be compared; more of them spare chance meetings.
-SHARED = 3
+SHARED = 16
 #: Texts in which k-mers are counted, and how many of the most frequent ones are known as such.  The
 #: order of the rest is by hash: any order is right, a good one makes buckets small.
 COUNTED, FREQUENT = 10_000, 1 << 16
-#: A second star round is worth it if more pairs per node than this are left.
+#: A second star round is worth it if more pairs per bucket member than this are left.
 PAIRS = 4
 #: Nodes up to which a list of node names is broadcast (16 bytes each); beyond it is shuffled.
 BROADCAST_NODES = 500_000
@@ -211,12 +211,12 @@ def _compare(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float)
 
 
 def buckets(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """(key, node, n): the texts of n words by each of their first k-mers that another text has too. docs: node, text."""
+    """(key, node, n, lo): the texts of n words by each of their first k-mers that another text has too; lo is the bucket's least (node, n). docs: node, text."""
     slots, counts = frequent(docs, least)
     keyed = docs.select("node", "text").mapInArrow(lambda it: _keyed(it, slots, counts, least), "key bigint, node bigint, n int")
     keyed = keyed.repartition("key").dropDuplicates(["key", "node"])
     w = Window.partitionBy("key")
-    return keyed.withColumns({"lo": F.min("node").over(w), "hi": F.max("node").over(w)}).filter("lo < hi").select("key", "node", "n")
+    return keyed.withColumns({"lo": F.min(F.struct("node", "n")).over(w), "hi": F.max("node").over(w)}).filter("lo.node < hi").select("key", "node", "n", "lo")
 
 
 def _candidates(met: DataFrame, least: float) -> DataFrame:
@@ -228,36 +228,39 @@ def _candidates(met: DataFrame, least: float) -> DataFrame:
     return near.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= enough).select("a", "b")
 
 
+def _ordered(met: DataFrame) -> DataFrame:
+    """met: node, n, p (node, n) -> (a, b, na, nb), the same for a pair whichever way it is met."""
+    x, y = F.struct("node", "n"), F.struct("p.node", "p.n")
+    return met.select(F.greatest(x, y).alias("x"), F.least(x, y).alias("y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+
+
+def _open(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """(key, node, n, class): the members of buckets that hold more than one component of the edges."""
+    roots = materialize(components(edges), "roots")
+    classed = members.select("key", "node", "n").join(F.broadcast(roots) if roots.count() <= BROADCAST_NODES else roots, "node", "left")
+    w = Window.partitionBy("key")
+    classed = classed.select("key", "node", "n", F.coalesce("root", "node").alias("class")).withColumns({"lo": F.min("class").over(w), "hi": F.max("class").over(w)})
+    return materialize(classed.filter("lo < hi").select("key", "node", "n", "class"), "open")
+
+
 def links(docs: DataFrame, nodes: DataFrame, least: float = SIMILAR) -> DataFrame:
     """(a, b): links whose components are those of all links. nodes: node, doc_id (of one of its documents)."""
-    members = materialize(buckets(docs, least).withColumn("class", F.col("node")), "members")
-    total = nodes.count()
-    tested: DataFrame | None = None
-    for star in ("min", "max", None):
-        sizes = members.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("sq"))
-        sizes = sizes.filter(F.col("n") * F.col("n") > F.col("sq"))
-        if star == "max" and (sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2)).first()[0] or 0) <= PAIRS * total:
-            continue
-        if star:
-            one = F.struct("class", "node", "n")
-            pivot = members.groupBy("key").agg((F.min if star == "min" else F.max)(one).alias("p"))
-            met = members.join(pivot, "key").filter(F.col("class") != F.col("p.class"))
-            met = met.select(F.greatest("node", "p.node").alias("a"), F.least("node", "p.node").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb"))
-            met = met.select("a", "b", F.greatest("na", "nb").alias("na"), F.least("na", "nb").alias("nb"))
-        else:
-            members = materialize(members.join(sizes.select("key"), "key", "left_semi"), "members")
-            other = members.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("class").alias("other"))
-            met = members.withColumnsRenamed({"node": "a", "n": "na"}).join(other, "key").filter((F.col("a") > F.col("b")) & (F.col("class") != F.col("other")))
-            met = met.filter(F.abs(F.col("na") - F.col("nb")) <= F.floor(F.greatest("na", "nb") * F.lit(1 - least) + 1e-9)).select("a", "b", "na", "nb")
-        pairs = _candidates(met, least)
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        fresh = _compare(docs, nodes, materialize(pairs, "pairs"), least)
-        tested = fresh if tested is None else tested.union(fresh)
-        if star:
-            roots = components(fresh.filter("ok").select("a", "b") if star == "min" else tested.filter("ok").select("a", "b"))
-            members = materialize(members.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("class")), "members")
-    return tested.filter("ok").select("a", "b")
+    members = materialize(buckets(docs, least), "members")
+    total = members.count()
+    met = _ordered(members.filter("node <> lo.node").withColumnRenamed("lo", "p"))
+    tested = _compare(docs, nodes, materialize(_candidates(met, least), "pairs"), least)
+    members = _open(members, tested.filter("ok").select("a", "b"))
+    sizes = members.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("sq"))
+    if (sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2)).first()[0] or 0) > PAIRS * total:
+        pivot = members.groupBy("key").agg(F.max(F.struct("class", "node", "n")).alias("p"))
+        met = _ordered(members.join(pivot, "key").filter(F.col("class") != F.col("p.class")))
+        pairs = _candidates(met, least).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        tested = tested.union(_compare(docs, nodes, materialize(pairs, "pairs"), least))
+        members = _open(members, tested.filter("ok").select("a", "b"))
+    other = members.select("key", F.struct("node", "n").alias("p"), F.col("class").alias("other"))
+    met = _ordered(members.join(other, "key").filter((F.col("node") > F.col("p.node")) & (F.col("class") != F.col("other"))))
+    pairs = _candidates(met, least).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    return tested.union(_compare(docs, nodes, materialize(pairs, "pairs"), least)).filter("ok").select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:

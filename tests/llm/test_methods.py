@@ -195,6 +195,20 @@ def test_near_duplicates_of_many_versions(spark):
     assert found_classes(spark, texts) == classes_by_all_pairs(texts)
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    rng = random.Random(4)
+    texts = []
+    for n in [5, 6, 9, 10, 10, 14, 15, 20, 40, 60, 100, 300, 1000] * 3:
+        text = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        at = set(rng.sample(range(n), n // 5))
+        texts += [text, [f"x{rng.randrange(10**6)}" if i in at else w for i, w in enumerate(text)]]
+    ten = [f"t{i}" for i in range(10)]
+    texts += [ten, ten[:5] + ["other"] + ten[6:]]
+    want = classes_by_all_pairs(texts)
+    assert len(set(want.values())) == len(texts) // 2
+    assert found_classes(spark, texts) == want
+
+
 def test_neighbours_against_brute_force(spark):
     df = table(spark, "/root/testdata/sf0.1", "embeddings")
     rows = df.select("vec_id", "embedding").collect()
