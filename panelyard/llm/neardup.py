@@ -1,46 +1,65 @@
-"""Near-duplicate detection by shared rare word pairs.
+"""Near-duplicate detection by order MinHash.
 
 Two texts are linked if the edit distance of their words is at most 1 - ``SIMILAR`` of the longer
-text; classes are the connected components of the links.  Candidates are found without loss.  A
-text's k-mers (pairs of words, labelled with the number of their earlier occurrences) are put in one
-order for all texts, rare ones first.  An edit changes k of them at most, so linked texts of at most
-M words, d edits apart, share M - k + 1 - k d, and then at least ``SHARED`` (or all of these, if they
-are fewer) among the first n - M + k d + ``SHARED`` of a text of n words.  Texts that share as many
-of these first k-mers, and whose lengths allow a link, are compared by a banded alignment.
-
-Large groups mostly never meet as pairs.  Equal texts are one node from the start.  In each bucket
-(texts that share a first k-mer) every text is compared with one text of the bucket, then, in what is
-left, with another; the links found make classes.  After that every pair of a bucket is compared
-unless its texts are in one class already, so the classes are those of all links.
-
-Defined results: a null text is a class of its own; equal texts, empty ones included, are one class;
-the class id is the smallest doc_id in the class (null if it has none); repeated rows share their
-class; an empty table gives an empty result.  Texts are named by 64-bit hashes.  Extra columns are
-ignored.
+text; classes are the connected components of the links.  A sketch of a text samples the ``TAKEN``
+least of its k-mers (pairs of words, labelled with the number of their earlier occurrences) in a
+random order of its own and retains them in text order.  Texts that agree in one of the sketches meet
+in a bucket.  With d edits to a text of n words at least n - 2 d of the k-mers are left, so that a
+linked pair agrees in a sketch with probability of about (0.6 / 1.4) ** 3 or more, and in none of all with
+about ``MISSED`` at most, wherever the edits are; that fixes the number of sketches (65).  Candidates are
+verified by a banded alignment.
+
+Texts of at most ``SHORT`` words are too few k-mers for that; they meet by prefix filter instead,
+which misses nothing: k-mers are put in one order for all texts, rare ones first, and linked texts share
+one of the first n - M + 2 d + 1 (n words; M and d: words and edits of the longer text).
+
+Large groups never meet as pairs.  Equal texts are one node.  Every text is compared with the one that
+is most often the first of its buckets; what is left unlinked in a bucket with another; the links
+make classes.  Then the pairs of different classes in a bucket are compared, or, if they exceed
+``EACH`` (texts that quote one passage but are not similar), the bucket's texts meet by the prefix filter
+with ``SHARED`` k-mers, which finds all their links from what is rare in them.
+
+Defined results: a null text is a class of its own; equal texts are one class, as are texts that
+differ in white space only, if they have words; the class id is the smallest doc_id in the class (null if it has none);
+repeated rows share their class, as do equal texts with null ids; an empty table gives an empty result.
+Texts are named by 64-bit hashes, so among 1e9 distinct texts one pair in 40 such tables is
+mistaken for equal.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import reduce
+from math import ceil, log, log1p
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, table
+from .common import forget, materialize, slices, table
 
 SIMILAR = 0.8
-#: First k-mers that a pair must share to be compared; more of them spare chance meetings.
+#: k-mers in a sketch, and the share of linked pairs that may agree in no sketch.
+TAKEN, MISSED = 3, 0.005
+#: Words up to which the prefix filter is used in place of sketches.
+SHORT = 32
+#: Pairs of different classes up to which a bucket's pairs are compared as they are.
+EACH = 200
+#: First k-mers that texts of larger buckets must share to be compared; more of them spare chance meetings.
 SHARED = 16
-#: Texts in which k-mers are counted, and how many of the most frequent ones are known as such.  The
-#: order of the rest is by hash: any order is right, a good one makes buckets small.
-COUNTED, FREQUENT = 10_000, 1 << 16
-#: A second star round is worth it if more pairs per bucket member than this are left.
-PAIRS = 4
-#: Nodes up to which a list of node names is broadcast (16 bytes each); beyond it is shuffled.
-BROADCAST_NODES = 500_000
+#: Texts in which k-mers and buckets are counted, how many of the most frequent k-mers are known as
+#: such (the order of the rest is by hash: any order is right, a good one makes buckets small), and
+#: how often a bucket must occur among these texts to be split.
+COUNTED, FREQUENT, HOT = 10_000, 1 << 16, 8
+#: Distinct texts that a task remembers, to sketch each once.
+SEEN = 200_000
+#: Rows of two numbers up to which a table is broadcast; beyond it is shuffled.
+BROADCAST_ROWS = 500_000
+#: k-mers of a text hashed at a time.
+CHUNK = 1 << 15
 
 _U = np.uint64
 
@@ -71,17 +90,23 @@ def _k(least: float) -> int:
     return 2 if least >= 0.75 else 1
 
 
-def shared(longer: int, least: float = SIMILAR) -> int:
+def shared(longer: int, least: float = SIMILAR, most: int = SHARED) -> int:
     """First k-mers that linked texts share, the longer one of ``longer`` words."""
     k = _k(least)
-    return max(1, min(SHARED, longer - k + 1 - k * _edits(longer, least)))
+    return max(1, min(most, longer - k + 1 - k * _edits(longer, least)))
 
 
-def first(n: int, least: float = SIMILAR) -> int:
+def first(n: int, least: float = SIMILAR, most: int = SHARED) -> int:
     """How many first k-mers of a text of n words count: enough for every length it can be linked to."""
     k = _k(least)
     longest = int(n / least + 1e-9) if least > 0 else n
-    return max(n - m + k * _edits(m, least) + shared(m, least) for m in {*range(n, min(longest, n + 20) + 1), longest})
+    return max(n - m + k * _edits(m, least) + shared(m, least, most) for m in {*range(n, min(longest, n + 20) + 1), longest})
+
+
+def sketches(least: float = SIMILAR) -> int:
+    """How many sketches miss no more than ``MISSED`` of the linked pairs."""
+    lost = _k(least) * (1 - least)
+    return ceil(log(MISSED) / log1p(-(((1 - lost) / (1 + lost)) ** TAKEN)))
 
 
 def grams(words: Sequence[str], k: int) -> np.ndarray:
@@ -107,20 +132,57 @@ def _slots(g: np.ndarray) -> np.ndarray:
     return (g >> _U(32)).astype(np.int64)
 
 
-def keys(words: Sequence[str], slots: np.ndarray, counts: np.ndarray, least: float = SIMILAR) -> np.ndarray:
-    """The text's first k-mers. slots, counts: the frequent k-mers, by slot."""
+def order_minhash(g: np.ndarray, number: int) -> np.ndarray:
+    """Hashes of ``number`` sketches of a text with the labelled k-mers g: the TAKEN least in an order of each sketch, in text order."""
+    taken, rows = min(TAKEN, len(g)), np.arange(number)
+    factors = _mix(np.arange(1, number + 1, dtype=np.uint64)) | _U(1)
+    least, where = np.zeros((number, 0), np.uint64), np.zeros((number, 0), np.int64)
+    for at in range(0, len(g), CHUNK):
+        hashed = factors[:, None] * g[None, at : at + CHUNK]
+        for _ in range(min(taken, hashed.shape[1])):
+            place = hashed.argmin(1)
+            least, where = np.column_stack([least, hashed[rows, place]]), np.column_stack([where, place + at])
+            hashed[rows, place] = _U(0xFFFFFFFFFFFFFFFF)
+    if where.shape[1] > taken:
+        where = np.take_along_axis(where, np.argsort(least, 1, kind="stable")[:, :taken], 1)
+    where.sort(1)
+    out = factors
+    for i in range(taken):
+        out = _mix(out + g[where[:, i]])
+    return out.view(np.int64)
+
+
+@dataclass
+class Known:
+    """What a sample tells: the slots of frequent k-mers in order, their counts, and hot buckets with their numbers of parts."""
+
+    slots: np.ndarray
+    counts: np.ndarray
+    hot: dict[int, int]
+
+
+def rare(words: Sequence[str], known: Known, least: float = SIMILAR, most: int = SHARED) -> np.ndarray:
+    """The text's first k-mers."""
     if not words:
         return np.zeros(0, np.int64)
     g = grams(words, _k(least))
-    most = first(len(words), least)
-    if most < len(g):
-        slot = _slots(g)
-        at = np.minimum(np.searchsorted(slots, slot), len(slots) - 1)
-        often = np.where(slots[at] == slot, counts[at], 0) if len(slots) else np.zeros(len(g), np.int64)
-        g = g[np.lexsort((g, often))[:most]]
+    n = first(len(words), least, most)
+    if n < len(g):
+        slot, often = _slots(g), np.zeros(len(g), np.int64)
+        if len(known.slots):
+            at = np.minimum(np.searchsorted(known.slots, slot), len(known.slots) - 1)
+            often = np.where(known.slots[at] == slot, known.counts[at], 0)
+        g = g[np.lexsort((g, often))[:n]]
     return g.view(np.int64)
 
 
+def sketched(words: Sequence[str], least: float = SIMILAR) -> np.ndarray:
+    """The text's order MinHash sketches; none if only texts of up to SHORT words can be linked to it."""
+    if len(words) < int((SHORT + 1) * least):
+        return np.zeros(0, np.int64)
+    return order_minhash(grams(words, _k(least)), sketches(least))
+
+
 def distance(a: Sequence, b: Sequence, most: int) -> int:
     """Edit distance of two sequences if it is at most ``most``, else most + 1.
 
@@ -167,30 +229,49 @@ def similar(a: Sequence[str], b: Sequence[str], least: float = SIMILAR) -> bool:
     return distance(a, b, most) <= most
 
 
-def _counted(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
-        found = [np.unique(_slots(grams(w, k))) for w in map(str.split, b.column("text").to_pylist()) if w]
-        if found:
-            yield pa.RecordBatch.from_pydict({"slot": pa.array(np.concatenate(found), pa.int64())})
+        for words in map(str.split, b.column("text").to_pylist()):
+            found = (np.unique(_slots(grams(words, _k(least)))) if words else np.zeros(0, np.int64), sketched(words, least))
+            yield pa.RecordBatch.from_pydict({"bucket": np.repeat([False, True], list(map(len, found))), "name": np.concatenate(found)})
 
 
-def frequent(docs: DataFrame, least: float = SIMILAR) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent k-mers of a sample: their slots in order, and their counts. docs: node, text."""
+def sample(docs: DataFrame, distinct: int, least: float = SIMILAR) -> Known:
+    """Frequent k-mers and buckets of COUNTED texts, chosen by their hashes. docs: node, text."""
     slot = F.pmod("node", F.lit(1 << 20))
-    sample = docs.filter(slot < int(min(1.0, COUNTED / max(1, docs.count())) * (1 << 20)) + 1).select("text")
-    counted = sample.mapInArrow(lambda it: _counted(it, _k(least)), "slot bigint").groupBy("slot").count().filter("count > 2")
-    rows = sorted(tuple(r) for r in counted.orderBy(F.desc("count"), "slot").limit(FREQUENT).collect())
-    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+    some = docs.filter(slot < int(min(1.0, COUNTED / max(1, distinct)) * (1 << 20)) + 1).dropDuplicates(["node"]).select("text")
+    counted = materialize(some.mapInArrow(lambda it: _counted(it, least), "bucket boolean, name bigint").groupBy("bucket", "name").count().filter("count > 2"), "counted")
+    often = sorted(tuple(r) for r in counted.filter("not bucket").orderBy(F.desc("count"), "name").limit(FREQUENT).select("name", "count").collect())
+    hot = counted.filter(F.col("bucket") & (F.col("count") >= HOT)).select("name", "count").collect()  # no more than COUNTED * sketches / HOT
+    return Known(np.array([r[0] for r in often], np.int64), np.array([r[1] for r in often], np.int64), {r["name"]: ceil(r["count"] / HOT) for r in hot})
 
 
-def _keyed(batches: Iterator[pa.RecordBatch], slots: np.ndarray, counts: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
+def _keyed(batches: Iterator[pa.RecordBatch], known: Known, least: float, exact: bool) -> Iterator[pa.RecordBatch]:
+    """(key, node, n, part) of each text's buckets; every text once in a task."""
+    seen: set[int] = set()
     for b in slices(batches):
-        words = [text.split() for text in b.column("text").to_pylist()]
-        found = [keys(w, slots, counts, least) for w in words]
-        n = [len(f) for f in found]
-        if sum(n):
-            node = np.repeat(b.column("node").to_numpy(zero_copy_only=False), n)
-            yield pa.RecordBatch.from_pydict({"key": np.concatenate(found), "node": node, "n": np.repeat(np.array([len(w) for w in words], np.int32), n)})
+        own = []
+        for node, text in zip(b.column("node").to_pylist(), b.column("text").to_pylist(), strict=True):
+            if node in seen:
+                continue
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen.add(node)
+            words = text.split()
+            if exact:
+                key = rare(words, known, least)
+            else:
+                key = sketched(words, least)
+                if len(words) <= SHORT:
+                    key = np.concatenate([key, rare(words, known, least, 1)])
+            own.append((node, len(words), key))
+        sizes = [len(key) for _, _, key in own]
+        if sum(sizes):
+            key = np.concatenate([key for _, _, key in own])
+            node = np.repeat(np.array([node for node, _, _ in own], np.int64), sizes)
+            parts = np.fromiter((known.hot.get(k, 0) for k in key.tolist()), np.int64, len(key)) if known.hot and not exact else np.zeros(len(key), np.int64)
+            part = np.where(parts > 0, node % np.maximum(parts, 1) + 1, 0)
+            yield pa.RecordBatch.from_pydict({"key": key, "node": node, "n": np.repeat(np.array([n for _, n, _ in own], np.int32), sizes), "part": part.astype(np.int32)})
 
 
 def _aligned(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -199,68 +280,131 @@ def _aligned(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_pydict({"a": b.column("a"), "b": b.column("b"), "ok": pa.array(ok, pa.bool_())})
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A written table of two numbers a row, broadcast if its size allows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _compare(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     """pairs (a, b) of nodes -> the same with ``ok``. docs: doc_id, node, text."""
-    ids = materialize(pairs.select("a").union(pairs.select("b")).distinct().join(nodes.select("node", "doc_id"), F.col("a") == F.col("node")).select("node", "doc_id"), "participants")
-    few = ids.count() <= BROADCAST_NODES
-    want = ids.select(F.col("node").alias("wn"), F.col("doc_id").alias("wd"))
-    texts = docs.join(F.broadcast(want) if few else want, (F.col("node") == F.col("wn")) & F.col("doc_id").eqNullSafe(F.col("wd")), "left_semi")
+    ids = materialize(pairs.select("a").union(pairs.select("b")).distinct().join(nodes.select("node", "doc_id"), F.col("a") == F.col("node")).select(F.col("node").alias("wn"), F.col("doc_id").alias("wd")), "participants")
+    texts = docs.join(_small(ids), (F.col("node") == F.col("wn")) & F.col("doc_id").eqNullSafe(F.col("wd")), "left_semi")
     texts = materialize(texts.select("node", "text").dropDuplicates(["node"]), "participant-texts")
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return materialize(both.select("a", "b", "ta", "tb").mapInArrow(lambda it: _aligned(it, least), "a bigint, b bigint, ok boolean"), "aligned")
+    out = materialize(both.select("a", "b", "ta", "tb").mapInArrow(lambda it: _aligned(it, least), "a bigint, b bigint, ok boolean"), "aligned")
+    forget(ids, texts)
+    return out
 
 
-def buckets(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """(key, node, n, lo): the texts of n words by each of their first k-mers that another text has too; lo is the bucket's least (node, n). docs: node, text."""
-    slots, counts = frequent(docs, least)
-    keyed = docs.select("node", "text").mapInArrow(lambda it: _keyed(it, slots, counts, least), "key bigint, node bigint, n int")
-    keyed = keyed.repartition("key").dropDuplicates(["key", "node"])
-    w = Window.partitionBy("key")
-    return keyed.withColumns({"lo": F.min(F.struct("node", "n")).over(w), "hi": F.max("node").over(w)}).filter("lo.node < hi").select("key", "node", "n", "lo")
+def buckets(docs: DataFrame, known: Known, least: float = SIMILAR) -> DataFrame:
+    """(key, part, node, n, lo): the texts by bucket, if they are not alone in it; lo is the least (node, n) of the part.
 
+    A hot bucket is dealt in parts, numbered from 1, by node; others are part 0.
+    """
+    keyed = docs.select("node", "text").mapInArrow(lambda it: _keyed(it, known, least, False), "key bigint, node bigint, n int, part int")
+    w = Window.partitionBy("key", "part")
+    met = keyed.withColumns({"lo": F.min(F.struct("node", "n")).over(w), "hi": F.max("node").over(w)})
+    return met.filter((F.col("lo.node") < F.col("hi")) | (F.col("part") > 0)).select("key", "part", "node", "n", "lo").dropDuplicates(["key", "part", "node"])
 
-def _candidates(met: DataFrame, least: float) -> DataFrame:
-    """met: (a, b, na, nb), one row per shared first k-mer -> (a, b) that share enough of them."""
-    k, longer = _k(least), F.greatest("na", "nb")
-    edits = F.floor(longer * F.lit(1 - least) + 1e-9)
-    enough = F.greatest(F.lit(1), F.least(F.lit(SHARED), longer - k + 1 - k * edits))
-    near = met.filter(F.abs(F.col("na") - F.col("nb")) <= edits)
-    return near.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= enough).select("a", "b")
+
+def _edits_of(longer: Column, least: float) -> Column:
+    return F.floor(longer * F.lit(1 - least) + 1e-9)
 
 
-def _ordered(met: DataFrame) -> DataFrame:
-    """met: node, n, p (node, n) -> (a, b, na, nb), the same for a pair whichever way it is met."""
+def _met(rows: DataFrame, least: float) -> DataFrame:
+    """rows: node, n, p (node, n) -> (a, b, na, nb) whose lengths allow a link, the same for a pair whichever way it is met."""
     x, y = F.struct("node", "n"), F.struct("p.node", "p.n")
-    return met.select(F.greatest(x, y).alias("x"), F.least(x, y).alias("y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+    met = rows.select(F.greatest(x, y).alias("x"), F.least(x, y).alias("y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+    return met.filter((F.col("a") != F.col("b")) & (F.abs(F.col("na") - F.col("nb")) <= _edits_of(F.greatest("na", "nb"), least)))
 
 
-def _open(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """(key, node, n, class): the members of buckets that hold more than one component of the edges."""
-    roots = materialize(components(edges), "roots")
-    classed = members.select("key", "node", "n").join(F.broadcast(roots) if roots.count() <= BROADCAST_NODES else roots, "node", "left")
-    w = Window.partitionBy("key")
-    classed = classed.select("key", "node", "n", F.coalesce("root", "node").alias("class")).withColumns({"lo": F.min("class").over(w), "hi": F.max("class").over(w)})
-    return materialize(classed.filter("lo < hi").select("key", "node", "n", "class"), "open")
+def _enough(met: DataFrame, least: float) -> DataFrame:
+    """met: one row per shared first k-mer -> (a, b) that share enough of them."""
+    k, longer = _k(least), F.greatest("na", "nb")
+    enough = F.greatest(F.lit(1), F.least(F.lit(SHARED), longer - k + 1 - k * _edits_of(longer, least)))
+    return met.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= enough).select("a", "b")
 
 
-def links(docs: DataFrame, nodes: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """(a, b): links whose components are those of all links. nodes: node, doc_id (of one of its documents)."""
-    members = materialize(buckets(docs, least), "members")
-    total = members.count()
-    met = _ordered(members.filter("node <> lo.node").withColumnRenamed("lo", "p"))
-    tested = _compare(docs, nodes, materialize(_candidates(met, least), "pairs"), least)
-    members = _open(members, tested.filter("ok").select("a", "b"))
-    sizes = members.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("sq"))
-    if (sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2)).first()[0] or 0) > PAIRS * total:
-        pivot = members.groupBy("key").agg(F.max(F.struct("class", "node", "n")).alias("p"))
-        met = _ordered(members.join(pivot, "key").filter(F.col("class") != F.col("p.class")))
-        pairs = _candidates(met, least).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        tested = tested.union(_compare(docs, nodes, materialize(pairs, "pairs"), least))
-        members = _open(members, tested.filter("ok").select("a", "b"))
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, n, class): the members of buckets that hold more than one class."""
+    classed = members.select("key", "node", "n").join(_small(roots), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("class"))
+    keys = classed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("key")
+    return materialize(classed.join(keys, "key", "left_semi"), "open")
+
+
+def _other_classes(members: DataFrame) -> DataFrame:
+    """members: key, node, n, class -> node, n, p: the pairs of a bucket whose classes differ."""
     other = members.select("key", F.struct("node", "n").alias("p"), F.col("class").alias("other"))
-    met = _ordered(members.join(other, "key").filter((F.col("node") > F.col("p.node")) & (F.col("class") != F.col("other"))))
-    pairs = _candidates(met, least).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    return tested.union(_compare(docs, nodes, materialize(pairs, "pairs"), least)).filter("ok").select("a", "b")
+    return members.join(other, "key").filter((F.col("node") > F.col("p.node")) & (F.col("class") != F.col("other"))).select("node", "n", "p")
+
+
+def _sizes(members: DataFrame) -> DataFrame:
+    """(key, pairs): pairs of different classes by bucket."""
+    sizes = members.groupBy("key", "class").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("sq"))
+    return sizes.select("key", ((F.col("n") * F.col("n") - F.col("sq")) / 2).alias("pairs"))
+
+
+def _pivots(members: DataFrame) -> DataFrame:
+    """members: key, node, n, class -> node, n, p: each with a text of its bucket's class of greatest id, if it is in another."""
+    pivot = members.groupBy("key").agg(F.max(F.struct("class", "node", "n")).alias("p"))
+    return members.join(pivot, "key").filter(F.col("class") != F.col("p.class")).select("node", "n", F.struct("p.node", "p.n").alias("p"))
+
+
+class _Links:
+    """The pairs tested so far and the classes that the links among them make: ``roots``, (node, root)."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, least: float):
+        self.docs, self.nodes, self.least, self.tested = docs, nodes, least, []
+        self.roots = materialize(nodes.filter("false").select("node", F.col("node").alias("root")), "roots")
+
+    def test(self, pairs: DataFrame) -> None:
+        pairs = pairs.select("a", "b").distinct()
+        if self.tested:
+            pairs = pairs.join(reduce(DataFrame.union, self.tested).select("a", "b"), ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        if pairs.isEmpty():
+            forget(pairs)
+            return
+        self.tested.append(_compare(self.docs, self.nodes, pairs, self.least))
+        edges = self.tested[-1].filter("ok").select("a", "b").union(self.roots.filter("node <> root"))
+        before, self.roots = self.roots, materialize(components(edges), "roots")
+        forget(before, pairs)
+
+    def first_star(self, members: DataFrame) -> None:
+        """Compares every text with the one that is most often the first of its buckets."""
+        tops = members.filter("part > 0").groupBy("key").agg(F.min("lo").alias("p"))
+        parts = members.filter("part > 0 and node = lo.node").select("key", "node", "n").join(tops, "key").select("node", "n", "p")
+        met = _met(members.select("node", "n", F.col("lo").alias("p")).union(parts), self.least)
+        votes = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"))
+        self.test(votes.groupBy("a").agg(F.max_by("b", F.struct("votes", "b")).alias("b")))
+
+    def exact(self, docs: DataFrame, known: Known) -> None:
+        """Tests pairs of the given texts until their classes are those of all their links."""
+        least = self.least
+        keyed = materialize(docs.select("node", "text").mapInArrow(lambda it: _keyed(it, known, least, True), "key bigint, node bigint, n int, part int").distinct(), "exact-keys")
+        star = _open(keyed, self.roots)
+        self.test(_enough(_met(_pivots(star), least), least))
+        pairs = _open(keyed, self.roots)
+        self.test(_enough(_met(_other_classes(pairs), least), least))
+        forget(keyed, star, pairs)
+
+
+def links(docs: DataFrame, nodes: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """(node, root): the classes of all links, as far as they have several nodes. nodes: node, doc_id (of one of its documents)."""
+    known = sample(docs, nodes.count(), least)
+    found = _Links(docs, nodes, least)
+    members = materialize(buckets(docs, known, least), "members")
+    found.first_star(members)
+    star = _open(members, found.roots)
+    found.test(_met(_pivots(star), least))
+    rest = _open(star, found.roots)
+    sizes = materialize(_sizes(rest), "sizes")
+    found.test(_met(_other_classes(rest.join(sizes.filter(F.col("pairs") <= EACH), "key", "left_semi")), least))
+    crowd = materialize(rest.join(sizes.filter(F.col("pairs") > EACH), "key", "left_semi").select(F.col("node").alias("wn")).distinct(), "crowd")
+    if not crowd.isEmpty():
+        found.exact(docs.join(_small(crowd), F.col("node") == F.col("wn"), "left_semi"), known)
+    forget(members, star, rest, sizes, crowd, *found.tested)
+    return found.roots
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -278,10 +422,11 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        edges = materialize(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct(), "large-star")
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        small = edges.join(least, "u")
-        edges = materialize(small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").union(least.select("u", "m")).distinct(), "small-star")
+        large = materialize(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct(), "large-star")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = materialize(large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").union(least.select("u", "m")).distinct(), "small-star")
+        forget(edges, large)
+        edges = small
 
 
 def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -289,10 +434,12 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     rows = docs.select("doc_id", "text").withColumn("node", F.xxhash64("text"))
     real = rows.filter(F.col("text").isNotNull())
     nodes = materialize(real.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
-    roots = components(links(real, nodes, least))
-    of = nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    ids = of.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    named = materialize(of.join(ids, "root").select("node", "class_id"), "classes")
+    roots = links(real, nodes, least)
+    several = materialize(nodes.join(_small(roots), "node").select("node", "doc_id", "root"), "linked")
+    ids = materialize(several.groupBy("root").agg(F.min("doc_id").alias("class_id")), "class-ids")
+    linked = materialize(several.join(_small(ids), "root").select(F.col("node").alias("ln"), "class_id", F.lit(True).alias("several")), "of-class")
+    named = materialize(nodes.join(_small(linked), F.col("node") == F.col("ln"), "left").select("node", F.when(F.col("several"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")), "classes")
+    forget(nodes, roots, several, ids, linked)
     out = rows.select("doc_id", "node", F.col("text").isNull().alias("none"))
     null = out.filter("none").select("doc_id", F.lit(None).cast("bigint").alias("node"), F.col("doc_id").alias("class_id"))
     return out.filter(~F.col("none")).join(named, "node").select("doc_id", "node", "class_id").union(null)
