@@ -13,11 +13,13 @@ Texts of at most ``SHORT`` words are too few k-mers for that; they meet by prefi
 which misses nothing: k-mers are put in one order for all texts, rare ones first, and linked texts share
 one of the first n - M + 2 d + 1 (n words; M and d: words and edits of the longer text).
 
-Large groups never meet as pairs.  Equal texts are one node.  Every text is compared with the one that
-is most often the first of its buckets; what is left unlinked in a bucket with another; the links
-make classes.  Then the pairs of different classes in a bucket are compared, or, if they exceed
-``EACH`` (texts that quote one passage but are not similar), the bucket's texts meet by the prefix filter
-with ``SHARED`` k-mers, which finds all their links from what is rare in them.
+Large groups hardly ever meet as pairs.  Equal texts are one node.  Every text is compared with the
+one that is most often the first of its buckets, and the links make classes.  Then, for ``ROUNDS``, each
+class of a bucket is compared with the bucket's largest class by one text of either.  What is left in a
+bucket of several classes is compared in full inside the tasks, classes apart, each pair in one of its
+buckets: the texts of the largest class are dealt over cells of about ``CELL`` texts, the others
+are sent to all of these and over cells of their own.  So all pairs of a bucket are compared or are
+in one class, and only links leave a task.
 
 Defined results: a null text is a class of its own; equal texts are one class, as are texts that
 differ in white space only, if they have words; the class id is the smallest doc_id in the class (null if it has none);
@@ -46,10 +48,10 @@ SIMILAR = 0.8
 TAKEN, MISSED = 3, 0.005
 #: Words up to which the prefix filter is used in place of sketches.
 SHORT = 32
-#: Pairs of different classes up to which a bucket's pairs are compared as they are.
-EACH = 200
-#: First k-mers that texts of larger buckets must share to be compared; more of them spare chance meetings.
-SHARED = 16
+#: Rounds in which classes that share a bucket are compared by one text each.
+ROUNDS = 1
+#: Texts of the largest class, and of the others, that are compared in one go.
+CELL = 512
 #: Texts in which k-mers and buckets are counted, how many of the most frequent k-mers are known as
 #: such (the order of the rest is by hash: any order is right, a good one makes buckets small), and
 #: how often a bucket must occur among these texts to be split.
@@ -90,17 +92,11 @@ def _k(least: float) -> int:
     return 2 if least >= 0.75 else 1
 
 
-def shared(longer: int, least: float = SIMILAR, most: int = SHARED) -> int:
-    """First k-mers that linked texts share, the longer one of ``longer`` words."""
-    k = _k(least)
-    return max(1, min(most, longer - k + 1 - k * _edits(longer, least)))
-
-
-def first(n: int, least: float = SIMILAR, most: int = SHARED) -> int:
-    """How many first k-mers of a text of n words count: enough for every length it can be linked to."""
+def first(n: int, least: float = SIMILAR) -> int:
+    """How many first k-mers of a text of n words count: of these every linked text has one, whatever its length."""
     k = _k(least)
     longest = int(n / least + 1e-9) if least > 0 else n
-    return max(n - m + k * _edits(m, least) + shared(m, least, most) for m in {*range(n, min(longest, n + 20) + 1), longest})
+    return max(n - m + k * _edits(m, least) + 1 for m in {*range(n, min(longest, n + 20) + 1), longest})
 
 
 def sketches(least: float = SIMILAR) -> int:
@@ -161,12 +157,12 @@ class Known:
     hot: dict[int, int]
 
 
-def rare(words: Sequence[str], known: Known, least: float = SIMILAR, most: int = SHARED) -> np.ndarray:
+def rare(words: Sequence[str], known: Known, least: float = SIMILAR) -> np.ndarray:
     """The text's first k-mers."""
     if not words:
         return np.zeros(0, np.int64)
     g = grams(words, _k(least))
-    n = first(len(words), least, most)
+    n = first(len(words), least)
     if n < len(g):
         slot, often = _slots(g), np.zeros(len(g), np.int64)
         if len(known.slots):
@@ -246,7 +242,7 @@ def sample(docs: DataFrame, distinct: int, least: float = SIMILAR) -> Known:
     return Known(np.array([r[0] for r in often], np.int64), np.array([r[1] for r in often], np.int64), {r["name"]: ceil(r["count"] / HOT) for r in hot})
 
 
-def _keyed(batches: Iterator[pa.RecordBatch], known: Known, least: float, exact: bool) -> Iterator[pa.RecordBatch]:
+def _keyed(batches: Iterator[pa.RecordBatch], known: Known, least: float) -> Iterator[pa.RecordBatch]:
     """(key, node, n, part) of each text's buckets; every text once in a task."""
     seen: set[int] = set()
     for b in slices(batches):
@@ -258,18 +254,15 @@ def _keyed(batches: Iterator[pa.RecordBatch], known: Known, least: float, exact:
                 seen.clear()
             seen.add(node)
             words = text.split()
-            if exact:
-                key = rare(words, known, least)
-            else:
-                key = sketched(words, least)
-                if len(words) <= SHORT:
-                    key = np.concatenate([key, rare(words, known, least, 1)])
+            key = sketched(words, least)
+            if len(words) <= SHORT:
+                key = np.concatenate([key, rare(words, known, least)])
             own.append((node, len(words), key))
         sizes = [len(key) for _, _, key in own]
         if sum(sizes):
             key = np.concatenate([key for _, _, key in own])
             node = np.repeat(np.array([node for node, _, _ in own], np.int64), sizes)
-            parts = np.fromiter((known.hot.get(k, 0) for k in key.tolist()), np.int64, len(key)) if known.hot and not exact else np.zeros(len(key), np.int64)
+            parts = np.fromiter((known.hot.get(k, 0) for k in key.tolist()), np.int64, len(key)) if known.hot else np.zeros(len(key), np.int64)
             part = np.where(parts > 0, node % np.maximum(parts, 1) + 1, 0)
             yield pa.RecordBatch.from_pydict({"key": key, "node": node, "n": np.repeat(np.array([n for _, n, _ in own], np.int32), sizes), "part": part.astype(np.int32)})
 
@@ -285,14 +278,12 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _compare(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """pairs (a, b) of nodes -> the same with ``ok``. docs: doc_id, node, text."""
-    ids = materialize(pairs.select("a").union(pairs.select("b")).distinct().join(nodes.select("node", "doc_id"), F.col("a") == F.col("node")).select(F.col("node").alias("wn"), F.col("doc_id").alias("wd")), "participants")
+def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, text of the wanted nodes. docs: doc_id, node, text; nodes: node, doc_id (of one of its documents)."""
+    ids = materialize(wanted.distinct().join(nodes.select(F.col("node").alias("wn"), F.col("doc_id").alias("wd")), F.col("node") == F.col("wn")).select("wn", "wd"), "participants")
     texts = docs.join(_small(ids), (F.col("node") == F.col("wn")) & F.col("doc_id").eqNullSafe(F.col("wd")), "left_semi")
-    texts = materialize(texts.select("node", "text").dropDuplicates(["node"]), "participant-texts")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    out = materialize(both.select("a", "b", "ta", "tb").mapInArrow(lambda it: _aligned(it, least), "a bigint, b bigint, ok boolean"), "aligned")
-    forget(ids, texts)
+    out = materialize(texts.select("node", "text").dropDuplicates(["node"]), "participant-texts")
+    forget(ids)
     return out
 
 
@@ -301,7 +292,7 @@ def buckets(docs: DataFrame, known: Known, least: float = SIMILAR) -> DataFrame:
 
     A hot bucket is dealt in parts, numbered from 1, by node; others are part 0.
     """
-    keyed = docs.select("node", "text").mapInArrow(lambda it: _keyed(it, known, least, False), "key bigint, node bigint, n int, part int")
+    keyed = docs.select("node", "text").mapInArrow(lambda it: _keyed(it, known, least), "key bigint, node bigint, n int, part int")
     w = Window.partitionBy("key", "part")
     met = keyed.withColumns({"lo": F.min(F.struct("node", "n")).over(w), "hi": F.max("node").over(w)})
     return met.filter((F.col("lo.node") < F.col("hi")) | (F.col("part") > 0)).select("key", "part", "node", "n", "lo").dropDuplicates(["key", "part", "node"])
@@ -318,57 +309,103 @@ def _met(rows: DataFrame, least: float) -> DataFrame:
     return met.filter((F.col("a") != F.col("b")) & (F.abs(F.col("na") - F.col("nb")) <= _edits_of(F.greatest("na", "nb"), least)))
 
 
-def _enough(met: DataFrame, least: float) -> DataFrame:
-    """met: one row per shared first k-mer -> (a, b) that share enough of them."""
-    k, longer = _k(least), F.greatest("na", "nb")
-    enough = F.greatest(F.lit(1), F.least(F.lit(SHARED), longer - k + 1 - k * _edits_of(longer, least)))
-    return met.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= enough).select("a", "b")
+def _classed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    return members.select("key", "node", "n").join(_small(roots), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("class"))
+
+
+def _open(classes: DataFrame) -> DataFrame:
+    """classes: key, class, size, rep (node, n) -> the buckets of several classes: key, main (size, class, rep), others (texts)."""
+    keys = classes.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.sum("size").alias("all"), F.max(F.struct("size", "class", "rep")).alias("main"))
+    return keys.filter("classes > 1").select("key", "main", (F.col("all") - F.col("main.size")).alias("others"))
 
 
-def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, node, n, class): the members of buckets that hold more than one class."""
-    classed = members.select("key", "node", "n").join(_small(roots), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("class"))
-    keys = classed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("key")
-    return materialize(classed.join(keys, "key", "left_semi"), "open")
+class _Cell:
+    """Texts of one bucket that are compared in one go."""
 
+    def __init__(self, key: int):
+        self.key, self.rows, self.root = key, [], {}
 
-def _other_classes(members: DataFrame) -> DataFrame:
-    """members: key, node, n, class -> node, n, p: the pairs of a bucket whose classes differ."""
-    other = members.select("key", F.struct("node", "n").alias("p"), F.col("class").alias("other"))
-    return members.join(other, "key").filter((F.col("node") > F.col("p.node")) & (F.col("class") != F.col("other"))).select("node", "n", "p")
+    def find(self, c: int) -> int:
+        while self.root.get(c, c) != c:
+            c = self.root[c]
+        return c
 
+    def links(self, least: float) -> Iterator[tuple[int, int]]:
+        """(node, node): links between texts of different slots, or of one if it is marked so, that make other classes one."""
+        earlier: dict[int, list[int]] = {}
+        self.rows.sort(key=lambda r: (r["n"], r["node"]))
+        words = [r["text"].split() for r in self.rows]
+        at = 0
+        for i, r in enumerate(self.rows):
+            while self.rows[at]["n"] < least * r["n"] - 1e-6:
+                at += 1
+            before = [k for k in r["keys"] if k < self.key]  # buckets that have compared their pairs
+            met = set().union(*(earlier.get(k, ()) for k in before))
+            for k in before:
+                earlier.setdefault(k, []).append(i)
+            for j in range(at, i):
+                o = self.rows[j]
+                if (r["slot"] != o["slot"] or r["within"]) and j not in met and self.find(r["class"]) != self.find(o["class"]) and similar(words[i], words[j], least):
+                    self.root[self.find(r["class"])] = self.find(o["class"])
+                    yield r["node"], o["node"]
 
-def _sizes(members: DataFrame) -> DataFrame:
-    """(key, pairs): pairs of different classes by bucket."""
-    sizes = members.groupBy("key", "class").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("sq"))
-    return sizes.select("key", ((F.col("n") * F.col("n") - F.col("sq")) / 2).alias("pairs"))
 
+def _linked(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key and cell: the links found in each cell."""
+    cell, now = _Cell(0), None
+    for b in slices(batches):
+        out: list[tuple[int, int]] = []
+        for row in b.to_pylist():
+            if now != (row["key"], row["cell"]):
+                out += cell.links(least)
+                now, cell = (row["key"], row["cell"]), _Cell(row["key"])
+            cell.rows.append(row)
+        yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+    out = list(cell.links(least))
+    yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+
+def cells(rows: DataFrame, keys: DataFrame, size: int = CELL) -> DataFrame:
+    """rows: key, node, n, class; keys: of _open -> key, cell, slot, within, node, n, class.
+
+    Two texts of a bucket are in one cell, in slots to be compared, exactly once, unless both are
+    of the largest class.
+    """
+    rows = rows.join(keys.select("key", F.col("main.class").alias("main"), F.ceil(F.col("main.size") / size).alias("na"), F.greatest(F.lit(1), F.ceil(F.col("others") / size)).alias("no")), "key")
+    is_main, mixed = F.col("class") == F.col("main"), F.xxhash64("node", "key")
+    slot = F.when(is_main, F.pmod(mixed, F.col("na"))).otherwise(F.pmod(mixed, F.col("no")))
+    rows = rows.withColumn("slot", slot)
+    zero = F.lit(0).cast("bigint")
+
+    def to(cell: Column, slot: Column, within: Column) -> Column:
+        return F.struct(cell.cast("bigint").alias("cell"), slot.cast("bigint").alias("slot"), within.alias("within"))
 
-def _pivots(members: DataFrame) -> DataFrame:
-    """members: key, node, n, class -> node, n, p: each with a text of its bucket's class of greatest id, if it is in another."""
-    pivot = members.groupBy("key").agg(F.max(F.struct("class", "node", "n")).alias("p"))
-    return members.join(pivot, "key").filter(F.col("class") != F.col("p.class")).select("node", "n", F.struct("p.node", "p.n").alias("p"))
+    with_main = F.transform(F.sequence(zero, F.col("na") - 1), lambda i: to(i, F.lit(0), (F.col("no") == 1) & (i == 0)))
+    apart = F.transform(F.sequence(zero, F.col("no") - 1), lambda k: to(F.col("na") + F.least(k, F.col("slot")) * F.col("no") + F.greatest(k, F.col("slot")), F.col("slot"), k == F.col("slot")))
+    dealt = F.when(is_main, F.array(to(F.col("slot"), F.lit(-1), F.lit(False)))).when(F.col("no") == 1, with_main).otherwise(F.concat(with_main, apart))
+    return rows.withColumn("to", F.explode(dealt)).select("key", "to.cell", "to.slot", "to.within", "node", "n", "class")
 
 
 class _Links:
-    """The pairs tested so far and the classes that the links among them make: ``roots``, (node, root)."""
+    """The classes that the links found so far make: ``roots``, (node, root). docs: doc_id, node, text."""
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, least: float):
-        self.docs, self.nodes, self.least, self.tested = docs, nodes, least, []
+        self.docs, self.nodes, self.least = docs, nodes, least
         self.roots = materialize(nodes.filter("false").select("node", F.col("node").alias("root")), "roots")
 
+    def add(self, edges: DataFrame) -> None:
+        before, self.roots = self.roots, materialize(components(edges.select("a", "b").union(self.roots.filter("node <> root"))), "roots")
+        forget(before)
+
     def test(self, pairs: DataFrame) -> None:
-        pairs = pairs.select("a", "b").distinct()
-        if self.tested:
-            pairs = pairs.join(reduce(DataFrame.union, self.tested).select("a", "b"), ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if pairs.isEmpty():
-            forget(pairs)
-            return
-        self.tested.append(_compare(self.docs, self.nodes, pairs, self.least))
-        edges = self.tested[-1].filter("ok").select("a", "b").union(self.roots.filter("node <> root"))
-        before, self.roots = self.roots, materialize(components(edges), "roots")
-        forget(before, pairs)
+        """Compares pairs (a, b) by alignment."""
+        least = self.least
+        pairs = materialize(pairs.select("a", "b").distinct(), "pairs")
+        texts = _texts(self.docs, self.nodes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
+        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        aligned = materialize(both.select("a", "b", "ta", "tb").mapInArrow(lambda it: _aligned(it, least), "a bigint, b bigint, ok boolean").filter("ok"), "aligned")
+        self.add(aligned)
+        forget(pairs, texts, aligned)
 
     def first_star(self, members: DataFrame) -> None:
         """Compares every text with the one that is most often the first of its buckets."""
@@ -378,32 +415,45 @@ class _Links:
         votes = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"))
         self.test(votes.groupBy("a").agg(F.max_by("b", F.struct("votes", "b")).alias("b")))
 
-    def exact(self, docs: DataFrame, known: Known) -> None:
-        """Tests pairs of the given texts until their classes are those of all their links."""
+    def classes(self, members: DataFrame) -> DataFrame:
+        """key, class, size, rep of every class in every bucket."""
+        return materialize(_classed(members, self.roots).groupBy("key", "class").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("node", "n")).alias("rep")), "bucket-classes")
+
+    def class_star(self, members: DataFrame) -> None:
+        """Compares each class of a bucket with the largest by one text of either, the two once in all buckets."""
+        classes = self.classes(members)
+        met = classes.join(_open(classes).select("key", "main"), "key").filter(F.col("class") != F.col("main.class"))
+        met = met.select("class", F.col("main.class").alias("other"), F.col("rep.node"), F.col("rep.n"), F.col("main.rep").alias("p"))
+        longer = F.greatest("n", "p.n")
+        met = met.filter(F.abs(F.col("n") - F.col("p.n")) <= _edits_of(longer, self.least))
+        once = met.groupBy("class", "other").agg(F.max(F.struct("node", "n", "p")).alias("x")).select("x.node", "x.n", "x.p")
+        self.test(_met(once, self.least))
+        forget(classes)
+
+    def rest(self, members: DataFrame) -> None:
+        """Compares all that is left of buckets of several classes."""
         least = self.least
-        keyed = materialize(docs.select("node", "text").mapInArrow(lambda it: _keyed(it, known, least, True), "key bigint, node bigint, n int, part int").distinct(), "exact-keys")
-        star = _open(keyed, self.roots)
-        self.test(_enough(_met(_pivots(star), least), least))
-        pairs = _open(keyed, self.roots)
-        self.test(_enough(_met(_other_classes(pairs), least), least))
-        forget(keyed, star, pairs)
+        classes = self.classes(members)
+        keys = materialize(_open(classes), "open")
+        rows = materialize(_classed(members, self.roots).join(keys.select("key"), "key", "left_semi"), "left")
+        lists = rows.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # no more than sketches
+        texts = _texts(self.docs, self.nodes, rows.select("node")).join(lists, "node")
+        dealt = cells(rows, keys).join(texts, "node").repartition("key", "cell").sortWithinPartitions("key", "cell")
+        dealt = dealt.select("key", "cell", "slot", "within", "node", "n", "class", "keys", "text")
+        found = materialize(dealt.mapInArrow(lambda it: _linked(it, least), "a bigint, b bigint"), "rest")
+        self.add(found)
+        forget(classes, keys, rows, found)
 
 
 def links(docs: DataFrame, nodes: DataFrame, least: float = SIMILAR) -> DataFrame:
     """(node, root): the classes of all links, as far as they have several nodes. nodes: node, doc_id (of one of its documents)."""
-    known = sample(docs, nodes.count(), least)
     found = _Links(docs, nodes, least)
-    members = materialize(buckets(docs, known, least), "members")
+    members = materialize(buckets(docs, sample(docs, nodes.count(), least), least), "members")
     found.first_star(members)
-    star = _open(members, found.roots)
-    found.test(_met(_pivots(star), least))
-    rest = _open(star, found.roots)
-    sizes = materialize(_sizes(rest), "sizes")
-    found.test(_met(_other_classes(rest.join(sizes.filter(F.col("pairs") <= EACH), "key", "left_semi")), least))
-    crowd = materialize(rest.join(sizes.filter(F.col("pairs") > EACH), "key", "left_semi").select(F.col("node").alias("wn")).distinct(), "crowd")
-    if not crowd.isEmpty():
-        found.exact(docs.join(_small(crowd), F.col("node") == F.col("wn"), "left_semi"), known)
-    forget(members, star, rest, sizes, crowd, *found.tested)
+    for _ in range(ROUNDS):
+        found.class_star(members)
+    found.rest(members)
+    forget(members)
     return found.roots
 
 

@@ -195,6 +195,31 @@ def test_near_duplicates_of_many_versions(spark):
     assert found_classes(spark, texts) == classes_by_all_pairs(texts)
 
 
+def test_near_duplicates_in_cells(spark, monkeypatch):
+    # cells and parts much smaller than the buckets: every pair must still meet
+    monkeypatch.setattr(neardup, "CELL", 4)
+    monkeypatch.setattr(neardup, "HOT", 20)
+    monkeypatch.setattr(neardup.cells, "__defaults__", (4,))
+    rng = random.Random(13)
+    passage, texts = [f"p{rng.randrange(10**6)}" for _ in range(80)], []
+    for _ in range(30):
+        own = [f"o{rng.randrange(10**6)}" for _ in range(rng.randint(10, 40))]
+        texts += [passage + own, own[: len(own) // 2] + passage + own[len(own) // 2 :]]
+    assert found_classes(spark, texts) == classes_by_all_pairs(texts)
+
+
+def test_sketches_meet_at_the_threshold():
+    rng = random.Random(6)
+    for similarity, least in ((0.9, 0.999), (0.85, 0.995), (0.8, 0.985)):
+        met = 0
+        for i in range(400):
+            n = rng.randint(40, 300)
+            text, edits = [f"w{rng.randrange(10**6)}" for _ in range(n)], int((1 - similarity) * n + 1e-9)
+            at = set(rng.sample(range(n), edits) if i % 2 else range(1, n, n // edits))  # scattered, or as far apart as can be
+            met += bool({*neardup.sketched(text)} & {*neardup.sketched([f"x{j}" if j in at else w for j, w in enumerate(text)])})
+        assert met / 400 >= least
+
+
 def test_near_duplicates_at_the_threshold(spark):
     rng = random.Random(4)
     texts = []
