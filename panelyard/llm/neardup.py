@@ -61,7 +61,7 @@ SEEN = 200_000
 #: Rows of two numbers up to which a table is broadcast; beyond it is shuffled.
 BROADCAST_ROWS = 500_000
 #: k-mers of a text hashed at a time.
-CHUNK = 1 << 15
+CHUNK = 1 << 13
 
 _U = np.uint64
 
