@@ -4,21 +4,21 @@ A text is read in windows of ``WINDOW`` bytes.  One gated recurrent layer runs o
 the left, one from the right; a softmax over both states labels every byte position, and a
 document's probabilities are the mean over all its positions.  The network is trained in numpy by
 backpropagation through time on windows of a bounded sample (``PER_LANG`` documents of each
-language, ``PER_DOC`` windows of each).
+language, whatever their number, ``PER_DOC`` windows of each).
 
-Defined results: a null text or one without letters is ``und`` with score 0, as is everything if
+Defined results: a null text or one without letters (Unicode category L) is ``und`` with score 0, as is everything if
 there is nothing to learn from; texts are read whole at any length; repeated rows are labelled
 alike; an empty table gives an empty result.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +34,7 @@ STEPS, BATCH, RATE = 240, 192, 0.02
 TOGETHER = 1024
 
 SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double, n_positions bigint, share_labelled double"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def held_out():

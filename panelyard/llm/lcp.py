@@ -22,11 +22,11 @@ gives an empty result.  Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, table
@@ -37,12 +37,14 @@ LEVELS, SLOTS = (2, 3), 64
 #: Rounds of coin tossing per level, from 64-bit names to labels below 10.
 ROUNDS = 3
 EMPTY = 0xFFFF
-#: Symbols parsed at a time; a cut is forced at each multiple, which bounds memory on very long texts.
+#: Symbols of one text parsed at a time; longer texts are streamed, with the same result.
 BLOCK = 1 << 20
+#: Symbols to the left on which the cuts before a position depend, and one more.
+CONTEXT = ROUNDS + 2
 #: Symbols of several texts parsed in one go.
 TOGETHER = 1 << 18
-#: Buckets of the order by id.
-MOST_BUCKETS = 2048
+#: Buckets of the order by id; their limits and first ids are all that the driver holds.
+MOST_BUCKETS = 1 << 17
 
 SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -83,16 +85,13 @@ def _toss(label: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return out
 
 
-def level(symbols: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Phrase names of texts laid end to end, and where each text begins among the names.
-
-    symbols: 64-bit; begins: ascending first positions of the texts, none of which is empty.
-    """
+def _collapse(symbols: np.ndarray, begins: np.ndarray, before: np.uint64 | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Runs become single symbols. before: the symbol to the left of the first one, if there is one."""
     new = np.empty(len(symbols), bool)
     new[0] = True
     np.not_equal(symbols[1:], symbols[:-1], out=new[1:])
     new[begins] = True
-    if not new.all():  # runs become single symbols
+    if not new.all():
         starts = np.flatnonzero(new)
         length = np.diff(starts, append=len(symbols))
         run = np.flatnonzero(length > 1)
@@ -101,13 +100,28 @@ def level(symbols: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarr
         symbols[run] = _mix(symbols[run] + _mix(length[run].astype(np.uint64)))
         same = np.setdiff1d(np.flatnonzero(symbols[1:] == symbols[:-1]) + 1, begins)  # a chance collision
         symbols[same] = _mix(symbols[same] + _U(1))
-    n = len(symbols)
+    if before is not None and symbols[0] == before:
+        symbols[0] = _mix(symbols[0] + _U(1))
+    return symbols, begins
+
+
+def _peaks(symbols: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where phrases begin, but for the ends of texts: at local maxima of the tossed labels."""
     label = symbols
     for _ in range(ROUNDS):
         label = _toss(label, begins)
-    peak = np.zeros(n, bool)
+    peak = np.zeros(len(symbols), bool)
     peak[1:-1] = (label[1:-1] > label[:-2]) & (label[1:-1] > label[2:])
-    ends = np.append(begins[1:], n)
+    return peak
+
+
+def level(symbols: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phrase names of texts laid end to end, and where each text begins among the names.
+
+    symbols: 64-bit; begins: ascending first positions of the texts, none of which is empty.
+    """
+    symbols, begins = _collapse(symbols, begins)
+    peak, ends = _peaks(symbols, begins), np.append(begins[1:], len(symbols))
     peak[ends - 1] = False
     peak[begins] = True
     for a, b in zip(begins[short := np.flatnonzero(ends - begins < 4)], ends[short], strict=True):
@@ -116,7 +130,76 @@ def level(symbols: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return _names(symbols, starts), np.searchsorted(starts, begins)
 
 
-def sketches(texts: list[str]) -> np.ndarray:
+def stream_level(parts: Iterable[np.ndarray]) -> Iterator[np.ndarray]:
+    """Phrase names of one text that comes in parts; the same as ``level`` of the whole, in memory of a part.
+
+    The last run of a part waits for the next part, as does the last phrase, with so much
+    of what comes before it that the cuts behind it are those of the whole text.
+    """
+    first = np.zeros(1, np.intp)
+    ready, context = np.zeros(0, np.uint64), 0  # collapsed symbols, how many of these are named
+    run, length = _U(0), 0  # the open run
+
+    def named(last: bool) -> np.ndarray:
+        nonlocal ready, context
+        n = len(ready)
+        peak = _peaks(ready, first) if n > 1 else np.zeros(n, bool)
+        peak[: context + 1] = False
+        peak[-1:] = False
+        if last and not context and n < 4:
+            peak[:] = False
+        starts = np.append(context, np.flatnonzero(peak))
+        if last:
+            return _names(ready[context:], starts - context)
+        end = starts[-1]
+        out = _names(ready[context:end], starts[:-1] - context) if end > context else np.zeros(0, np.uint64)
+        keep = max(0, end - CONTEXT)
+        ready, context = ready[keep:], end - keep
+        return out
+
+    def closed() -> None:
+        """The open run joins the collapsed symbols."""
+        nonlocal ready
+        symbol = np.array([run], np.uint64)
+        if length > 1:
+            symbol = _mix(symbol + _mix(np.array([length], np.uint64)))
+        if len(ready) and symbol[0] == ready[-1]:
+            symbol = _mix(symbol + _U(1))
+        ready = np.append(ready, symbol)
+
+    for part in parts:
+        if length:
+            other = np.flatnonzero(part != run)
+            lead = int(other[0]) if len(other) else len(part)
+            length, part = length + lead, part[lead:]
+        if not len(part):
+            continue
+        if length:
+            closed()
+        other = np.flatnonzero(part != part[-1])
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut:
+            ready = np.concatenate([ready, _collapse(part[:cut].copy(), first, ready[-1] if len(ready) else None)[0]])
+        run, length = part[-1], len(part) - cut
+        if len(ready) > 2 * CONTEXT:
+            yield named(False)
+    if length:
+        closed()
+    if len(ready) > context:
+        yield named(True)
+
+
+def _put(out: np.ndarray, symbols: np.ndarray, owner: np.ndarray | int, depth: int) -> None:
+    """Puts the names of a level in the slots of their texts' sketches."""
+    h = _mix(symbols + _U(depth))
+    np.minimum.at(out.reshape(-1), owner * SLOTS + (h >> _U(32)).astype(np.intp) % SLOTS, ((h & _U(0xFFFFFFFF)) % _U(EMPTY)).astype(np.uint16))
+
+
+def _symbols(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + _U(1)
+
+
+def sketches(texts: list[str], block: int = BLOCK) -> np.ndarray:
     """(texts, SLOTS) 16-bit values; EMPTY where no name fell."""
     out = np.full((len(texts), SLOTS), EMPTY, np.uint16)
     queue: list[np.ndarray] = []
@@ -126,25 +209,35 @@ def sketches(texts: list[str]) -> np.ndarray:
     def flush() -> None:
         nonlocal waiting
         owns, begins = np.array(owner), np.cumsum([0, *(len(x) for x in queue[:-1])])
-        symbols = np.concatenate(queue).astype(np.uint64) + _U(1)
+        symbols = np.concatenate(queue)
         for depth in range(1, max(LEVELS) + 1):
             symbols, begins = level(symbols, begins)
             if depth in LEVELS:
-                h = _mix(symbols + _U(depth))
-                at = np.repeat(owns, np.diff(begins, append=len(symbols))) * SLOTS + (h >> _U(32)).astype(np.intp) % SLOTS
-                np.minimum.at(out.reshape(-1), at, ((h & _U(0xFFFFFFFF)) % _U(EMPTY)).astype(np.uint16))
+                _put(out, symbols, np.repeat(owns, np.diff(begins, append=len(symbols))), depth)
         queue.clear()
         owner.clear()
         waiting = 0
 
+    def watched(parts: Iterable[np.ndarray], i: int, depth: int) -> Iterator[np.ndarray]:
+        for part in parts:
+            _put(out, part, i, depth)
+            yield part
+
     for i, text in enumerate(texts):
-        for a in range(0, len(text), BLOCK):
-            part = np.frombuffer(text[a : a + BLOCK].encode("utf-32-le", "surrogatepass"), np.uint32)
-            if waiting and waiting + len(part) > TOGETHER:
+        if len(text) > block:
+            parts: Iterable[np.ndarray] = (_symbols(text[a : a + block]) for a in range(0, len(text), block))
+            for depth in range(1, max(LEVELS) + 1):
+                parts = stream_level(parts)
+                if depth in LEVELS:
+                    parts = watched(parts, i, depth)
+            for _ in parts:
+                pass
+        elif text:
+            if waiting and waiting + len(text) > TOGETHER:
                 flush()
-            queue.append(part)
+            queue.append(_symbols(text))
             owner.append(i)
-            waiting += len(part)
+            waiting += len(text)
     if queue:
         flush()
     return out
@@ -211,32 +304,30 @@ def fingerprints(docs: DataFrame, rows_per_bucket: int = 1000) -> DataFrame:
     buckets = min(MOST_BUCKETS, max(1, rows.select("doc_id").count() // rows_per_bucket))
     bucket = F.lit(0)
     if buckets > 1:
-        cuts = sorted(set(rows.select("doc_id").approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.2 / buckets)))
-        bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(_bisect([int(c) for c in cuts]))
+        cuts = np.array(sorted(set(rows.select("doc_id").approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.2 / buckets))), np.int64)
+        bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(_bucket_of(cuts)("doc_id"))
     rows = rows.withColumn("bucket", bucket)
     firsts = rows.groupBy("bucket").agg(F.max(F.col("doc_id").isNull()).alias("some_null"), F.min("doc_id").alias("first")).orderBy("bucket").collect()
     if not firsts:
         return docs.sparkSession.createDataFrame([], SCHEMA)
-    used = [r["bucket"] for r in firsts]
-    before = [0] * (used[-1] + 1)
-    for i, b in enumerate(used):
-        before[b] = used[i - 1]  # cyclic: the very first row also ends the last bucket
-    lent = F.coalesce(F.col("doc_id").isin([r["first"] for r in firsts if not r["some_null"]]), F.lit(False))
-    if firsts[0]["some_null"]:
-        lent = lent | F.col("doc_id").isNull()
+    # cyclic: the very first row also ends the last bucket
+    lists = [(r["bucket"], firsts[i - 1]["bucket"], None if r["some_null"] else r["first"]) for i, r in enumerate(firsts)]
+    limits = docs.sparkSession.createDataFrame(lists, "of int, before int, first bigint")  # a row for each bucket
     own = F.struct(F.col("bucket"), F.lit(True).alias("own"))
-    loan = F.struct(F.element_at(F.array(*map(F.lit, before)), F.col("bucket") + 1).alias("bucket"), F.lit(False).alias("own"))
-    dealt = rows.select("doc_id", "text", F.explode(F.when(lent, F.array(own, loan)).otherwise(F.array(own))).alias("to")).select("to.bucket", "doc_id", "to.own", "text")
-    dealt = dealt.repartitionById(used[-1] + 1, F.col("bucket")).sortWithinPartitions("bucket", F.desc("own"), F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
-    return dealt.mapInArrow(_pairs, SCHEMA)
-
-
-def _bisect(cuts: list[int], base: int = 0) -> Column:
-    """Number of cuts at most doc_id, as nested comparisons of logarithmic depth."""
-    if not cuts:
-        return F.lit(base)
-    mid = len(cuts) // 2
-    return F.when(F.col("doc_id") < cuts[mid], _bisect(cuts[:mid], base)).otherwise(_bisect(cuts[mid + 1 :], base + mid + 1))
+    loan = F.struct(F.col("before").alias("bucket"), F.lit(False).alias("own"))
+    dealt = rows.join(F.broadcast(limits), F.col("bucket") == F.col("of")).withColumn("to", F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("first")), F.array(own, loan)).otherwise(F.array(own))))
+    dealt = dealt.select("to.bucket", "doc_id", "to.own", "text").repartitionById(firsts[-1]["bucket"] + 1, F.col("bucket"))
+    return dealt.sortWithinPartitions("bucket", F.desc("own"), F.asc_nulls_first("doc_id"), F.asc_nulls_first("text")).mapInArrow(_pairs, SCHEMA)
+
+
+def _bucket_of(cuts: np.ndarray):
+    """Number of cuts at most doc_id."""
+
+    @F.arrow_udf("int")
+    def bucket(doc_id: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(cuts, doc_id.fill_null(0).to_numpy(zero_copy_only=False), side="right").astype(np.int32))
+
+    return bucket
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,6 +107,164 @@ def test_fingerprints_next_and_edited(spark):
         assert out[r["doc_id"]]["edited_fingerprint"] == lcp.to_hex(lcp.fingerprint(changed))
 
 
+def naive_level(symbols):
+    """Runs, coin tossing and local maxima symbol by symbol, without arrays."""
+    top = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & top
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & top
+        return x ^ x >> 31
+
+    runs = []
+    for x in symbols:
+        if runs and runs[-1][0] == x:
+            runs[-1][1] += 1
+        else:
+            runs.append([x, 1])
+    s = [x if n == 1 else mix((x + mix(n)) & top) for x, n in runs]
+    label = s
+    for _ in range(3):
+        tossed = [0]
+        for left, x in zip(label, label[1:]):
+            place = ((left ^ x) & -(left ^ x)).bit_length() - 1
+            tossed.append(2 * place + (x >> place & 1))
+        tossed[0] = (tossed[1] if len(s) > 1 else 0) ^ 1
+        label = tossed
+    starts = [0] + ([i for i in range(1, len(s) - 1) if label[i - 1] < label[i] > label[i + 1]] if len(s) >= 4 else [])
+    names = []
+    for a, b in zip(starts, starts[1:] + [len(s)]):
+        total = 0
+        for place, x in enumerate(s[a:b], 1):
+            h = ((place * 0x9E3779B97F4A7C15 & top) ^ x) * 0xBF58476D1CE4E5B9 & top
+            total += (h ^ h >> 32) * 0x94D049BB133111EB
+        names.append(mix(total & top))
+    return names, mix
+
+
+def naive_fingerprint(text):
+    symbols, slots = [ord(c) + 1 for c in text], [0xFFFF] * 64
+    for depth in (1, 2, 3) if symbols else ():
+        symbols, mix = naive_level(symbols)
+        for x in symbols if depth > 1 else ():
+            h = mix((x + depth) & ((1 << 64) - 1))
+            slots[(h >> 32) % 64] = min(slots[(h >> 32) % 64], (h & 0xFFFFFFFF) % 0xFFFF)
+    return slots
+
+
+def naive_likeness(a, b):
+    filled = [(x, y) for x, y in zip(a, b) if x != 0xFFFF or y != 0xFFFF]
+    return sum(x == y for x, y in filled) / len(filled) if filled else 1.0
+
+
+def test_fingerprints_equal_a_naive_parser(spark):
+    rows = table(spark, SF, "documents").select("doc_id", "text").orderBy("doc_id").limit(60).collect()
+    extra = ["", "a", "ab", "aaaa", "abc" * 3, "x" * 50 + "yx", None, "ab" * 400, "a\U0001F389b" * 30]
+    texts = [r["text"] for r in rows] + extra
+    out = {r["doc_id"]: r for r in lcp.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), rows_per_bucket=7).collect()}
+    texts = [x or "" for x in texts]
+    prints = [naive_fingerprint(x) for x in texts]
+    for i, text in enumerate(texts):
+        following = (i + 1) % len(texts)
+        half = len(text) // 2
+        changed = text[: len(text) - half] + texts[following][:half]
+        other = naive_fingerprint(changed)
+        assert out[i]["fingerprint"] == "".join(f"{x:04x}" for x in prints[i]) and out[i]["edited_fingerprint"] == "".join(f"{x:04x}" for x in other)
+        assert out[i]["near_edited"] == naive_likeness(prints[i], other) and out[i]["near_next"] == naive_likeness(prints[i], prints[following])
+        assert out[i]["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest() and out[i]["n_chars"] == len(text)
+
+
+def test_long_texts_are_parsed_alike_in_parts():
+    rng = random.Random(1)
+    for _ in range(150):
+        alphabet = rng.choice(["ab", "abcdefgh ", " "])
+        text = "".join(rng.choice(alphabet) * rng.choice([1, 1, 1, 1, 2, 5, 40]) for _ in range(rng.choice([1, 2, 3, 4, 5, 10, 50, 300])))
+        whole = lcp.fingerprint(text)
+        assert all((lcp.sketches([text], block)[0] == whole).all() for block in (1, 2, 3, 7, 50))
+    body = "".join(rng.choice("abcdefgh ") for _ in range(3_000_000))
+    a, b = lcp.sketches([body, "q" + body])
+    assert lcp.likeness(a, b) == 1.0
+
+
+def naive_network(net, raw):
+    """Mean of the position probabilities of one window, gate by gate and byte by byte."""
+    def sigmoid(x):
+        return 1 / (1 + np.exp(-x))
+
+    states = []
+    for d, order in ((0, range(len(raw))), (1, range(len(raw) - 1, -1, -1))):
+        h, own = np.zeros(net.u.shape[-1]), {}
+        for t in order:
+            z, r = (sigmoid(net.x[d, g, raw[t]].astype(float) + h @ net.u[d, g].astype(float)) for g in (0, 1))
+            n = np.tanh(net.x[d, 2, raw[t]].astype(float) + r * (h @ net.u[d, 2].astype(float)))
+            h = own[t] = (1 - z) * n + z * h
+        states.append(own)
+    total = 0
+    for t in range(len(raw)):
+        e = np.exp(np.concatenate([states[0][t], states[1][t]]) @ net.o.astype(float) + net.c)
+        total = total + e / e.sum()
+    return total
+
+
+def test_language_equals_a_naive_network(texts):
+    rng = np.random.default_rng(0)
+    seqs = rng.integers(97, 123, (60, langid.WINDOW)).astype(np.int16)
+    net = langid.train(seqs, rng.integers(0, 3, 60), ["a", "b", "c"], steps=5)
+    some = [t for t in texts[:25] + ODD if t]
+    for text, (lang, score, n, _) in zip(some, langid.label(some, net), strict=True):
+        raw = text.encode()
+        p = sum(naive_network(net, raw[at : at + langid.WINDOW]) for at in range(0, len(raw), langid.WINDOW)) / len(raw)
+        assert lang == "und" or (n == len(raw) and abs(score - p.max()) < 1e-3 and abs(p[net.langs.index(lang)] - p.max()) < 1e-3)
+    assert [x[0] for x in langid.label(["½ ²", "Ⅷ", "③ 12", "_"], net)] == ["und"] * 4
+
+
+def test_seventy_languages(spark):
+    docs = spark.createDataFrame([(i, f"lang{i % 70}", " ".join([f"w{i % 70}x"] * 20)) for i in range(700)], "doc_id bigint, lang string, text string")
+    assert len(langid.fit(docs, steps=2).langs) == 70
+
+
+def test_descent_reaches_the_optimum():
+    """The hinge loss with the quadratic penalty cannot be lowered by subgradient steps from what the descent finds."""
+    rng = np.random.default_rng(2)
+    rows = [np.flatnonzero(rng.random(12) < 0.4) for _ in range(60)]
+    y = np.where(np.array([len(r) and r[0] < 2 for r in rows]) ^ (rng.random(60) < 0.1), 1, -1)
+    ratio = rng.normal(0, 1, 12)
+    x = np.zeros((60, 13))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / max(1.0, len(r) ** 0.5)
+    x[:, 12] = 1
+    c = quality.C * np.where(y > 0, 60 / (2 * (y > 0).sum()), 60 / (2 * (y < 0).sum()))
+
+    def objective(w):
+        return 0.5 * w @ w + (c * np.maximum(0, 1 - y * (x @ w))).sum()
+
+    w, b = quality.descend(rows, y, ratio, passes=2000)
+    found, best = objective(np.append(w, b)), np.inf
+    own = np.zeros(13)
+    for step in range(1, 60_001):
+        slack = 1 - y * (x @ own) > 0
+        own = own - (own - (c * y * slack) @ x) / step
+        best = min(best, objective(own))
+    assert found <= best + 1e-6 * abs(best)
+
+
+def test_quality_scores_equal_a_naive_model(spark, texts):
+    rng = np.random.default_rng(4)
+    model = quality.Model(rng.normal(0, 1, quality.SPACE).astype(np.float32), 0.2, 1.3, -0.1)
+    some = [t for t in texts[:30] + ODD]
+    out = {r["doc_id"]: r["score"] for r in quality.score(spark.createDataFrame(list(enumerate(some)), "doc_id bigint, text string"), model).collect()}
+    for i, text in enumerate(some):
+        raw, found = text.encode(), set()
+        for n in quality.LENGTHS:
+            for at in range(len(raw) - n + 1):
+                h = 0
+                for byte in raw[at : at + n]:
+                    h = (h + 1) * 0x01000193 & 0xFFFFFFFF ^ (byte * 0x9E3779B1 & 0xFFFFFFFF)
+                found.add((h ^ h >> 15) & quality.SPACE - 1)
+        margin = model.bias + sum(float(model.weights[f]) for f in found) / max(1.0, len(found) ** 0.5)
+        assert abs(out[i] - 1 / (1 + np.exp(-(model.slope * margin + model.offset)))) < 1e-9
+
+
 def edit_distance(a, b):
     before = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
