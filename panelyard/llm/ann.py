@@ -4,12 +4,17 @@ Trees are built on the driver from a bounded sample: each node splits its part o
 median of the projection on the line through two of its points.  For inner products the vectors get
 one component more, which brings them all to the same length; queries get a zero there.  Every row is
 then put in its leaf of every tree.  A query walks all trees through one priority queue, keyed by
-the largest margin by which it lies on the other side of a split on the way, and collects leaves,
-best first, until they hold ``SHARE`` times as many entries as there are vectors (a vector has one
-entry per tree, so that is about four fifths of the vectors where the data have no structure at all,
-the worst case; clustered data need far less).  The candidates in these leaves are scored exactly,
+the largest margin by which it lies on the other side of a split on the way, and collects leaves, best
+first, until they hold ``COVER`` of its ``NEAR`` nearest landmarks (vectors of the sample): the leaves
+that hold so much of what is near the query in the sample hold as much at least of its neighbours, which
+are nearer.  So the share of the vectors that a query meets follows from the data: small if they are
+clustered, large if they have no structure at all.  The candidates in the leaves are scored exactly,
 in double precision.
 
+Leaves are laid out in parts of about ``ROOM`` entries, a large leaf over several parts; a query
+goes once to each part that holds a leaf of its own.  A part's entries are in memory, its queries are
+streamed, so a task is bounded at any number of vectors.
+
 Equal vectors are one entry everywhere, so a vector that a third of the rows share costs no more
 than any other.  An entry stands for its ids; a query needs no more than its ``k`` + 1 smallest.
 
@@ -33,10 +38,12 @@ from pyspark.sql import functions as F
 from .common import materialize, release, table
 
 K, EVERY = 20, 20
-#: Bound of the sample the trees are built from, trees, entries per leaf, entries visited per vector.
-SAMPLE, TREES, LEAF, SHARE = 20_000, 10, 2048, 1.6
-#: Found rows that a task holds before it thins them.
-HELD = 300_000
+#: Bound of the sample the trees are built from, trees, entries per leaf (more, if the sample is too small to split so far).
+SAMPLE, TREES, LEAF = 20_000, 4, 256
+#: Bound of the landmarks, how many near ones a query looks for, and the share it must find.
+LANDMARKS, NEAR, COVER = 20_000, 20, 0.95
+#: Entries of a part, queries that go through a part together, found rows held before they are thinned.
+ROOM, TOGETHER, HELD = 20_000, 1024, 300_000
 
 
 @dataclass
@@ -48,6 +55,9 @@ class Forest:
     cuts: np.ndarray  # (trees, nodes)
     sizes: np.ndarray  # (trees, leaves), entries expected in each leaf
     longest: float  # length that vectors are filled up to
+    landmarks: np.ndarray  # (n, dim)
+    places: np.ndarray  # (trees, n): the landmarks' leaves
+    parts: list[list[tuple[int, int]]]  # of each leaf, numbered tree * leaves + leaf: its first part and how many
 
     def filled(self, x: np.ndarray) -> np.ndarray:
         """Vectors with the component that brings them to the common length."""
@@ -63,14 +73,26 @@ class Forest:
                 out[t] = 2 * out[t] + (np.einsum("ij,ij->i", x, self.lines[t, node]) > self.cuts[t, node])
         return out
 
-    def search(self, q: np.ndarray, budget: float) -> list[tuple[int, int]]:
-        """Leaves (tree, leaf) in order of the shared queue until they hold ``budget`` entries."""
+    def wanted(self, q: np.ndarray, near: int = NEAR, cover: float = COVER) -> tuple[list[tuple[int, int]], int]:
+        """Of the landmarks nearest to a query: (tree, leaf) of each in each tree, and how many must be found."""
+        if not len(self.landmarks):
+            return [], 0
+        near = min(near, len(self.landmarks))
+        best = np.argpartition(-(self.landmarks @ q), near - 1)[:near]
+        return [list(enumerate(own)) for own in self.places[:, best].T.tolist()], int(np.ceil(cover * near))
+
+    def search(self, q: np.ndarray) -> list[int]:
+        """Numbers of the leaves in order of the shared queue, until they cover the landmarks near the query."""
+        wanted, enough = self.wanted(q)
+        holds: dict[tuple[int, int], list[int]] = {}
+        for j, own in enumerate(wanted):
+            for place in own:
+                holds.setdefault(place, []).append(j)
         q = q / np.linalg.norm(q) * self.longest
         margins = (self.lines[:, :, :-1] @ q - self.cuts).tolist() if self.depth else []
-        sizes = self.sizes.tolist()
         queue: list[tuple[float, int, int, int]] = [(0.0, t, 0, 0) for t in range(len(self.lines))]
-        found, held = [], 0.0
-        while queue and held < budget:
+        found, covered, leaves = [], set(), self.sizes.shape[1]
+        while queue and (not wanted or len(covered) < enough):
             worst, t, level, i = heapq.heappop(queue)
             while level < self.depth:
                 m = margins[t][2**level - 1 + i]
@@ -78,23 +100,35 @@ class Forest:
                 level += 1
                 heapq.heappush(queue, (max(worst, abs(m)), t, level, near ^ 1))
                 i = near
-            found.append((t, i))
-            held += sizes[t][i]
+            found.append(t * leaves + i)
+            covered.update(holds.get((t, i), ()))
         return found
 
 
-def grow(sample: np.ndarray, total: int, longest: float, trees: int = TREES, leaf: int = LEAF) -> Forest:
+def laid_out(sizes: np.ndarray, room: int = ROOM) -> list[tuple[int, int]]:
+    """First part and number of parts of each leaf: leaves follow each other in parts of ``room`` entries, large ones fill several."""
+    out, part, used = [], 0, 0.0
+    for size in sizes.ravel().tolist():
+        if used and used + size > room:
+            part, used = part + 1, 0.0
+        n = max(1, int(np.ceil(size / room)))
+        out.append((part, n))
+        part, used = (part + n, 0.0) if n > 1 else (part, used + size)
+    return out
+
+
+def grow(sample: np.ndarray, total: int, longest: float, trees: int = TREES, leaf: int = LEAF, room: int = ROOM) -> Forest:
     """sample: (n, dim) distinct vectors, a bounded part of ``total``."""
     n = len(sample)
     depth = max(0, min(int(np.ceil(np.log2(max(1, total) / leaf))), int(np.log2(max(1, n / 4)))))
-    forest = Forest(depth, np.zeros((trees, max(1, 2**depth - 1), sample.shape[1] + 1)), np.zeros((trees, max(1, 2**depth - 1))), np.zeros((trees, 2**depth)), longest)
+    forest = Forest(depth, np.zeros((trees, max(1, 2**depth - 1), sample.shape[1] + 1)), np.zeros((trees, max(1, 2**depth - 1))), np.zeros((trees, 2**depth)), longest, sample[:LANDMARKS], np.zeros((trees, 0), np.int32), [])
     x = forest.filled(sample)
     for t in range(trees):
         rng = np.random.default_rng(t)
-        parts = [np.arange(n)]
+        split = [np.arange(n)]
         for level in range(depth):
-            split = []
-            for i, own in enumerate(parts):
+            halves = []
+            for i, own in enumerate(split):
                 node = 2**level - 1 + i
                 if len(own) > 1:
                     a, b = rng.choice(own, 2, replace=False)
@@ -102,11 +136,13 @@ def grow(sample: np.ndarray, total: int, longest: float, trees: int = TREES, lea
                     line /= max(1e-30, float(np.linalg.norm(line)))
                     p = x[own] @ line
                     forest.lines[t, node], forest.cuts[t, node] = line, np.median(p)
-                    split += [own[p <= forest.cuts[t, node]], own[p > forest.cuts[t, node]]]
+                    halves += [own[p <= forest.cuts[t, node]], own[p > forest.cuts[t, node]]]
                 else:
-                    split += [own, own[:0]]
-            parts = split
-        forest.sizes[t] = [len(own) * total / max(1, n) for own in parts]
+                    halves += [own, own[:0]]
+            split = halves
+        forest.sizes[t] = [len(own) * total / max(1, n) for own in split]
+    forest.places = forest.leaves(forest.landmarks)
+    forest.parts = laid_out(forest.sizes, room)
     return forest
 
 
@@ -115,67 +151,39 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.asarray(flat.flatten(), np.float64).reshape(len(flat), -1)
 
 
+#: What is dealt to parts: entries (query false) with their leaf, queries with all leaves they have there.
+DEALT = "part int, query boolean, leaf array<int>, key binary, rep bigint, vec array<double>"
+
+
 def _placed(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[pa.RecordBatch]:
+    leaves = forest.sizes.shape[1]
+    first, n = np.array(forest.parts, np.int64).T
     for b in batches:
         if not b.num_rows:
             continue
-        where = forest.leaves(_matrix(b.column("vec")))
-        for t, leaf in enumerate(where):
-            yield pa.RecordBatch.from_pydict({"tree": pa.array(np.full(len(leaf), t, np.int32)), "leaf": pa.array(leaf), "query": pa.array(np.zeros(len(leaf), bool)), "key": b.column("key"), "rep": b.column("rep"), "vec": b.column("vec")})
+        mixed = _names(b.column("key"))[:, 0]
+        for t, where in enumerate(forest.leaves(_matrix(b.column("vec")))):
+            leaf = t * leaves + where.astype(np.int64)
+            part = first[leaf] + (mixed % n[leaf].astype(np.uint64)).astype(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(leaf) + 1, dtype=np.int32)), pa.array(leaf.astype(np.int32)))
+            yield pa.RecordBatch.from_pydict({"part": pa.array(part.astype(np.int32)), "query": pa.array(np.zeros(len(leaf), bool)), "leaf": lists, "key": b.column("key"), "rep": b.column("rep"), "vec": b.column("vec")})
 
 
-def _sought(batches: Iterator[pa.RecordBatch], forest: Forest, budget: float) -> Iterator[pa.RecordBatch]:
+def _sought(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        if not b.num_rows:
-            continue
         for a in range(0, b.num_rows, 200):
-            part = b.slice(a, 200)
-            found = [forest.search(q, budget) for q in _matrix(part.column("vec"))]
-            at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-            tree, leaf = np.array([x for f in found for x in f], np.int32).T
-            yield pa.RecordBatch.from_pydict({"tree": pa.array(tree), "leaf": pa.array(leaf), "query": pa.array(np.ones(len(tree), bool)), "key": part.column("key").take(at), "rep": part.column("rep").take(at), "vec": part.column("vec").take(at)})
-
-
-class _Best:
-    """The best entries met so far for each query of a task, at most ``k`` each.
-
-    Found rows are kept as they come and thinned when they exceed HELD; if the thinned rows are still
-    half of that (very many queries), they are handed on and the rest starts anew.
-    """
-
-    def __init__(self, k: int):
-        self.k, self.rows, self.n = k, [], 0
-
-    def add(self, q: np.ndarray, c: np.ndarray, rep: np.ndarray, score: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.rows.append((q, c, rep, score))
-        self.n += len(rep)
-        if self.n > HELD:
-            self._thin()
-            if self.n > HELD // 2:
-                yield from self.flush()
-
-    def _thin(self) -> None:
-        q, c, rep, score = (np.concatenate(x) for x in zip(*self.rows, strict=True))
-        order = np.lexsort((-score, c[:, 1], c[:, 0], q[:, 1], q[:, 0]))
-        q, c, rep, score = q[order], c[order], rep[order], score[order]
-        new = np.append(True, (q[1:] != q[:-1]).any(1) | (c[1:] != c[:-1]).any(1))
-        q, c, rep, score = q[new], c[new], rep[new], score[new]
-        order = np.lexsort((rep, -score, q[:, 1], q[:, 0]))
-        q, c, rep, score = q[order], c[order], rep[order], score[order]
-        first = np.flatnonzero(np.append(True, (q[1:] != q[:-1]).any(1)))
-        place = np.arange(len(q)) - np.repeat(first, np.diff(first, append=len(q)))
-        keep = place < self.k
-        self.rows, self.n = [(q[keep], c[keep], rep[keep], score[keep])], int(keep.sum())
-
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        if not self.n:
-            return
-        self._thin()
-        q, c, rep, score = self.rows[0]
-        for a in range(0, len(rep), 10_000):
-            part = slice(a, a + 10_000)
-            yield pa.RecordBatch.from_pydict({"q": pa.array([x.tobytes() for x in q[part]], pa.binary()), "c": pa.array([x.tobytes() for x in c[part]], pa.binary()), "rep": pa.array(rep[part]), "score": pa.array(score[part])})
-        self.rows, self.n = [], 0
+            some, at, part, leaf = b.slice(a, 200), [], [], []
+            for i, q in enumerate(_matrix(some.column("vec"))):
+                own: dict[int, list[int]] = {}
+                for number in forest.search(q):
+                    first, n = forest.parts[number]
+                    for p in range(first, first + n):
+                        own.setdefault(p, []).append(number)
+                at += [i] * len(own)
+                part += own
+                leaf += own.values()
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_pydict({"part": pa.array(part, pa.int32()), "query": pa.array(np.ones(len(at), bool)), "leaf": pa.array(leaf, pa.list_(pa.int32())), "key": some.column("key").take(take), "rep": some.column("rep").take(take), "vec": some.column("vec").take(take)})
 
 
 def _names(column: pa.Array) -> np.ndarray:
@@ -183,43 +191,78 @@ def _names(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, 2)
 
 
+def _thin(rows: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
+    """(query, entry, score, rep) -> the ``k`` best entries of each query, ties to the smaller rep; each entry once."""
+    q, e, score, rep = (np.concatenate(x) for x in zip(*rows, strict=True))
+    order = np.lexsort((e, rep, -score, q))
+    q, e, score, rep = q[order], e[order], score[order], rep[order]
+    new = np.append(True, (q[1:] != q[:-1]) | (rep[1:] != rep[:-1]) | (score[1:] != score[:-1]))  # a rep is of one vector
+    q, e, score, rep = q[new], e[new], score[new], rep[new]
+    first = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
+    keep = np.arange(len(q)) - np.repeat(first, np.diff(first, append=len(q))) < k
+    return q[keep], e[keep], score[keep], rep[keep]
+
+
+class _Part:
+    """The entries of a part, by leaf."""
+
+    def __init__(self, batches: list[pa.RecordBatch]):
+        whole = pa.Table.from_batches(batches)
+        leaf = np.asarray(whole.column("leaf").combine_chunks().flatten())
+        order = np.argsort(leaf, kind="stable")
+        self.key, self.rep, self.x = _names(whole.column("key"))[order], np.asarray(whole.column("rep"))[order], _matrix(whole.column("vec"))[order]
+        numbers, starts = np.unique(leaf[order], return_index=True)
+        self.ranges = {int(n): (a, b) for n, a, b in zip(numbers, starts, np.append(starts[1:], len(leaf)), strict=True)}
+
+    def best(self, queries: pa.RecordBatch, k: int) -> pa.RecordBatch:
+        """The ``k`` best entries of each query in its leaves."""
+        q, names = _matrix(queries.column("vec")), _names(queries.column("key"))
+        asked: dict[int, list[int]] = {}
+        for i, leaves in enumerate(queries.column("leaf").to_pylist()):
+            for leaf in leaves:
+                if leaf in self.ranges:
+                    asked.setdefault(leaf, []).append(i)
+        rows, held, least = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))], 0, np.full(len(q), -np.inf)
+        for leaf, own in asked.items():
+            a, b = self.ranges[leaf]
+            own_at = np.array(own)
+            rough = q[own_at] @ self.x[a:b].T
+            if b - a > k:  # what is below the k-th best of the leaf is none of the k best; rounding aside
+                kth = -np.partition(-rough, k - 1, axis=1)[:, k - 1]
+                least[own_at] = np.maximum(least[own_at], kth - 1e-9 * (1 + np.abs(kth)))
+            i, j = np.nonzero(rough >= least[own_at][:, None])
+            i, j = own_at[i], j + a
+            rows.append((i, j, np.einsum("ij,ij->i", self.x[j], q[i]), self.rep[j]))
+            held += len(i)
+            if held > HELD:
+                rows = [_thin(rows, k)]
+                held = len(rows[0][0])
+        i, j, score, rep = _thin(rows, k)
+        return pa.RecordBatch.from_pydict({"q": pa.array([x.tobytes() for x in names[i]], pa.binary()), "c": pa.array([x.tobytes() for x in self.key[j]], pa.binary()), "rep": pa.array(rep, pa.int64()), "score": pa.array(score, pa.float64())})
+
+
 def _scored(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by tree, leaf, entries before queries: the best entries of the task's leaves for each query."""
-    now: tuple[int, int] | None = None
-    entries: list[pa.RecordBatch] = []
-    keys, reps, x = np.zeros((0, 2), np.uint64), np.zeros(0, np.int64), np.zeros((0, 0))
-    best_of = _Best(k)
+    """Rows sorted by part, entries before queries: the best entries of the part for each of its queries."""
+    now, entries, part = -1, [], None
     for b in batches:
-        tree, leaf, query = (np.asarray(b.column(c)) if c != "query" else b.column(c).to_numpy(zero_copy_only=False) for c in ("tree", "leaf", "query"))
-        cut = np.flatnonzero((tree[1:] != tree[:-1]) | (leaf[1:] != leaf[:-1]) | (query[1:] != query[:-1])) + 1
+        number, query = np.asarray(b.column("part")), b.column("query").to_numpy(zero_copy_only=False)
+        cut = np.flatnonzero((number[1:] != number[:-1]) | (query[1:] != query[:-1])) + 1
         for lo, hi in zip([0, *cut], [*cut, b.num_rows], strict=True):
             if lo == hi:
                 continue
-            part, place = b.slice(lo, hi - lo), (tree[lo], leaf[lo])
-            if place != now:
-                now, entries, x = place, [], x[:0]
+            if number[lo] != now:
+                now, entries, part = number[lo], [], None
             if not query[lo]:
-                entries.append(part)
-                continue
-            if entries:
-                whole = pa.Table.from_batches(entries)
-                keys, reps, x, entries = _names(whole.column("key")), np.asarray(whole.column("rep")), _matrix(whole.column("vec")), []
-            if not len(x):
+                entries.append(b.slice(lo, hi - lo))
                 continue
-            most = min(k + 4, len(x))
-            for a in range(0, part.num_rows, 512):
-                some = part.slice(a, 512)
-                q, names = _matrix(some.column("vec")), _names(some.column("key"))
-                best = np.argpartition(-(q @ x.T), most - 1, axis=1)[:, :most]
-                score = np.einsum("ijk,ik->ij", x[best], q)
-                order = np.lexsort((reps[best], -score), axis=1)[:, :k]
-                best, score = np.take_along_axis(best, order, 1).ravel(), np.take_along_axis(score, order, 1).ravel()
-                yield from best_of.add(np.repeat(names, order.shape[1], axis=0), keys[best], reps[best], score)
-    yield from best_of.flush()
+            if part is None and entries:
+                part, entries = _Part(entries), []
+            for a in range(lo, hi, TOGETHER) if part is not None else ():
+                yield part.best(b.slice(a, min(TOGETHER, hi - a)), k)
     release()
 
 
-def neighbours(vectors: DataFrame, k: int = K, every: int = EVERY, sample: int = SAMPLE, trees: int = TREES, leaf: int = LEAF, share: float = SHARE) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = K, every: int = EVERY, sample: int = SAMPLE, trees: int = TREES, leaf: int = LEAF, room: int = ROOM) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest of every ``every``-th id. vectors: vec_id, embedding."""
     spark = vectors.sparkSession
     out = "query_id bigint, rank int, vec_id bigint, score double"
@@ -236,12 +279,12 @@ def neighbours(vectors: DataFrame, k: int = K, every: int = EVERY, sample: int =
     total, longest = distinct.agg(F.count(F.lit(1)), F.max(norm)).first()
     slot = F.pmod(F.xxhash64("key"), F.lit(1 << 30))
     drawn = distinct.filter(slot < int(min(1.0, sample / total) * (1 << 30))).select("key", "vec").toArrow().sort_by("key")
-    forest = spark.sparkContext.broadcast(grow(_matrix(drawn.column("vec")) if drawn.num_rows else np.zeros((0, dims[0]["dim"])), total, longest, trees, leaf))
-    schema = "tree int, leaf int, query boolean, key binary, rep bigint, vec array<double>"
+    forest = spark.sparkContext.broadcast(grow(_matrix(drawn.column("vec")) if drawn.num_rows else np.zeros((0, dims[0]["dim"])), total, longest, trees, leaf, room))
     own = distinct.select("key", "rep", "vec")
-    entries = own.mapInArrow(lambda it: _placed(it, forest.value), schema)
-    asked = distinct.filter("asked").select("key", "rep", "vec").repartition("key").mapInArrow(lambda it: _sought(it, forest.value, share * total), schema)
-    met = entries.union(asked).repartition("tree", "leaf").sortWithinPartitions("tree", "leaf", "query")
+    entries = own.mapInArrow(lambda it: _placed(it, forest.value), DEALT)
+    asked = distinct.filter("asked").select("key", "rep", "vec").repartition("key").mapInArrow(lambda it: _sought(it, forest.value), DEALT)
+    parts = max(first + n for first, n in forest.value.parts)
+    met = entries.union(asked).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "query")
     met = met.mapInArrow(lambda it: _scored(it, k + 1), "q binary, c binary, rep bigint, score double")
     best = met.groupBy("q", "c").agg(F.min("rep").alias("rep"), F.max("score").alias("score"))
     best = best.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "rep"))).filter(F.col("n") <= k + 1)

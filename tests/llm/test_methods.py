@@ -408,6 +408,51 @@ def test_neighbours_against_brute_force(spark):
     assert np.mean(hits) >= 0.9
 
 
+def test_neighbours_of_clustered_vectors(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 48))[rng.integers(0, 200, 20_000)] + 0.3 * rng.normal(size=(20_000, 48))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>")
+    found: dict = {}
+    for r in ann.neighbours(df, every=50, sample=8000, room=3000).collect():  # many parts
+        found.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    hits = []
+    for i in range(0, 20_000, 50):
+        s = x @ x[i]
+        s[i] = -np.inf
+        assert len(found[i]) == 20 and all(abs(v - s[k]) < 1e-9 for k, v in found[i].items())
+        hits.append(len({*np.argsort(-s)[:20].tolist()} & {*found[i]}) / 20)
+    assert np.mean(hits) >= 0.9
+    forest = ann.grow(x[rng.permutation(len(x))[:8000]], len(x), float(np.linalg.norm(x, axis=1).max()))
+    leaves, met = forest.leaves(x) + np.arange(ann.TREES)[:, None] * forest.sizes.shape[1], []
+    assert forest.sizes.shape[1] >= 64 and forest.sizes.max() < 1000
+    for i in range(0, 20_000, 200):
+        met.append(np.isin(leaves, forest.search(x[i])).any(0).mean())
+    assert np.mean(met) < 0.3
+
+
+def test_large_leaves_fill_several_parts(spark):
+    sizes = np.array([[5.0, 100.0, 20.0, 20.0]])
+    assert ann.laid_out(sizes, 40) == [(0, 1), (1, 3), (4, 1), (4, 1)]
+    x = np.random.default_rng(1).normal(size=(600, 4))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>")
+    found = {(r["query_id"], r["rank"]): r["vec_id"] for r in ann.neighbours(df, leaf=600, room=50).collect()}  # one leaf, so exact
+    for i in range(0, 600, 20):
+        s = x @ x[i]
+        s[i] = -np.inf
+        assert [found[i, n] for n in range(1, 21)] == np.argsort(-s)[:20].tolist()
+
+
+def test_neighbours_of_equal_scores(spark):
+    # one-hot vectors: nearly all scores tie, so the smallest ids must win
+    df = spark.createDataFrame([(i, [1.0 if j == i % 7 else 0.0 for j in range(7)] + [float(i // 7 % 3 == 0)]) for i in range(400)], "vec_id bigint, embedding array<double>")
+    x = {r["vec_id"]: np.array(r["embedding"]) for r in df.collect()}
+    found = {(r["query_id"], r["rank"]): r["vec_id"] for r in ann.neighbours(df, leaf=2).collect()}
+    exact = {(r["query_id"], r["rank"]): r["vec_id"] for r in ann.neighbours(df, leaf=1000).collect()}
+    for i in range(0, 400, 20):
+        want = sorted((j for j in x if j != i), key=lambda j: (-x[j] @ x[i], j))[:20]
+        assert [exact[i, n] for n in range(1, 21)] == want and found[i, 1] == want[0]
+
+
 def test_warc_record_round_trip():
     raw = warc.record(5, "http://x/ü?a=b", b"payload", warc.sha1_base32(b"payload"), None)
     got = warc.parse(raw)
