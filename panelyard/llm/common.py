@@ -10,9 +10,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Documents that are Python objects at a time; the rest of a batch stays in Arrow.
 ROWS = 256
+#: Rows of a few numbers up to which a table is broadcast; beyond it is shuffled.
+BROADCAST_ROWS = 500_000
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -52,6 +55,11 @@ def forget(*written: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small(written: DataFrame) -> DataFrame:
+    """A written table of narrow rows, broadcast if their number allows."""
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import forget, materialize, slices, table
+from .common import forget, materialize, slices, small, table
 
 SIMILAR = 0.8
 #: k-mers in a sketch, and the share of linked pairs that may agree in no sketch.
@@ -58,8 +58,6 @@ CELL = 512
 COUNTED, FREQUENT, HOT = 10_000, 1 << 16, 8
 #: Distinct texts that a task remembers, to sketch each once.
 SEEN = 200_000
-#: Rows of two numbers up to which a table is broadcast; beyond it is shuffled.
-BROADCAST_ROWS = 500_000
 #: k-mers of a text hashed at a time.
 CHUNK = 1 << 13
 
@@ -273,15 +271,10 @@ def _aligned(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_pydict({"a": b.column("a"), "b": b.column("b"), "ok": pa.array(ok, pa.bool_())})
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A written table of two numbers a row, broadcast if its size allows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """node, text of the wanted nodes. docs: doc_id, node, text; nodes: node, doc_id (of one of its documents)."""
     ids = materialize(wanted.distinct().join(nodes.select(F.col("node").alias("wn"), F.col("doc_id").alias("wd")), F.col("node") == F.col("wn")).select("wn", "wd"), "participants")
-    texts = docs.join(_small(ids), (F.col("node") == F.col("wn")) & F.col("doc_id").eqNullSafe(F.col("wd")), "left_semi")
+    texts = docs.join(small(ids), (F.col("node") == F.col("wn")) & F.col("doc_id").eqNullSafe(F.col("wd")), "left_semi")
     out = materialize(texts.select("node", "text").dropDuplicates(["node"]), "participant-texts")
     forget(ids)
     return out
@@ -310,7 +303,7 @@ def _met(rows: DataFrame, least: float) -> DataFrame:
 
 
 def _classed(members: DataFrame, roots: DataFrame) -> DataFrame:
-    return members.select("key", "node", "n").join(_small(roots), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("class"))
+    return members.select("key", "node", "n").join(small(roots), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("class"))
 
 
 def _open(classes: DataFrame) -> DataFrame:
@@ -474,9 +467,9 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = materialize(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct(), "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = materialize(large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").union(least.select("u", "m")).distinct(), "small-star")
+        edges_left = materialize(large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").union(least.select("u", "m")).distinct(), "small-star")
         forget(edges, large)
-        edges = small
+        edges = edges_left
 
 
 def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -485,10 +478,10 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     real = rows.filter(F.col("text").isNotNull())
     nodes = materialize(real.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
     roots = links(real, nodes, least)
-    several = materialize(nodes.join(_small(roots), "node").select("node", "doc_id", "root"), "linked")
+    several = materialize(nodes.join(small(roots), "node").select("node", "doc_id", "root"), "linked")
     ids = materialize(several.groupBy("root").agg(F.min("doc_id").alias("class_id")), "class-ids")
-    linked = materialize(several.join(_small(ids), "root").select(F.col("node").alias("ln"), "class_id", F.lit(True).alias("several")), "of-class")
-    named = materialize(nodes.join(_small(linked), F.col("node") == F.col("ln"), "left").select("node", F.when(F.col("several"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")), "classes")
+    linked = materialize(several.join(small(ids), "root").select(F.col("node").alias("ln"), "class_id", F.lit(True).alias("several")), "of-class")
+    named = materialize(nodes.join(small(linked), F.col("node") == F.col("ln"), "left").select("node", F.when(F.col("several"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")), "classes")
     forget(nodes, roots, several, ids, linked)
     out = rows.select("doc_id", "node", F.col("text").isNull().alias("none"))
     null = out.filter("none").select("doc_id", F.lit(None).cast("bigint").alias("node"), F.col("doc_id").alias("class_id"))

@@ -19,12 +19,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import forget, materialize, small, table
 
 #: (rule, verdict) of the registered query.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-#: Suffixes of two labels under which domains are registered.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "co.nz", "co.jp", "com.br", "co.in", "com.cn", "co.za")
+#: Domains are registered under one of these labels and a country's two letters, or else under the last label.
+TWO_LABEL_SUFFIX = r"^(ac|co|com|edu|go|gob|gov|mil|ne|net|nom|or|org)\.[a-z][a-z]$"
 #: Standard deviations from the posterior mean to its upper bound.
 Z = 1.645
 #: A host is bad if its rate of good pages is surely below this.
@@ -56,12 +56,12 @@ def rule_columns(rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
 def with_domain(hosts: DataFrame) -> DataFrame:
     """Adds suffix and registered domain: the suffix and one label more."""
     two = F.substring_index("host", ".", -2)
-    long = two.isin(*TWO_LABEL_SUFFIXES)
+    long = two.rlike(TWO_LABEL_SUFFIX)
     return hosts.withColumn("suffix", F.when(long, two).otherwise(F.substring_index("host", ".", -1))).withColumn("domain", F.when(long, F.substring_index("host", ".", -3)).otherwise(two))
 
 
-def _strength(units: DataFrame, good: str, n: str, parent: str, name: str) -> DataFrame:
-    """One row: the prior's weight in pages, from the spread of the units' rates about their parents'.
+def _strength(units: DataFrame, good: str, n: str, parent: str) -> float:
+    """The prior's weight in pages, from the spread of the units' rates about their parents'.
 
     Beta-binomial moments: sum (good - n m)^2 / (n m (1 - m)) is U + rho (N - U) in expectation.
     """
@@ -70,28 +70,28 @@ def _strength(units: DataFrame, good: str, n: str, parent: str, name: str) -> Da
     sums = units.filter(F.col(n) > 0).agg(F.sum(dev * dev / (F.col(n) * m * (F.lit(1.0) - m))).alias("s"), F.count(F.lit(1)).alias("u"), F.sum(n).alias("t"))
     rho = F.when(F.col("t") > F.col("u"), (F.col("s") - F.col("u")) / (F.col("t") - F.col("u"))).otherwise(F.lit(0.5))
     rho = F.least(F.greatest(F.coalesce(rho, F.lit(0.5)), F.lit(0.02)), F.lit(0.98))
-    return sums.select((F.lit(1.0) / rho - 1.0).alias(name))
+    return sums.select(F.lit(1.0) / rho - 1.0).first()[0]
 
 
 def host_reputation(hosts: DataFrame, z: float = Z) -> DataFrame:
     """hosts: host, good, n (labelled pages; may be 0). Adds mean and upper of the posterior rate.
 
     One row per host goes through the levels; each level is a partial aggregation and a join on the
-    level's key.  The strengths and the overall rate are single rows.
+    level's key, written, as the next level reads it twice.  The strengths and the overall rate are numbers.
     """
     hosts = with_domain(hosts)
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("good").alias("dg"), F.sum("n").alias("dn"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("dg").alias("sg"), F.sum("dn").alias("sn"))
-    root = suffixes.agg(((F.coalesce(F.sum("sg"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("sn"), F.lit(0)) + 2.0)).alias("m0"))
-    suffixes = suffixes.crossJoin(F.broadcast(root))
-    suffixes = suffixes.crossJoin(F.broadcast(_strength(suffixes, "sg", "sn", "m0", "ks")))
-    suffixes = suffixes.select("suffix", ((F.col("sg") + F.col("ks") * F.col("m0")) / (F.col("sn") + F.col("ks"))).alias("ms"))
-    domains = domains.join(suffixes, "suffix")
-    domains = domains.crossJoin(F.broadcast(_strength(domains, "dg", "dn", "ms", "kd")))
-    domains = domains.select("domain", ((F.col("dg") + F.col("kd") * F.col("ms")) / (F.col("dn") + F.col("kd"))).alias("md"))
-    hosts = hosts.join(domains, "domain")
-    hosts = hosts.crossJoin(F.broadcast(_strength(hosts, "good", "n", "md", "kh")))
-    a, k = F.col("good") + F.col("kh") * F.col("md"), F.col("n") + F.col("kh")
+    first = domains = materialize(hosts.groupBy("domain", "suffix").agg(F.sum("good").alias("dg"), F.sum("n").alias("dn")), "domains")
+    suffixes = materialize(domains.groupBy("suffix").agg(F.sum("dg").alias("sg"), F.sum("dn").alias("sn")), "suffixes")
+    m0 = F.lit(suffixes.select((F.coalesce(F.sum("sg"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("sn"), F.lit(0)) + 2.0)).first()[0])
+    ks = F.lit(_strength(suffixes.withColumn("m0", m0), "sg", "sn", "m0"))
+    rates = small(materialize(suffixes.select("suffix", ((F.col("sg") + ks * m0) / (F.col("sn") + ks)).alias("ms")), "suffix-rates"))
+    domains = materialize(domains.join(rates, "suffix"), "domains-suffixes")
+    kd = F.lit(_strength(domains, "dg", "dn", "ms"))
+    rates = small(materialize(domains.select("domain", ((F.col("dg") + kd * F.col("ms")) / (F.col("dn") + kd)).alias("md")), "domain-rates"))
+    hosts = materialize(hosts.join(rates, "domain"), "hosts-domains")
+    forget(first, suffixes, domains)
+    kh = F.lit(_strength(hosts, "good", "n", "md"))
+    a, k = F.col("good") + kh * F.col("md"), F.col("n") + kh
     mean = a / k
     return hosts.withColumn("mean", mean).withColumn("upper", F.col("mean") + F.lit(z) * F.sqrt(F.col("mean") * (F.lit(1.0) - F.col("mean")) / (k + 1.0)))
 
@@ -100,8 +100,10 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, z: float =
     """page_id, host, path, rule, verdict, reputation (the posterior mean) per page."""
     rule, verdict = rule_columns(rules)
     rows = with_host_path(pages.select("page_id", "url")).withColumn("rule", rule).withColumn("ruled", verdict)
-    hosts = rows.groupBy("host").agg(F.sum((F.col("ruled") == "allow").cast("long")).alias("good"), F.count("ruled").alias("n")).withColumn("good", F.coalesce("good", F.lit(0)))
+    hosts = materialize(rows.groupBy("host").agg(F.sum((F.col("ruled") == "allow").cast("long")).alias("good"), F.count("ruled").alias("n")).withColumn("good", F.coalesce("good", F.lit(0))), "hosts")
     said = host_reputation(hosts, z).select("host", F.when(F.col("upper") < threshold, "block").otherwise("allow").alias("method"), F.round("mean", 6).alias("reputation"))
+    said = small(materialize(said, "reputation"))
+    forget(hosts)
     return rows.join(said, "host").select("page_id", "host", "path", "rule", F.coalesce("ruled", "method").alias("verdict"), "reputation")
 
 
@@ -134,8 +136,8 @@ h AS (
   SELECT host, count(*) FILTER (ruled = 'allow')::DOUBLE AS good, count(ruled)::DOUBLE AS n,
          array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS two FROM rows GROUP BY host),
 hosts AS (
-  SELECT *, CASE WHEN two IN ({', '.join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)}) THEN two ELSE string_split(host, '.')[-1] END AS suffix,
-         CASE WHEN two IN ({', '.join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)}) THEN array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') ELSE two END AS domain FROM h),
+  SELECT *, CASE WHEN regexp_matches(two, '{TWO_LABEL_SUFFIX}') THEN two ELSE string_split(host, '.')[-1] END AS suffix,
+         CASE WHEN regexp_matches(two, '{TWO_LABEL_SUFFIX}') THEN array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') ELSE two END AS domain FROM h),
 d AS (SELECT domain, suffix, sum(good) AS dg, sum(n) AS dn FROM hosts GROUP BY ALL),
 s0 AS (SELECT suffix, sum(dg) AS sg, sum(dn) AS sn FROM d GROUP BY suffix),
 s1 AS (SELECT *, (SELECT (coalesce(sum(sg), 0) + 1.0::DOUBLE) / (coalesce(sum(sn), 0) + 2.0::DOUBLE) FROM s0) AS m0 FROM s0),

@@ -10,7 +10,9 @@ repeated tasks leave unused files but no wrong rows.
 Reading: the selected index rows are sorted by file and offset; neighbouring ranges become one
 read, from which the members are cut and unpacked.
 
-Archives go to the folder in ``spark.checkpoint.dir`` (any file system that pyarrow opens).
+Archives go to the folder in ``spark.checkpoint.dir``, on any file system that pyarrow opens; the
+schemes of Hadoop's S3 connectors are read as ``s3``.  The payloads themselves are never shuffled unless
+more than ``BROADCAST_ROWS`` different payloads occur several times.
 
 Defined results: a null html has an empty payload; a null url or page id leaves the header out and
 reads back as null; pages that repeat both the largest id and the payload are all responses; a null
@@ -32,12 +34,14 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_path, slices, table
+from .common import materialize, shared_path, slices, small, table
 
 #: Payloads of at least this many bytes may be revisits.
 LEAST = 0
 #: A new archive file begins beyond this size; ranges are joined across small gaps up to a size.
 FILE_BYTES, GAP_BYTES, READ_BYTES = 1 << 30, 1 << 16, 8 << 20
+#: Records read before they are handed on, and bytes of archive in a read task.
+RECORDS, TASK_BYTES = 256, 4 << 20
 DATE = "1970-01-01T00:00:00Z"
 
 INDEX = "file string, offset bigint, length bigint, url string, digest string, page_id bigint, record_type string"
@@ -94,8 +98,13 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def _store(uri: str) -> tuple[fs.FileSystem, str]:
+    scheme, _, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else uri)
+
+
 def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    store, path = fs.FileSystem.from_uri(folder)
+    store, path = _store(folder)
     store.create_dir(path, recursive=True)
     out, name, at = None, "", 0
     for b in slices(batches):
@@ -123,8 +132,9 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = LEA
     """Writes one record per page and returns the index. pages: page_id, url, html."""
     folder = folder or shared_path(pages.sparkSession, "warc")
     html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", "html", F.sha1(html.cast("binary")).alias("sum"), (F.octet_length(html) >= least).alias("large"))
-    kept = rows.filter("large").groupBy(F.col("sum").alias("kept_sum")).agg(F.max("page_id").alias("kept"))
+    rows = pages.select("page_id", "url", "html", F.unhex(F.sha1(html.cast("binary"))).alias("sum"), (F.octet_length(html) >= least).alias("large"))
+    kept = rows.filter("large").groupBy(F.col("sum").alias("kept_sum")).agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    kept = small(materialize(kept, "kept-pages"))
     rows = rows.join(kept, (F.col("sum") == F.col("kept_sum")) & F.col("large"), "left")
     to = F.when(F.col("kept").isNotNull() & ~F.col("kept").eqNullSafe(F.col("page_id")), F.col("kept"))
     return materialize(rows.select("page_id", "url", "html", to.alias("refers_to")).mapInArrow(lambda it: _write(it, folder), INDEX), "warc-index")
@@ -145,30 +155,34 @@ def coalesced(ranges: list[tuple[int, int]]) -> Iterator[list[int]]:
 
 
 def _read(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    columns = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
+    if payloads:
+        columns |= {"url": pa.string(), "payload": pa.binary()}
+    for b in slices(batches, 4 * RECORDS):
         files, offsets, lengths = (b.column(c).to_pylist() for c in ("file", "offset", "length"))
-        found: list[dict] = []
         at = 0
         while at < len(files):
             end = next((i for i in range(at, len(files)) if files[i] != files[at]), len(files))
             ranges = list(zip(offsets[at:end], lengths[at:end], strict=True))
-            store, path = fs.FileSystem.from_uri(files[at])
+            store, path = _store(files[at])
             with store.open_input_file(path) as f:
                 for group in coalesced(ranges):
                     begin, stop = ranges[group[0]][0], sum(ranges[group[-1]])
                     data = memoryview(f.read_at(stop - begin, begin))
-                    found += [parse(zlib.decompress(data[ranges[i][0] - begin : sum(ranges[i]) - begin], 31)) for i in group]
+                    for i in range(0, len(group), RECORDS):
+                        found = []
+                        for j in group[i : i + RECORDS]:
+                            fields = parse(zlib.decompress(data[ranges[j][0] - begin : sum(ranges[j]) - begin], 31))
+                            found.append([fields[c] for c in columns])
+                        yield pa.RecordBatch.from_pydict({c: pa.array(x, t) for (c, t), x in zip(columns.items(), zip(*found, strict=True), strict=True)})
             at = end
-        columns = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
-        if payloads:
-            columns |= {"url": pa.string(), "payload": pa.binary()}
-        yield pa.RecordBatch.from_pydict({c: pa.array([x[c] for x in found], t) for c, t in columns.items()})
 
 
-def read_records(index: DataFrame, payloads: bool = False, chunk: int = 16 << 20) -> DataFrame:
-    """The records of the given index rows. A task reads whole chunks of files, in order."""
+def read_records(index: DataFrame, payloads: bool = False, chunk: int = TASK_BYTES) -> DataFrame:
+    """The records of the given index rows. A task reads whole chunks of files, in order; their number follows from the bytes to be read."""
+    tasks = -(-(index.agg(F.sum("length")).first()[0] or 0) // chunk)
     rows = index.select("file", "offset", "length", F.floor(F.col("offset") / chunk).alias("chunk"))
-    rows = rows.repartition("file", "chunk").sortWithinPartitions("file", "offset")
+    rows = rows.repartition(max(1, tasks), "file", "chunk").sortWithinPartitions("file", "offset")
     return rows.select("file", "offset", "length").mapInArrow(lambda it: _read(it, payloads), SCHEMA + ", url string, payload binary" * payloads)
 
 
