@@ -3,17 +3,19 @@
 Every source has a weight schedule over training time ``t`` in [0, 1].  Its integral is the
 source's share of the mix; inverting the source's cumulative token demand tells at which time a
 given word of the source is due.  Documents of a source form a stream in a pseudo-random but fixed
-order (MD5 of the id); a document's training position is the time at which its first word is due,
+order (MD5 of the id, or of the text if the id is null); a document's training position is the time at which its first word is due,
 and the mix is the documents range-sorted by position.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; rows
-that repeat an id are separate documents next to each other in the stream; an empty table gives an
+that repeat an id are separate documents next to each other in the stream, in order of size and
+text hash; an empty table gives an
 empty result; a source without words has target 0.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil, log
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 #: No source is repeated more often.
 MAX_EPOCHS = 3
+#: Documents that a block of a source's stream holds at most, about, and its least and most MD5 digits.
+BLOCK_ROWS, DIGITS = 200_000, (3, 6)
 #: Slope of the linear weight schedule w(t) = w * (1 + a * (2t - 1)); sign alternates by source.
 SLOPE = 0.5
 
@@ -74,21 +78,22 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, slope: f
     words are its target rounded to a word.  ``start`` is the place of the document's first word in
     its source's stream.
 
-    The running total within a source is two-level: MD5 prefixes split each source in 4096 blocks,
-    so the largest source is summed by many tasks and only block sums meet in one.  Source figures
+    The running total within a source is two-level: MD5 prefixes split each source in 4096 blocks or
+    more, by the number of documents, so the largest source is summed by many tasks and only block sums meet in one.  Source figures
     travel with the block sums, so the documents are shuffled once, by source and block.
     """
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    narrow = docs.select("source", key.alias("key"), size.alias("size"), F.substring(order, 1, 3).alias("block"))
+    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.coalesce("text", F.lit("")))).cast("binary"))
+    digits = min(max(ceil(log(max(1, docs.count()) / BLOCK_ROWS, 16)), DIGITS[0]), DIGITS[1])
+    narrow = docs.select("source", key.alias("key"), size.alias("size"), F.substring(order, 1, digits).alias("block"))
     blocks = narrow.groupBy("source", "key", "block").agg(F.sum("size").alias("size"))
     targets = source_targets(blocks, weights, max_epochs, slope).withColumn("t_key", key).drop("source")
     offset = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("offset", F.coalesce(F.sum("size").over(offset), F.lit(0))).join(targets, F.col("key") == F.col("t_key"))
     blocks = blocks.select("key", "block", F.struct("source_size", "target", "slope", "offset").alias("of"))
-    rows = docs.select(F.struct(*(carry or docs.columns)).alias("row"), key.alias("key"), F.substring(order, 1, 3).alias("block"), order.alias("order"), size.alias("size"))
-    inside = Window.partitionBy("key", "block").orderBy("order", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = docs.select(F.struct(*(carry or docs.columns)).alias("row"), key.alias("key"), F.substring(order, 1, digits).alias("block"), order.alias("order"), size.alias("size"), F.xxhash64("text").alias("hash"))
+    inside = Window.partitionBy("key", "block").orderBy("order", "size", "hash").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(blocks, ["key", "block"])
     of = F.col("of")
     rows = rows.withColumn("goal", F.round(of["target"]).cast("long")).withColumn("start", of["offset"] + F.col("inner"))
@@ -127,7 +132,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = r"""
 WITH rows AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS k
+         md5(coalesce(doc_id::VARCHAR, 'null' || coalesce(text, ''))) AS k
   FROM documents),
 per AS (
   SELECT *, (i % 3 + 1)::BIGINT AS w, 3 * source_size AS cap
