@@ -2,6 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and is written
 as Parquet and read again before the next.  All but the last return the columns of documents.
+
+Defined results, at every stage: an empty table gives an empty one; extra columns, whatever their
+names, are carried along up to the last stage.  Null texts and texts without letters go in the first
+stage; rows that repeat id and text become one in the third, where of equal or similar texts the one
+with the smallest id stays (one with a null id, if no other has an id); rows that share an id but not
+a text are documents of their own; null sources are one source; the mixture repeats rows on purpose;
+texts of any length are read whole.  Without labels the second stage keeps all, without languages the
+first keeps none.
 """
 
 from __future__ import annotations
@@ -9,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from panelyard.llm import bpe, langid, mixing, neardup, quality
-from panelyard.llm.common import materialize, table
+from panelyard.llm.common import forget, materialize, table
 
 #: A document whose best language has less than this is rejected, as is one without letters.
 LEAST_LANGUAGE = 0.3
@@ -49,6 +57,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if i:
+            forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
