@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, release, table
+from .common import in_arrow, materialize, release, table
 
 K, EVERY = 20, 20
 #: Bound of the sample the trees are built from, trees, entries per leaf (more, if the sample is too small to split so far).
@@ -281,11 +281,11 @@ def neighbours(vectors: DataFrame, k: int = K, every: int = EVERY, sample: int =
     drawn = distinct.filter(slot < int(min(1.0, sample / total) * (1 << 30))).select("key", "vec").toArrow().sort_by("key")
     forest = spark.sparkContext.broadcast(grow(_matrix(drawn.column("vec")) if drawn.num_rows else np.zeros((0, dims[0]["dim"])), total, longest, trees, leaf, room))
     own = distinct.select("key", "rep", "vec")
-    entries = own.mapInArrow(lambda it: _placed(it, forest.value), DEALT)
-    asked = distinct.filter("asked").select("key", "rep", "vec").repartition("key").mapInArrow(lambda it: _sought(it, forest.value), DEALT)
+    entries = own.transform(in_arrow, lambda it: _placed(it, forest.value), DEALT)
+    asked = distinct.filter("asked").select("key", "rep", "vec").repartition("key").transform(in_arrow, lambda it: _sought(it, forest.value), DEALT)
     parts = max(first + n for first, n in forest.value.parts)
     met = entries.union(asked).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "query")
-    met = met.mapInArrow(lambda it: _scored(it, k + 1), "q binary, c binary, rep bigint, score double")
+    met = met.transform(in_arrow, lambda it: _scored(it, k + 1), "q binary, c binary, rep bigint, score double")
     best = met.groupBy("q", "c").agg(F.min("rep").alias("rep"), F.max("score").alias("score"))
     best = best.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "rep"))).filter(F.col("n") <= k + 1)
     ids = rows.select("key", "vec_id")

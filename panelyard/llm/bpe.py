@@ -29,13 +29,13 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import release, slices, table
+from .common import in_arrow, release, slices, table
 from .pretoken import blocks, splitter
 
 #: Bytes above which a pre-token is contracted with a heap.
 LONG = 256
 #: Words that one recursive query contracts, and words whose ids a task remembers; both bound memory.
-BATCH, REMEMBER = 30_000, 300_000
+BATCH, REMEMBER = 10_000, 150_000
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
@@ -79,7 +79,7 @@ class Encoder:
         get = self.ranks.get
         pairs = [(get(t[:i]), get(t[i:]), rank) for t, rank in self.ranks.items() for i in range(1, len(t))]
         pairs = [p for p in pairs if p[0] is not None and p[1] is not None]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "128MB"})
         merges = pa.table(dict(zip(("l", "r", "merged"), (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True)), strict=True)))
         tokens = pa.table({"id": pa.array(self.bytes_of, pa.int32()), "hex": [t.hex() for t in self.bytes_of.values()]})
         for name, rows in (("merges", merges), ("tokens", tokens)):
@@ -187,7 +187,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     Map-side only: no shuffle, and a task's memory is bounded by BATCH and REMEMBER.
     """
     path, pattern = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
-    return docs.select("doc_id", "text").mapInArrow(lambda it: encode_batches(it, path, pattern, keep_ids), SCHEMA + ", ids array<int>" * keep_ids)
+    return docs.select("doc_id", "text").transform(in_arrow, lambda it: encode_batches(it, path, pattern, keep_ids), SCHEMA + ", ids array<int>" * keep_ids)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Documents that are Python objects at a time; the rest of a batch stays in Arrow.
 ROWS = 256
+#: Bytes of a batch that goes from the JVM to a Python worker, which both hold; Spark's own bound is 64 MB.
+BATCH_BYTES = 8 << 20
 #: Rows of a few numbers up to which a table is broadcast; beyond it is shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -64,6 +66,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` in batches of bounded bytes, whatever the length of the texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
     """A task's batches in small slices; afterwards its free memory goes back to the system.
 

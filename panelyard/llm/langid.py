@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import in_arrow, slices, table
 from .sampling import sample_ids
 
 WINDOW, HIDDEN, PAD = 64, 16, 256
@@ -190,7 +190,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, per_doc: int = PER_DOC, steps
                 out.append(np.where(w[pick] == PAD, 0, w[pick]).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "lang": b.column("lang"), "cut": pa.array(out, pa.binary())})
 
-    got = rows.join(F.broadcast(picked), F.col("doc_id") == F.col("picked")).select("doc_id", "text", "lang").mapInArrow(cut, "doc_id bigint, lang string, cut binary").collect()
+    got = rows.join(F.broadcast(picked), F.col("doc_id") == F.col("picked")).select("doc_id", "text", "lang").transform(in_arrow, cut, "doc_id bigint, lang string, cut binary").collect()
     seqs, lang = [], []
     for r in sorted(got, key=lambda r: (r["doc_id"], r["lang"], bytes(r["cut"]))):
         if r["lang"] in ids:
@@ -252,7 +252,7 @@ def identify(docs: DataFrame, net: Network) -> DataFrame:
             lang, score, n, share = zip(*got, strict=True) if got else ((), (), (), ())
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "held_out": b.column("held_out"), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64()), "n_positions": pa.array(n, pa.int64()), "share_labelled": pa.array(share, pa.float64())})
 
-    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text", held_out().alias("held_out")).transform(in_arrow, run, SCHEMA)
 
 
 def keep_known(docs: DataFrame, net: Network, threshold: float = 0.0) -> DataFrame:
@@ -264,7 +264,7 @@ def keep_known(docs: DataFrame, net: Network, threshold: float = 0.0) -> DataFra
         for b in slices(batches):
             yield b.filter(pa.array([lang != "und" and s >= threshold for lang, s, _, _ in label(b.column(at).to_pylist(), sent.value)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_arrow, run, docs.schema)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import in_arrow, slices, table
 from .pretoken import blocks
 
 #: Levels whose phrase names are sketched, and slots of the sketch (4 hex digits each).
@@ -317,7 +317,7 @@ def fingerprints(docs: DataFrame, rows_per_bucket: int = 1000) -> DataFrame:
     loan = F.struct(F.col("before").alias("bucket"), F.lit(False).alias("own"))
     dealt = rows.join(F.broadcast(limits), F.col("bucket") == F.col("of")).withColumn("to", F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("first")), F.array(own, loan)).otherwise(F.array(own))))
     dealt = dealt.select("to.bucket", "doc_id", "to.own", "text").repartitionById(firsts[-1]["bucket"] + 1, F.col("bucket"))
-    return dealt.sortWithinPartitions("bucket", F.desc("own"), F.asc_nulls_first("doc_id"), F.asc_nulls_first("text")).mapInArrow(_pairs, SCHEMA)
+    return dealt.sortWithinPartitions("bucket", F.desc("own"), F.asc_nulls_first("doc_id"), F.asc_nulls_first("text")).transform(in_arrow, _pairs, SCHEMA)
 
 
 def _bucket_of(cuts: np.ndarray):

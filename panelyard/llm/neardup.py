@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import forget, materialize, slices, small, table
+from .common import forget, in_arrow, materialize, slices, small, table
 
 SIMILAR = 0.8
 #: k-mers in a sketch, and the share of linked pairs that may agree in no sketch.
@@ -234,7 +234,7 @@ def sample(docs: DataFrame, distinct: int, least: float = SIMILAR) -> Known:
     """Frequent k-mers and buckets of COUNTED texts, chosen by their hashes. docs: node, text."""
     slot = F.pmod("node", F.lit(1 << 20))
     some = docs.filter(slot < int(min(1.0, COUNTED / max(1, distinct)) * (1 << 20)) + 1).dropDuplicates(["node"]).select("text")
-    counted = materialize(some.mapInArrow(lambda it: _counted(it, least), "bucket boolean, name bigint").groupBy("bucket", "name").count().filter("count > 2"), "counted")
+    counted = materialize(some.transform(in_arrow, lambda it: _counted(it, least), "bucket boolean, name bigint").groupBy("bucket", "name").count().filter("count > 2"), "counted")
     often = sorted(tuple(r) for r in counted.filter("not bucket").orderBy(F.desc("count"), "name").limit(FREQUENT).select("name", "count").collect())
     hot = counted.filter(F.col("bucket") & (F.col("count") >= HOT)).select("name", "count").collect()  # no more than COUNTED * sketches / HOT
     return Known(np.array([r[0] for r in often], np.int64), np.array([r[1] for r in often], np.int64), {r["name"]: ceil(r["count"] / HOT) for r in hot})
@@ -285,7 +285,7 @@ def buckets(docs: DataFrame, known: Known, least: float = SIMILAR) -> DataFrame:
 
     A hot bucket is dealt in parts, numbered from 1, by node; others are part 0.
     """
-    keyed = docs.select("node", "text").mapInArrow(lambda it: _keyed(it, known, least), "key bigint, node bigint, n int, part int")
+    keyed = docs.select("node", "text").transform(in_arrow, lambda it: _keyed(it, known, least), "key bigint, node bigint, n int, part int")
     w = Window.partitionBy("key", "part")
     met = keyed.withColumns({"lo": F.min(F.struct("node", "n")).over(w), "hi": F.max("node").over(w)})
     return met.filter((F.col("lo.node") < F.col("hi")) | (F.col("part") > 0)).select("key", "part", "node", "n", "lo").dropDuplicates(["key", "part", "node"])
@@ -396,7 +396,7 @@ class _Links:
         pairs = materialize(pairs.select("a", "b").distinct(), "pairs")
         texts = _texts(self.docs, self.nodes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        aligned = materialize(both.select("a", "b", "ta", "tb").mapInArrow(lambda it: _aligned(it, least), "a bigint, b bigint, ok boolean").filter("ok"), "aligned")
+        aligned = materialize(both.select("a", "b", "ta", "tb").transform(in_arrow, lambda it: _aligned(it, least), "a bigint, b bigint, ok boolean").filter("ok"), "aligned")
         self.add(aligned)
         forget(pairs, texts, aligned)
 
@@ -433,7 +433,7 @@ class _Links:
         texts = _texts(self.docs, self.nodes, rows.select("node")).join(lists, "node")
         dealt = cells(rows, keys).join(texts, "node").repartition("key", "cell").sortWithinPartitions("key", "cell")
         dealt = dealt.select("key", "cell", "slot", "within", "node", "n", "class", "keys", "text")
-        found = materialize(dealt.mapInArrow(lambda it: _linked(it, least), "a bigint, b bigint"), "rest")
+        found = materialize(dealt.transform(in_arrow, lambda it: _linked(it, least), "a bigint, b bigint"), "rest")
         self.add(found)
         forget(classes, keys, rows, found)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import in_arrow, slices, table
 from .sampling import sample_ids
 
 #: Hash space of the n-grams, lengths of n-grams, and bytes processed at a time.
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "quality": b.column("quality"), "found": pa.array([own.of(x) for x in b.column("text").to_pylist()], pa.list_(pa.int32()))})
 
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("picked")).select("doc_id", "text", "quality")
-    got = rows.mapInArrow(features, "doc_id bigint, quality int, found array<int>").toArrow()
+    got = rows.transform(in_arrow, features, "doc_id bigint, quality int, found array<int>").toArrow()
     order = sorted(range(got.num_rows), key=lambda i: (got["doc_id"][i].as_py() * 2654435761 % 2**32, got["doc_id"][i].as_py(), len(got["found"][i])))
     return fit_rows([np.asarray(got["found"][i].values) for i in order], np.array([1 if got["quality"][i].as_py() else -1 for i in order]))
 
@@ -157,7 +157,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             s = [m.score(own.of(x)) for x in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "held_out": b.column("held_out"), "score": pa.array(s, pa.float64()), "predicted": pa.array([int(x >= 0.5) for x in s], pa.int32())})
 
-    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text", held_out().alias("held_out")).transform(in_arrow, run, SCHEMA)
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -170,7 +170,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFram
         for b in slices(batches):
             yield b.filter(pa.array([m.score(own.of(x)) >= threshold for x in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_arrow, run, docs.schema)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

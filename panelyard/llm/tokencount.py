@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
-from .common import slices, table
+from .common import in_arrow, slices, table
 from .pretoken import splitter
 
 #: Tokens that fit the model's context.
@@ -123,7 +123,7 @@ def count_batches(batches: Iterator[pa.RecordBatch], path: str, limit: int) -> I
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit per document. Map-side only, no shuffle."""
     path = path or public_tokenizers.path("word_bpe_49k.json")
-    return docs.select("doc_id", "text").mapInArrow(lambda it: count_batches(it, path, limit), SCHEMA)
+    return docs.select("doc_id", "text").transform(in_arrow, lambda it: count_batches(it, path, limit), SCHEMA)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_path, slices, small, table
+from .common import in_arrow, materialize, shared_path, slices, small, table
 
 #: Payloads of at least this many bytes may be revisits.
 LEAST = 0
@@ -137,7 +137,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = LEA
     kept = small(materialize(kept, "kept-pages"))
     rows = rows.join(kept, (F.col("sum") == F.col("kept_sum")) & F.col("large"), "left")
     to = F.when(F.col("kept").isNotNull() & ~F.col("kept").eqNullSafe(F.col("page_id")), F.col("kept"))
-    return materialize(rows.select("page_id", "url", "html", to.alias("refers_to")).mapInArrow(lambda it: _write(it, folder), INDEX), "warc-index")
+    return materialize(rows.select("page_id", "url", "html", to.alias("refers_to")).transform(in_arrow, lambda it: _write(it, folder), INDEX), "warc-index")
 
 
 def coalesced(ranges: list[tuple[int, int]]) -> Iterator[list[int]]:
@@ -183,7 +183,7 @@ def read_records(index: DataFrame, payloads: bool = False, chunk: int = TASK_BYT
     tasks = -(-(index.agg(F.sum("length")).first()[0] or 0) // chunk)
     rows = index.select("file", "offset", "length", F.floor(F.col("offset") / chunk).alias("chunk"))
     rows = rows.repartition(max(1, tasks), "file", "chunk").sortWithinPartitions("file", "offset")
-    return rows.select("file", "offset", "length").mapInArrow(lambda it: _read(it, payloads), SCHEMA + ", url string, payload binary" * payloads)
+    return rows.select("file", "offset", "length").transform(in_arrow, lambda it: _read(it, payloads), SCHEMA + ", url string, payload binary" * payloads)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
