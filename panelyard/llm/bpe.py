@@ -35,7 +35,7 @@ from .pretoken import blocks, splitter
 #: Bytes above which a pre-token is contracted with a heap.
 LONG = 256
 #: Words that one recursive query contracts, and words whose ids a task remembers; both bound memory.
-BATCH, REMEMBER = 10_000, 150_000
+BATCH, REMEMBER = 30_000, 300_000
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
@@ -68,7 +68,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Encoder:
-    """Encodes pre-tokens: ``ids`` has the ids of each joined by a space, ``decoded`` their bytes."""
+    """Encodes pre-tokens: ``ids`` has the ids of each joined by a space, ``decoded`` what they decode to if that isn't the pre-token itself."""
 
     def __init__(self, path: str):
         self.ranks = read_ranks(path)
@@ -94,7 +94,7 @@ class Encoder:
             raw = word.encode()
             if len(raw) > LONG:
                 ids = self.contract_long(raw)
-                self.ids[word], self.decoded[word] = " ".join(map(str, ids)), b"".join(map(self.bytes_of.__getitem__, ids))
+                self._keep(word, " ".join(map(str, ids)), b"".join(map(self.bytes_of.__getitem__, ids)))
                 continue
             names.append(word)
             batch.append(raw)
@@ -117,9 +117,17 @@ class Encoder:
         self.db.register("start", start)
         got = self.db.sql(CONTRACT).to_arrow_table()
         self.db.unregister("start")
-        words = [names[w] for w in got.column("w").to_pylist()]
-        self.ids.update(zip(words, got.column("ids").to_pylist(), strict=True))
-        self.decoded.update(zip(words, got.column("decoded").to_pylist(), strict=True))
+        for w, ids, decoded in zip(*(got.column(c).to_pylist() for c in ("w", "ids", "decoded")), strict=True):
+            self._keep(names[w], ids, decoded)
+
+    def _keep(self, word: str, ids: str, decoded: bytes) -> None:
+        self.ids[word] = ids
+        if decoded != word.encode():
+            self.decoded[word] = decoded
+
+    def decode(self, word: str) -> bytes:
+        """What the ids of a pre-token decoded to."""
+        return self.decoded[word] if word in self.decoded else word.encode()
 
     def contract_long(self, raw: bytes) -> list[int]:
         """The same contraction with a heap of (rank, position); stale entries are skipped."""
@@ -154,7 +162,7 @@ def encoder(path: str) -> Encoder:
 def encode_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str, keep_ids: bool = False) -> Iterator[pa.RecordBatch]:
     """doc_id and text in; ids, counts and digests out."""
     split, own = splitter(pattern), encoder(path)
-    known, ids_of, bytes_of = own.ids, own.ids.__getitem__, own.decoded.__getitem__
+    known, ids_of, bytes_of = own.ids, own.ids.__getitem__, own.decode
     for batch in slices(batches):
         texts = [x or "" for x in batch.column("text").to_pylist()]
         n, ids_sha, decoded_sha, ids_out = [], [], [], []

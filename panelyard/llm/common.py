@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Documents that are Python objects at a time; the rest of a batch stays in Arrow.
 ROWS = 256
 #: Bytes of a batch that goes from the JVM to a Python worker, which both hold; Spark's own bound is 64 MB.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 1 << 20
 #: Rows of a few numbers up to which a table is broadcast; beyond it is shuffled.
 BROADCAST_ROWS = 500_000
 
