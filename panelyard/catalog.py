@@ -196,12 +196,12 @@ def asof_vintage(spark, d):
 
 
 @query(f"""WITH o AS (SELECT o_custkey, o_orderdate::DATE AS d, max(o_totalprice) AS rev FROM orders GROUP BY ALL),
-  l AS (SELECT c_custkey, m.date FROM customer, (SELECT DISTINCT date_trunc('quarter', o_orderdate)::DATE AS date FROM orders) m WHERE c_custkey % 5 = 0)
+  l AS (SELECT c_custkey, m.date FROM customer, (SELECT DISTINCT date_trunc('quarter', o_orderdate)::DATE AS date FROM orders) m)
   SELECT c_custkey, date, {r('rev')}, {r('CASE WHEN rev <> 0 THEN c_custkey / rev END AS margin')} FROM l ASOF LEFT JOIN o ON c_custkey = o_custkey AND date >= o.d""")
 def asof_revenue(spark, d):
     o = ad.read(spark, d, "orders").groupBy("o_custkey", F.to_date("o_orderdate").alias("d")).agg(F.max("o_totalprice").alias("rev"))
     dates = ad.read(spark, d, "orders").select(F.to_date(F.date_trunc("quarter", "o_orderdate")).alias("date")).distinct()
-    left = ad.read(spark, d, "customer").filter("c_custkey % 5 = 0").select("c_custkey").crossJoin(F.broadcast(dates))
+    left = ad.read(spark, d, "customer").select("c_custkey").crossJoin(F.broadcast(dates))
     out = asof.asof_backward(left, o.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "date", "d", ["rev"])
     return out.withColumn("__key", F.col("c_custkey").cast("double")).withColumn("margin", panel.fcf_margin("__key", "rev")).select("c_custkey", "date", "rev", "margin")
 
@@ -219,14 +219,14 @@ def latest_per_key(spark, d):
     return dedup.latest(ad.read(spark, d, "orders"), "o_custkey", ["o_orderdate", "o_orderpriority", "o_orderkey"], ["o_orderkey", "o_totalprice"])
 
 
-_QTR = "q AS (SELECT o_custkey % 50 AS k, year(o_orderdate)::INTEGER AS fy, quarter(o_orderdate)::INTEGER AS q, sum(round(o_totalprice * 100)::BIGINT)::DOUBLE AS x FROM orders WHERE o_custkey % 3 <> 0 GROUP BY ALL)"
+_QTR = "q AS (SELECT o_custkey % 50 AS k, year(o_orderdate)::INTEGER AS fy, quarter(o_orderdate)::INTEGER AS q, sum(round(o_totalprice * 100)::BIGINT)::DOUBLE AS x FROM orders GROUP BY ALL)"
 
 
 @query(f"""WITH {_QTR}, t AS (SELECT k, CASE WHEN count(*) = 4 THEN sum(x) END AS ttm FROM (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY k ORDER BY fy DESC, q DESC) <= 4) GROUP BY k),
   n AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY k ORDER BY fy DESC, q DESC) = 1)
   SELECT k, n.fy, n.q, {r('ttm', 'n.x / b.x - 1 AS yoy')} FROM n JOIN t USING (k) LEFT JOIN q b ON b.k = n.k AND b.fy = n.fy - 1 AND b.q = n.q""")
 def ttm_sum_and_yoy(spark, d):
-    o = ad.read(spark, d, "orders").filter("o_custkey % 3 <> 0")
+    o = ad.read(spark, d, "orders")
     q = o.groupBy((F.col("o_custkey") % 50).alias("k"), F.year("o_orderdate").alias("fy"), F.quarter("o_orderdate").alias("q")).agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).cast("double").alias("x"))
     return dedup.trailing_sum(q, ["k"], ["fy", "q"], "x").join(dedup.year_over_year(q, ["k"], "fy", "q", "x"), "k").select("k", "fy", "q", "ttm", "yoy")
 
@@ -260,9 +260,11 @@ def quarantine_clean(spark, d):
 
 
 @query(f"""WITH {_RAW}, c AS (SELECT CASE WHEN try_cast("DATE" AS DATE) IS NULL THEN 'bad_date' WHEN trim("TICKER") = '' THEN 'missing_ticker' WHEN coalesce(try_cast("ADJ_CLOSE" AS DOUBLE), 0) <= 0 THEN 'bad_adj_close' ELSE 'ok' END AS reason FROM raw)
-  SELECT reason, count(*) AS n FROM c GROUP BY reason""")
+  SELECT CASE WHEN reason = 'ok' THEN 'rows_out' ELSE reason END AS reason, count(*) AS n FROM c GROUP BY ALL UNION ALL SELECT 'rows_in', count(*) FROM c""")
 def load_report(spark, d):
-    return clean.clean_prices(_raw_prices(spark, d)).groupBy(F.coalesce("quarantine_reason", F.lit("ok")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    raw = _raw_prices(spark, d)
+    report = clean.load_report(raw, clean.clean_prices(raw))
+    return spark.createDataFrame(sorted(report.items()), "reason string, n bigint")
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN o_orderdate::DATE + 3 WHEN o_orderkey % 3 = 0 THEN o_orderdate::DATE ELSE o_orderdate::DATE + 3 END AS available,
@@ -355,7 +357,7 @@ def ranks(spark, d):
 @query(f"""WITH {PRT}, s AS (SELECT date, ticker, sector, CASE WHEN ticker % 5 <> 0 THEN px END AS px FROM prt) SELECT date, ticker, {r('coalesce(px, median(px) OVER (PARTITION BY sector)) AS px')} FROM s""")
 def sector_median_impute(spark, d):
     df = ad.part_panel(spark, d).withColumn("px", F.when(F.col("ticker") % 5 != 0, F.col("px")))
-    return df.select("date", "ticker", xsec.impute_group_median(F.col("px"), ["sector"]).alias("px"))
+    return xsec.with_group_median(df, "px", ["sector"]).select("date", "ticker", "px")
 
 
 @query(f"""WITH {SUP} SELECT date, ticker, {r('-(CASE WHEN volume - 100 > 0 THEN volume - 100 END) AS pe', 'disc AS roe')} FROM sup""")
@@ -392,7 +394,7 @@ def live_composite(spark, d):
     df = _snapshot(spark, d)
     df = df.select("ticker", "sector", *[f(df).alias(n) for n, f in scoring.FACTORS.items()])
     out = scoring.snapshot_composite(df, {"value": 0.2, "momentum": 0.2, "lowvol": 0.1, "absent": 0.3})
-    return out.withColumn("rank", F.rank().over(Window.partitionBy("sector").orderBy(F.desc(F.round("composite", 9))))).select("ticker", "composite", "rank")
+    return out.select("ticker", "composite", "rank")
 
 
 _LAB = f"""WITH {SUP}, b AS (SELECT *, -disc AS nd, CASE WHEN ticker % 4 <> 0 THEN px END AS p4 FROM sup), {_z('volume', 'date, sector', 'b', 'z1')}, {_z('nd', 'date, sector', 'z1t', 'z2')}, {_z('p4', 'date, sector', 'z2t', 'z3')},

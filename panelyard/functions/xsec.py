@@ -73,3 +73,10 @@ def average_rank(x: str, by: Sequence[str]) -> Column:
 
 def impute_group_median(x: Column, by: Sequence[str]) -> Column:
     return F.coalesce(x, F.median(x).over(_over(by)))
+
+
+def with_group_median(df: DataFrame, x: str, by: Sequence[str], out: str | None = None) -> DataFrame:
+    """x with its group's median where it is null: one aggregation and a join, so no group is sorted in one task."""
+    medians = df.groupBy(*[F.col(b).alias(f"__{b}") for b in by]).agg(F.median(x).alias("__m"))
+    same = [F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by]
+    return df.join(medians, same, "left").withColumn(out or x, F.coalesce(F.col(x), F.col("__m"))).drop("__m", *[f"__{b}" for b in by])

@@ -281,16 +281,14 @@ def turnover_between(old: DataFrame, new: DataFrame, key: str = "ticker", by: Se
     return moves.groupBy(*by, key).agg(F.sum("w").alias("d")).groupBy(*by).agg((F.sum(F.abs("d")) / 2).alias("turnover"))
 
 
-def apply_caps(weights: DataFrame, max_position: float = 0.05, max_group: float = 0.30, rounds: int = 50, group: str = "sector") -> DataFrame:
+def apply_caps(weights: DataFrame, max_position: float = 0.05, max_group: float = 0.30, group: str = "sector") -> DataFrame:
     """Clip single weights, scale groups above the limit down, then renormalize to 1.
 
-    One scaling brings a group to its limit exactly and touches no other, so the rounds of the
-    definition end after the first; the last step may exceed the caps again, by definition.
+    One scaling brings a group to its limit exactly and touches no other; the last step may exceed
+    the caps again, by definition.  Names without a group are clipped but belong to none that is capped.
     """
-    del rounds
-    w = F.least(F.col("w"), F.lit(max_position))
-    rows = weights.withColumn("w", w).withColumn("__g", F.sum("w").over(Window.partitionBy(group)))
+    rows = weights.withColumn("w", F.least(F.col("w"), F.lit(max_position)))
+    rows = rows.withColumn("__g", F.when(F.col(group).isNotNull(), F.sum("w").over(Window.partitionBy(group))))
     rows = rows.withColumn("w", F.when(F.col("__g") > max_group, F.col("w") * max_group / F.col("__g")).otherwise(F.col("w"))).drop("__g")
     total = rows.agg(F.sum("w").alias("__t"))
     return rows.crossJoin(F.broadcast(total)).withColumn("w", F.when(F.col("__t") != 0, F.col("w") / F.col("__t")).otherwise(F.col("w"))).drop("__t")
-

@@ -34,6 +34,11 @@ def ic_series(df: DataFrame, x: str, y: str, by: Sequence[str] = ("date",), leas
     return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= least, covariance_corr("__rx", "__ry")).alias("ic"))
 
 
+def composite_ic(df: DataFrame, z: str = "z_composite", ret: str = "ret_fwd_1", by: Sequence[str] = ("date",)) -> DataFrame:
+    """IC of a composite on every date that has two complete pairs or more."""
+    return ic_series(df, z, ret, by, least=2)
+
+
 def ic_summary(ics: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return ics.filter(F.col("ic").isNotNull()).groupBy(*by).agg(*series_summary("ic"))
 
@@ -77,6 +82,12 @@ def decay_curve(df: DataFrame, x: str, cal: DataFrame, bases: DataFrame, lags: S
     return per.groupBy("lag").agg(F.avg("c").alias("autocorr"), F.count("c").alias("n"))
 
 
+def comparison(broad: DataFrame, large: DataFrame, key: str = "sleeve", least: int = 10) -> DataFrame:
+    """IC summaries of the broad and the large-cap universe side by side; NULL where one has fewer than ``least`` dates."""
+    side = lambda df, name: df.select(key, *[F.when(F.col("n") >= least, F.col(c)).alias(f"{name}_{c}") for c in ("mean", "tstat")], F.col("n").alias(f"{name}_n"))
+    return side(broad, "broad").join(side(large, "large"), key, "full").withColumn("delta", F.col("large_mean") - F.col("broad_mean"))
+
+
 def half_life(decay: Mapping[int, float | None], threshold: float = HALF) -> dict:
     """First lag at which the curve crosses the threshold, interpolated; a handful of numbers."""
     pts = [(k, v) for k, v in sorted(decay.items()) if v is not None and not math.isnan(v)]

@@ -138,7 +138,7 @@ FACTORS: dict[str, Callable[..., Column]] = {"value": value_score, "quality": qu
 def snapshot_composite(df: DataFrame, weights: Mapping[str, float], group: str = "sector", sigma: float = 3.0, tie: Sequence[str] = ()) -> DataFrame:
     """z_<sleeve>, composite and rank (1 = best within the group, ties share the least rank).
 
-    Sleeves without any value are left out and the weights renormalized; a missing z counts as 0.
+    Composites that differ by rounding only (nine digits) are ties.  Sleeves without any value are left out and the weights renormalized; a missing z counts as 0.
     """
     active = [s for s in weights if s in filled(df, list(weights))]
     total = sum(weights[s] for s in active)
@@ -149,7 +149,7 @@ def snapshot_composite(df: DataFrame, weights: Mapping[str, float], group: str =
     for s in active:
         score = score + F.coalesce(F.col(f"z_{s}"), F.lit(0.0)) * F.lit(weights[s] / total)
     out = out.withColumn("composite", score)
-    return out.withColumn("rank", F.rank().over(Window.partitionBy(group).orderBy(F.desc("composite"))))
+    return out.withColumn("rank", F.rank().over(Window.partitionBy(group).orderBy(F.desc(F.round("composite", 9)))))
 
 
 def oriented(factor: str, directions: Mapping[str, int] = FACTOR_DIRECTION) -> Column:

@@ -107,8 +107,8 @@ def read_config(path: str) -> dict:
 
 
 def write_panel(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Hive layout by year; rows of a year are brought together, so a year has few files."""
-    df.repartition("year").sortWithinPartitions("ticker", "date").write.mode(mode).partitionBy("year").parquet(path)
+    """Hive layout by year; ranges of tickers of a year are brought together, so a year has few files and many tasks write it."""
+    df.repartitionByRange("year", "ticker").sortWithinPartitions("year", "ticker", "date").write.mode(mode).partitionBy("year").parquet(path)
 
 
 def years_of(dates: Sequence) -> list[int]:
