@@ -8,8 +8,9 @@ through the table of token bytes, into decoded bytes.  A document's ids are thos
 in order, since no merge crosses a pre-token.
 
 Contraction takes one step of the recursion per merge, so a word of n bytes costs up to n steps over
-n rows.  Pre-tokens above ``LONG`` bytes (runs of one class of characters without a break) are
-contracted by the same rule with a heap instead, in n log n.
+n rows, all of which the query holds (measured: 54 ms for 1,000 bytes, 177 ms for 2,500, 534 ms for 5,000).
+Pre-tokens above ``LONG`` bytes (runs of one class of characters without a break) are contracted by the
+same rule with a heap instead, in n log n (1.7, 4.6 and 8.7 ms); the ids are the same.
 
 Defined results: a null text counts as empty: no ids, and the digests of empty strings; texts are
 taken whole at any length; repeated rows are encoded alike; an empty table gives an empty result.
@@ -33,7 +34,7 @@ from .common import in_arrow, release, slices, table
 from .pretoken import blocks, splitter
 
 #: Bytes above which a pre-token is contracted with a heap.
-LONG = 256
+LONG = 1024
 #: Words that one recursive query contracts, and words whose ids a task remembers; both bound memory.
 BATCH, REMEMBER = 30_000, 300_000
 
@@ -79,7 +80,7 @@ class Encoder:
         get = self.ranks.get
         pairs = [(get(t[:i]), get(t[i:]), rank) for t, rank in self.ranks.items() for i in range(1, len(t))]
         pairs = [p for p in pairs if p[0] is not None and p[1] is not None]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "128MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "96MB"})
         merges = pa.table(dict(zip(("l", "r", "merged"), (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True)), strict=True)))
         tokens = pa.table({"id": pa.array(self.bytes_of, pa.int32()), "hex": [t.hex() for t in self.bytes_of.values()]})
         for name, rows in (("merges", merges), ("tokens", tokens)):
@@ -125,9 +126,11 @@ class Encoder:
         if decoded != word.encode():
             self.decoded[word] = decoded
 
-    def decode(self, word: str) -> bytes:
-        """What the ids of a pre-token decoded to."""
-        return self.decoded[word] if word in self.decoded else word.encode()
+    def decode(self, words: list[str]) -> bytes:
+        """What the ids of pre-tokens decoded to."""
+        if not self.decoded:
+            return "".join(words).encode()
+        return b"".join(self.decoded[w] if w in self.decoded else w.encode() for w in words)
 
     def contract_long(self, raw: bytes) -> list[int]:
         """The same contraction with a heap of (rank, position); stale entries are skipped."""
@@ -162,7 +165,7 @@ def encoder(path: str) -> Encoder:
 def encode_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str, keep_ids: bool = False) -> Iterator[pa.RecordBatch]:
     """doc_id and text in; ids, counts and digests out."""
     split, own = splitter(pattern), encoder(path)
-    known, ids_of, bytes_of = own.ids, own.ids.__getitem__, own.decode
+    known, ids_of = own.ids, own.ids.__getitem__
     for batch in slices(batches):
         texts = [x or "" for x in batch.column("text").to_pylist()]
         n, ids_sha, decoded_sha, ids_out = [], [], [], []
@@ -177,7 +180,7 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str, k
                 text = " ".join(map(ids_of, doc))
                 n.append(text.count(" ") + 1 if doc else 0)
                 ids_sha.append(hashlib.sha256(text.encode()).hexdigest())
-                decoded_sha.append(hashlib.sha256(b"".join(map(bytes_of, doc))).hexdigest())
+                decoded_sha.append(hashlib.sha256(own.decode(doc)).hexdigest())
                 if keep_ids:
                     ids_out.append(list(map(int, text.split())))
         columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(decoded_sha, pa.string())}

@@ -47,6 +47,18 @@ def test_long_words_contract_alike():
     assert all(own.ids[w] == " ".join(map(str, own.contract_long(w.encode()))) for w in words)
 
 
+def test_very_long_words_equal_library():
+    import tiktoken
+
+    path, rng = public_tokenizers.path("byte_bpe_50k.tiktoken"), random.Random(2)
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    own = bpe.encoder(path)
+    for n in (1023, 1025, 5000):  # both ways of contraction
+        word = "".join(rng.choice("etaoinshrdlu") for _ in range(n))
+        own.learn([word])
+        assert own.ids[word] == " ".join(map(str, lib.encode_ordinary(word))) and own.decode([word]) == word.encode()
+
+
 def test_token_counts_equal_library(texts):
     from tokenizers import Tokenizer
 
