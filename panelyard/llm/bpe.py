@@ -34,7 +34,7 @@ from .common import in_arrow, release, slices, table
 from .pretoken import blocks, splitter
 
 #: Bytes above which a pre-token is contracted with a heap.
-LONG = 1024
+LONG = 256
 #: Words that one recursive query contracts, and words whose ids a task remembers; both bound memory.
 BATCH, REMEMBER = 30_000, 300_000
 
@@ -76,11 +76,12 @@ class Encoder:
         self.bytes_of = {i: t for t, i in self.ranks.items()}
         self.single = [self.ranks[bytes([b])] for b in range(256)]
         self.ids: dict[str, str] = {}
+        self.older: dict[str, str] = {}  # met before, though not lately
         self.decoded: dict[str, bytes] = {}
         get = self.ranks.get
         pairs = [(get(t[:i]), get(t[i:]), rank) for t, rank in self.ranks.items() for i in range(1, len(t))]
         pairs = [p for p in pairs if p[0] is not None and p[1] is not None]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "96MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "128MB"})
         merges = pa.table(dict(zip(("l", "r", "merged"), (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True)), strict=True)))
         tokens = pa.table({"id": pa.array(self.bytes_of, pa.int32()), "hex": [t.hex() for t in self.bytes_of.values()]})
         for name, rows in (("merges", merges), ("tokens", tokens)):
@@ -88,6 +89,19 @@ class Encoder:
             self.db.execute(f"CREATE TABLE {name} AS FROM given")
             self.db.unregister("given")
 
+    def know(self, words: set[str]) -> None:
+        """Learns the words that it does not know; forgets those not met for long."""
+        if len(self.ids) + len(words) > REMEMBER // 2:
+            self.older, self.ids = self.ids, {}
+            self.decoded = {w: x for w, x in self.decoded.items() if w in self.older}
+        new = words - self.ids.keys()
+        back = new & self.older.keys()
+        self.ids.update((w, self.older[w]) for w in back)
+        self.learn(list(new - back))
+
+    def forget(self) -> None:
+        self.ids, self.older, self.decoded = {}, {}, {}
+
     def learn(self, words: list[str]) -> None:
         batch: list[bytes] = []
         names: list[str] = []
@@ -118,8 +132,9 @@ class Encoder:
         self.db.register("start", start)
         got = self.db.sql(CONTRACT).to_arrow_table()
         self.db.unregister("start")
-        for w, ids, decoded in zip(*(got.column(c).to_pylist() for c in ("w", "ids", "decoded")), strict=True):
-            self._keep(names[w], ids, decoded)
+        words = [names[w] for w in got.column("w").to_pylist()]
+        self.ids.update(zip(words, got.column("ids").to_pylist(), strict=True))
+        self.decoded.update((w, x) for w, x in zip(words, got.column("decoded").to_pylist(), strict=True) if x != w.encode())
 
     def _keep(self, word: str, ids: str, decoded: bytes) -> None:
         self.ids[word] = ids
@@ -165,17 +180,13 @@ def encoder(path: str) -> Encoder:
 def encode_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str, keep_ids: bool = False) -> Iterator[pa.RecordBatch]:
     """doc_id and text in; ids, counts and digests out."""
     split, own = splitter(pattern), encoder(path)
-    known, ids_of = own.ids, own.ids.__getitem__
     for batch in slices(batches):
         texts = [x or "" for x in batch.column("text").to_pylist()]
         n, ids_sha, decoded_sha, ids_out = [], [], [], []
         for a, b in blocks(texts):
             words = [split(x) for x in texts[a:b]]
-            new = set().union(*words)
-            if len(known) + len(new) > REMEMBER:
-                own.ids.clear()
-                own.decoded.clear()
-            own.learn([w for w in new if w not in known])
+            own.know(set().union(*words))
+            ids_of = own.ids.__getitem__
             for doc in words:
                 text = " ".join(map(ids_of, doc))
                 n.append(text.count(" ") + 1 if doc else 0)
@@ -187,8 +198,7 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str, k
         if keep_ids:
             columns["ids"] = pa.array(ids_out, pa.list_(pa.int32()))
         yield pa.RecordBatch.from_pydict(columns)
-    own.ids.clear()
-    own.decoded.clear()
+    own.forget()
     release()
 
 
