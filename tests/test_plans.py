@@ -208,3 +208,10 @@ def test_reports(spark):
     top = reports.shortlist(df, 2, {"value": 0.5}, previous=df.filter("ticker = 'A'"))
     assert {r["ticker"]: r["is_new"] for r in top.collect()} == {"A": False, "B": True}
     assert reports.markdown([{"a": 1.0, "b": None}]) == "| a | b |\n|---|---|\n| 1.0000 | - |"
+
+
+def test_names_without_a_group_are_not_capped_as_one(spark):
+    rows = [(f"t{i}", "a" if i < 10 else None, 0.05) for i in range(20)]
+    out = backtest.apply_caps(spark.createDataFrame(rows, "ticker string, sector string, w double")).collect()
+    by = {r["ticker"]: r["w"] for r in out}
+    assert abs(by["t0"] - 0.03 / 0.8) < 1e-12 and abs(by["t15"] - 0.05 / 0.8) < 1e-12
