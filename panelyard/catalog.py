@@ -173,13 +173,12 @@ def live_beta(spark, d):
     return panel.live_price_stats(_sup(spark, d), 1, "px", beta_n=36, min_beta=12, jump=2.0).select("ticker", "beta")
 
 
-@query(f"""WITH {SUP}, {CAL}, p AS (SELECT ticker, pos, date, px FROM sup JOIN cal USING (date) WHERE ticker % 7 <> pos % 5)
+@query(f"""WITH {SUP}, {CAL}, p AS (SELECT ticker, pos, date, px FROM sup JOIN cal USING (date))
   SELECT a.ticker, a.date, h::INTEGER AS h, {r('b.px / a.px - 1 AS fwd')} FROM p a CROSS JOIN (VALUES (1), (3)) t(h) LEFT JOIN p b ON a.ticker = b.ticker AND b.pos = a.pos + h""")
 def calendar_forward_returns(spark, d):
     df = _sup(spark, d)
     cal = calendar.calendar(df)
-    gappy = df.join(F.broadcast(cal), "date").filter(F.col("ticker") % 7 != F.col("pos") % 5).drop("pos")
-    return panel.calendar_forward_returns(gappy, cal, "px", (1, 3)).select("ticker", "date", "h", "fwd")
+    return panel.calendar_forward_returns(df, cal, "px", (1, 3)).select("ticker", "date", "h", "fwd")
 
 
 # ---------------------------------------------------------------- as-of joins, dedup, latest per key
@@ -468,26 +467,38 @@ def annual_spreads(spark, d):
     return lab.annual_spreads(lab.quantile_returns(_sup_z(spark, d), "z_volume", "ret_fwd_1"))
 
 
-@query(f"""WITH {SUP}, {CAL}, rk AS (SELECT ticker, pos, rank() OVER (PARTITION BY date ORDER BY volume) + (count(*) OVER (PARTITION BY date, volume) - 1) / 2.0::DOUBLE AS r FROM sup JOIN cal USING (date)),
+_DECAY = f"""WITH {SUP}, {CAL}, rk AS (SELECT ticker, pos, rank() OVER (PARTITION BY date ORDER BY volume) + (count(*) OVER (PARTITION BY date, volume) - 1) / 2.0::DOUBLE AS r FROM sup JOIN cal USING (date)),
   bs AS (SELECT pos FROM cal WHERE pos % 6 = 2 AND pos + 12 <= (SELECT max(pos) FROM cal)),
   pr AS (SELECT lag, a.pos AS base, CASE WHEN count(*) >= 30 AND stddev_samp(a.r) > 0 AND stddev_samp(b.r) > 0 THEN covar_samp(a.r, b.r) / (stddev_samp(a.r) * stddev_samp(b.r)) END AS c
-    FROM rk a JOIN bs ON a.pos = bs.pos CROSS JOIN (VALUES (1), (3), (6), (12)) t(lag) JOIN rk b ON b.ticker = a.ticker AND b.pos = a.pos + lag GROUP BY ALL)
-  SELECT lag::INTEGER AS lag, {r('avg(c) AS autocorr')}, count(c) AS n FROM pr GROUP BY lag""")
+    FROM rk a JOIN bs ON a.pos = bs.pos CROSS JOIN (VALUES (1), (3), (6), (12)) t(lag) JOIN rk b ON b.ticker = a.ticker AND b.pos = a.pos + lag GROUP BY ALL)"""
+
+
+@query(f"{_DECAY} SELECT lag::INTEGER AS lag, {r('avg(c) AS autocorr')}, count(c) AS n FROM pr GROUP BY lag")
 def decay_curve(spark, d):
     df = _sup(spark, d)
     cal = calendar.calendar(df)
     return lab.decay_curve(df, "volume", cal, calendar.base_dates(cal.select("date"), cal, ahead=12), (1, 3, 6, 12))
 
 
-@query(f"""WITH {SUP}, {CAL}, {_z('volume', 'date, sector', 'sup')}, fw AS (SELECT z.date, z.ticker, h, z.z, b.px / z.px - 1 AS y FROM (SELECT * FROM zt JOIN cal USING (date)) z CROSS JOIN (VALUES (1), (3), (6)) t(h) JOIN (SELECT * FROM sup JOIN cal USING (date)) b ON b.ticker = z.ticker AND b.pos = z.pos + h),
-  {_ic('fw', 'z', 'y', 'h, date')} SELECT 'z_volume' AS factor, h::INTEGER AS h, count(ic) AS n, {_SUMMARY} FROM ics GROUP BY h""")
+_HORIZONS = f"""WITH {SUP}, {CAL}, {_z('volume', 'date, sector', 'sup')}, fw AS (SELECT z.date, z.ticker, h, z.z, b.px / z.px - 1 AS y FROM (SELECT * FROM zt JOIN cal USING (date)) z CROSS JOIN (VALUES (1), (3), (6)) t(h) JOIN (SELECT * FROM sup JOIN cal USING (date)) b ON b.ticker = z.ticker AND b.pos = z.pos + h),
+  {_ic('fw', 'z', 'y', 'h, date')}"""
+
+
+@query(f"{_HORIZONS} SELECT 'z_volume' AS factor, h::INTEGER AS h, count(ic) AS n, {_SUMMARY} FROM ics GROUP BY h")
 def ic_horizons(spark, d):
     df = _sup_z(spark, d)
     fwd = panel.calendar_forward_returns(df, calendar.calendar(df), "px", (1, 3, 6))
     return lab.ic_at_horizons(df.select("date", "ticker", "z_volume"), fwd, ["z_volume"])
 
 
-@query()
+@query(f"""WITH p AS (SELECT 'decay' AS curve, lag AS x, v FROM ({_DECAY} SELECT lag, avg(c) AS v FROM pr GROUP BY lag) WHERE v IS NOT NULL
+    UNION ALL SELECT 'ic', h, v FROM ({_HORIZONS} SELECT h, avg(ic) AS v FROM ics GROUP BY h) WHERE v IS NOT NULL),
+  q AS (SELECT *, first_value(v) OVER w AS v0, lag(x) OVER w AS xa, lag(v) OVER w AS va FROM p WINDOW w AS (PARTITION BY curve ORDER BY x)),
+  l AS (SELECT *, CASE curve WHEN 'decay' THEN 0.5::DOUBLE ELSE v0 / 2 END AS level FROM q),
+  s AS (SELECT curve, any_value(v0) AS v0, min(x)::DOUBLE AS x0, max(x)::DOUBLE AS x1, min_by(xa + (va - level) / (va - v) * (x - xa), x) FILTER (v <= level AND level <= va AND va <> v) AS days FROM l GROUP BY curve),
+  h AS (SELECT c.curve, s.* EXCLUDE (curve), CASE WHEN v0 IS NULL THEN 'no-data' WHEN c.curve = 'ic' AND v0 <= 0 THEN 'nonpositive-base-ic' WHEN c.curve = 'decay' AND v0 < 0.5::DOUBLE THEN 'below-threshold-at-first-lag'
+    WHEN days IS NULL THEN CASE c.curve WHEN 'decay' THEN 'above-0.5-at-max-lag' ELSE 'above-half-at-max-horizon' END END AS censored FROM (VALUES ('decay'), ('ic')) c(curve) LEFT JOIN s ON s.curve = c.curve)
+  SELECT curve, censored, {r("CASE WHEN censored IN ('no-data', 'nonpositive-base-ic') THEN NULL WHEN censored LIKE 'below%' THEN x0 ELSE coalesce(days, x1) END AS days")} FROM h""")
 def half_life(spark, d):
     curve = {x["lag"]: x["autocorr"] for x in decay_curve(spark, d).collect()}
     df = _sup_z(spark, d)
@@ -564,18 +575,27 @@ def fisher_mean_corr(spark, d):
 
 
 def _matrix(spark: SparkSession, d: str):
-    c = correlation.fisher_mean(correlation.pair_correlations(_wide(spark, d), ["volume", "nd", "p4"], "spearman", least=5))
+    c = correlation.fisher_mean(correlation.pair_correlations(_wide(spark, d), ["volume", "nd", "p4"], "spearman", least=30))
     return correlation.matrix(c, ["volume", "nd", "p4"])
 
 
-@query()
+_FISHER = f"fi AS ({_SP} SELECT factor_a, factor_b, tanh(avg(atanh(greatest(least(corr, 0.9999999), -0.9999999)))) AS corr FROM c WHERE corr IS NOT NULL GROUP BY ALL)"
+
+
+# The eigenvalues of a 3 x 3 correlation matrix in closed form.
+@query(f"""WITH {_FISHER}, m AS (SELECT sum(corr * corr) AS q, product(corr) AS d FROM fi), a AS (SELECT sqrt(q / 3) AS s, acos(greatest(least(d * 3 * sqrt(3::DOUBLE) / (q * sqrt(q)), 1), -1)) / 3 AS t FROM m),
+  e AS (SELECT pc, 1 + 2 * s * cos(t - turn * 2 * pi() / 3) AS eigenvalue FROM a CROSS JOIN (VALUES (1, 0), (2, 1), (3, -1)) v(pc, turn))
+  SELECT pc, {r('eigenvalue', 'eigenvalue / 3 AS explained', 'sum(eigenvalue) OVER (ORDER BY pc) / 3 AS cumulative')} FROM e""")
 def pca(spark, d):
     _, m = _matrix(spark, d)
     out = correlation.pca(m)
     return spark.createDataFrame([(i + 1, float(out["eigenvalues"][i]), float(out["explained"][i]), float(out["cumulative"][i])) for i in range(len(m))], "pc int, eigenvalue double, explained double, cumulative double")
 
 
-@query()
+# Three factors: two edges or more join all, one edge its two.
+@query(f"""WITH {_FISHER}, e AS (SELECT * FROM fi WHERE abs(corr) >= 0.01::DOUBLE), g AS (SELECT f FROM (SELECT factor_a AS f FROM e UNION SELECT factor_b FROM e)),
+  t AS (SELECT string_agg(f, ',' ORDER BY f) AS members, min(f) AS keep FROM g HAVING count(*) > 0)
+  SELECT members, keep, {r('(SELECT max(abs(corr)) FROM e) AS max_abs_corr')} FROM t""")
 def redundancy_clusters(spark, d):
     cols, m = _matrix(spark, d)
     rows = [(",".join(g["members"]), g["keep"], g["max_abs_corr"]) for g in correlation.redundancy_clusters(cols, m, 0.01)]
@@ -619,8 +639,8 @@ def _trades(df: DataFrame, every: int = 3) -> DataFrame:
 
 
 def _run(spark: SparkSession, d: str) -> DataFrame:
-    p = _sup(spark, d).select("date", "ticker", "px").persist()
-    return backtest.run_backtest(p, _signals(spark, d).persist(), _trades(p), by=["sleeve"])
+    p = _sup(spark, d).select("date", "ticker", "px")
+    return backtest.run_backtest(p, _signals(spark, d), _trades(p), by=["sleeve"])
 
 
 _BT = f"WITH {_SIG}, {_bt_sql()}, {_LEGS}"
@@ -704,18 +724,14 @@ def cap_weighted_top(spark, d):
     return backtest.cap_weighted_top(p, _signals(spark, d), caps, _trades(p), by=["sleeve"]).select("trade_date", "gross", "turnover")
 
 
-_PCAL = f"{PRT}, cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM (SELECT DISTINCT date FROM prt)), pr2 AS (SELECT * FROM prt WHERE NOT (ticker % 20 = 0 AND date > DATE '1998-06-01'))"
-
-
-def _gappy(spark: SparkSession, d: str) -> DataFrame:
-    return ad.part_panel(spark, d).filter(~((F.col("ticker") % 20 == 0) & (F.col("date") > F.lit("1998-06-01").cast("date"))))
+_PCAL = f"{PRT}, cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM (SELECT DISTINCT date FROM prt)), pr2 AS (SELECT * FROM prt)"
 
 
 @query(f"""WITH {_PCAL}, pe AS (SELECT k, entry, exit FROM (SELECT pos AS entry, coalesce(lead(pos) OVER (ORDER BY pos), (SELECT max(pos) FROM cal)) AS exit, row_number() OVER (ORDER BY pos) - 1 AS k FROM cal WHERE pos % 6 = 1) WHERE exit > entry),
   px AS (SELECT ticker, pos FROM pr2 JOIN cal USING (date)), seen AS (SELECT ticker, max(pos) AS seen FROM px GROUP BY ticker)
   SELECT k, a.ticker, CASE WHEN seen > exit THEN 0.0::DOUBLE ELSE -0.3::DOUBLE END AS fill FROM px a JOIN pe ON a.pos = entry JOIN seen ON seen.ticker = a.ticker LEFT JOIN px b ON b.ticker = a.ticker AND b.pos = exit WHERE b.pos IS NULL""")
 def exit_fill(spark, d):
-    p = _gappy(spark, d).select("date", "ticker", "px")
+    p = ad.part_panel(spark, d).select("date", "ticker", "px")
     cal = calendar.calendar(p)
     return backtest.exit_fills(p, backtest.periods(cal, _trades(p, 6)), cal).withColumn("k", F.col("k").cast("long"))
 
@@ -727,7 +743,7 @@ def exit_fill(spark, d):
   p AS (SELECT k, quantile_cont(raw, [0.01, 0.99]) AS p FROM h GROUP BY k)
   SELECT k, any_value(trade_date) AS trade_date, {r('avg(CASE WHEN p0 IS NULL THEN 0 WHEN p1 IS NULL THEN CASE WHEN later THEN 0 ELSE -0.3 END WHEN p[2] > p[1] THEN greatest(least(raw, p[2]), p[1]) ELSE raw END) AS ret')} FROM h JOIN p USING (k) JOIN pe USING (k) GROUP BY k""")
 def equal_weight_benchmark(spark, d):
-    df = _gappy(spark, d)
+    df = ad.part_panel(spark, d)
     universe = df.select("date", "ticker", F.when(F.col("volume") > 30, F.col("volume")).alias("z"))
     p = df.select("date", "ticker", "px")
     return backtest.equal_weight_benchmark(p, _trades(p, 6), universe).withColumn("k", F.col("k").cast("long"))
@@ -737,7 +753,7 @@ def equal_weight_benchmark(spark, d):
   px AS (SELECT ticker, pos FROM pr2 JOIN cal USING (date)), mb AS (SELECT k, ticker FROM pr2 JOIN cal USING (date) JOIN pe ON pos = entry - 1 WHERE volume > 10)
   SELECT count(*) AS held, count(*) FILTER (b.pos IS NULL) AS no_exit, {r('count(*) FILTER (b.pos IS NULL) / count(*)::DOUBLE AS share')} FROM mb JOIN pe USING (k) JOIN px a ON a.ticker = mb.ticker AND a.pos = entry LEFT JOIN px b ON b.ticker = mb.ticker AND b.pos = exit""")
 def delist_incidence(spark, d):
-    df = _gappy(spark, d)
+    df = ad.part_panel(spark, d)
     p = df.select("date", "ticker", "px")
     return backtest.delist_incidence(p, df.select("date", "ticker", F.when(F.col("volume") > 10, F.col("volume")).alias("z")), _trades(p, 6))
 

@@ -47,7 +47,7 @@ _FUNDS = """fu AS (SELECT l_suppkey AS ticker, date_trunc('quarter', l_shipdate)
 @query(f"""WITH {SUP}, {_FUNDS}, p1 AS (SELECT s.ticker, s.date, s.px, f.pe, f.fcf FROM sup s ASOF LEFT JOIN fu f ON s.ticker = f.ticker AND s.date >= f.a),
   p2 AS (SELECT p1.*, f.rev FROM p1 ASOF LEFT JOIN (SELECT ticker, a + 20 AS a, rev FROM fu) f ON p1.ticker = f.ticker AND p1.date >= f.a)
   SELECT p2.ticker, p2.date, {r('pe', 'fcf', 'rev AS revenue', 'CASE WHEN rev <> 0 THEN fcf / rev END AS fcf_margin', 'px / lag(px) OVER w - 1 AS ret_1', 'lead(px) OVER w / px - 1 AS ret_fwd_1')},
-    CASE WHEN p2.ticker % 4 = 0 THEN 'unknown' ELSE r_name END AS sector, false AS has_suffix, year(p2.date)::INTEGER AS year
+    r_name AS sector, false AS has_suffix, year(p2.date)::INTEGER AS year
   FROM p2 JOIN supplier ON p2.ticker = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WINDOW w AS (PARTITION BY p2.ticker ORDER BY p2.date)""")
 def point_in_time_panel(spark, d):
     prices = _sup(spark, d).select("ticker", F.col("ticker").alias("company_id"), "date", F.col("px").alias("adj_close"))
@@ -55,7 +55,7 @@ def point_in_time_panel(spark, d):
     f = li.agg(F.count(F.lit(1)).alias("pricetoearnings"), F.sum(F.col("l_quantity").cast("long")).alias("freecashflow"), (F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")) / 100.0).alias("totalrevenue"))
     f = f.withColumn("available_date", F.date_add("q", 135)).withColumn("fiscal_period", F.lit("FY"))
     s = ad.read(spark, d, "supplier").join(ad.read(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(ad.read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    companies = s.filter("s_suppkey % 4 <> 0").select(F.col("s_suppkey").alias("company_id"), F.explode(F.array(F.struct(F.lit(1).alias("row"), F.lit("later").alias("sector")), F.struct(F.lit(0).alias("row"), F.col("r_name").alias("sector")))).alias("c")).select("company_id", "c.*")
+    companies = s.select(F.col("s_suppkey").alias("company_id"), F.explode(F.array(F.struct(F.lit(1).alias("row"), F.lit("later").alias("sector")), F.struct(F.lit(0).alias("row"), F.col("r_name").alias("sector")))).alias("c")).select("company_id", "c.*")
     revenue = f.select("ticker", F.date_add("available_date", 20).alias("available_date"), "totalrevenue")
     out = panel.build_panel(prices, f, revenue, companies, {"pricetoearnings": "pe", "freecashflow": "fcf", "absent": "none"}, (1,), (1,))
     return out.select("ticker", "date", "pe", "fcf", "revenue", "fcf_margin", "ret_1", "ret_fwd_1", "sector", "has_suffix", "year")
@@ -91,14 +91,14 @@ def live_snapshot(spark, d):
 # ---------------------------------------------------------------- signals and reports
 
 
-@query(f"""WITH {SUP}, e AS (SELECT date, ticker, sector, volume AS roe, CASE WHEN ticker % 3 <> 0 THEN disc END AS mom, CASE WHEN ticker % 5 <> 0 THEN -px END AS vol FROM sup WHERE px >= 900 AND month(date) % 3 = 0),
+@query(f"""WITH {SUP}, e AS (SELECT date, ticker, sector, volume AS roe, CASE WHEN ticker % 3 <> 0 THEN disc END AS mom, -px AS vol FROM sup WHERE px >= 900 AND month(date) % 3 = 0),
   {_z('roe', 'date, sector', 'e', 'z1')}, {_z('mom', 'date, sector', 'z1t', 'z2')}, {_z('vol', 'date, sector', 'z2t', 'z3')},
   w AS (SELECT *, CASE WHEN z2 IS NOT NULL THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN z3 IS NOT NULL THEN 0.1::DOUBLE ELSE 0 END AS b FROM z3t)
   SELECT date, ticker, {r('z1 AS sleeve_quality', 'z2 AS sleeve_momentum', 'z3 AS sleeve_lowvol', 'CASE WHEN b > 0 THEN (coalesce(z2 * 0.2::DOUBLE, 0) + coalesce(z3 * 0.1::DOUBLE, 0)) / b END AS z_composite')} FROM w""")
 def signal_frame(spark, d):
     df = _sup(spark, d)
     rows = df.select("date", "ticker", "sector", F.col("volume").alias("roe"), F.when(F.col("ticker") % 3 != 0, F.col("disc")).alias("mom_12m1m"))
-    proxies = df.filter("ticker % 5 <> 0").select("ticker", "date", F.col("px").alias("vol_126d"))
+    proxies = df.select("ticker", "date", F.col("px").alias("vol_126d"))
     dates = df.filter("month(date) % 3 = 0").select("date").distinct()
     out = scoring.signal_frame(rows, dates, df.filter("px >= 900").select("date", "ticker"), proxies)
     return out.select("date", "ticker", "sleeve_quality", "sleeve_momentum", "sleeve_lowvol", "z_composite")

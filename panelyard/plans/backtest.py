@@ -35,6 +35,24 @@ class Rules:
     staleness: str = "carry"
 
 
+class _Cached:
+    """Tables that several steps of one call read; released when it ends."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def __enter__(self) -> _Cached:
+        return self
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.tables.append(df.persist())
+        return self.tables[-1]
+
+    def __exit__(self, *_) -> None:
+        for df in self.tables:
+            df.unpersist()
+
+
 def periods(cal: DataFrame, trades: DataFrame, lag: int = 1) -> DataFrame:
     """k, trade_date, entry, exit, signal (positions), last: one row per rebalance.
 
@@ -138,15 +156,18 @@ def run_backtest(prices: DataFrame, signals: DataFrame, trades: DataFrame, rules
     """by..., q, k, trade_date, gross, turnover: equal-weighted quantile legs.
 
     prices: date, ticker, px. signals: by..., date, ticker, z. trades: trade_date.  ``by`` runs
-    several sleeves in one plan.
+    several sleeves in one plan.  The result, n rows a period and sleeve, is computed at once, so that
+    what is cached on the way is released here.
     """
-    cal = local(calendar(prices))
-    per = periods(cal, trades, rules.lag)
-    labels = label_periods(signals, prices, per, cal, rules, by).persist()
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by, "k", "q"))
-    weights = labels.select(*by, "q", "k", "ticker", (F.lit(1.0) / n).alias("w"))
-    legs = _legs(labels, rules.n, by)
-    return leg_returns(weights, holdings(prices, per, cal, rules), legs, by).join(F.broadcast(per.select("k", "trade_date")), "k")
+    with _Cached() as keep:
+        prices = keep(prices.select("date", "ticker", "px"))
+        cal = local(calendar(prices))
+        per = periods(cal, trades, rules.lag)
+        labels = keep(label_periods(signals, prices, per, cal, rules, by))
+        n = F.count(F.lit(1)).over(Window.partitionBy(*by, "k", "q"))
+        weights = labels.select(*by, "q", "k", "ticker", (F.lit(1.0) / n).alias("w"))
+        legs = _legs(labels, rules.n, by)
+        return local(leg_returns(weights, holdings(prices, per, cal, rules), legs, by).join(F.broadcast(per.select("k", "trade_date")), "k"))
 
 
 def net(returns: DataFrame, cost_bps: float) -> DataFrame:
@@ -160,9 +181,14 @@ def cap_weighted_top(prices: DataFrame, signals: DataFrame, caps: DataFrame, tra
     Members without a positive cap are left out and the rest renormalized; if none has one the
     period is equal-weighted.
     """
+    with _Cached() as keep:
+        return local(_cap_weighted(keep(prices.select("date", "ticker", "px")), signals, caps, trades, rules, by, keep))
+
+
+def _cap_weighted(prices: DataFrame, signals: DataFrame, caps: DataFrame, trades: DataFrame, rules: Rules, by: Sequence[str], keep: _Cached) -> DataFrame:
     cal = local(calendar(prices))
     per = periods(cal, trades, rules.lag)
-    labels = label_periods(signals, prices, per, cal, rules, by).filter(F.col("q") == rules.n).persist()
+    labels = keep(label_periods(signals, prices, per, cal, rules, by).filter(F.col("q") == rules.n))
     at = per.select("k", (F.col("entry") - 1).alias("pos")).join(cal, "pos").select("k", "date")
     cap = caps.join(F.broadcast(at), "date").select("k", "ticker", F.when(F.col("cap") > 0, F.col("cap")).alias("cap"))
     w = Window.partitionBy(*by, "k")
@@ -179,6 +205,11 @@ def equal_weight_benchmark(prices: DataFrame, trades: DataFrame, universe: DataF
     universe: date, ticker, z (null: not a member).  Unlike the engine scores aren't carried, returns
     are clipped over the members only, and an entity without an entry price earns 0.
     """
+    with _Cached() as keep:
+        return local(_equal_weight(keep(prices.select("date", "ticker", "px")), trades, universe, rules))
+
+
+def _equal_weight(prices: DataFrame, trades: DataFrame, universe: DataFrame, rules: Rules) -> DataFrame:
     cal = local(calendar(prices))
     per = periods(cal, trades, 0)
     per = per.filter(~F.col("last"))

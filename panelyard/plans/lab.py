@@ -59,12 +59,12 @@ def quantile_returns(df: DataFrame, z: str, ret: str, n: int = 5, date: str = "d
     return legs.filter(full).drop("__n").withColumn("spread", F.col(f"q{n}") - F.col("q1"))
 
 
-def spread_summary(returns: DataFrame, n: int = 5) -> DataFrame:
-    return returns.agg(*series_summary("spread"), F.avg("q1").alias("q1_mean"), F.avg(f"q{n}").alias(f"q{n}_mean"), F.sum("spread").alias("cumulative"))
+def spread_summary(returns: DataFrame, n: int = 5, by: Sequence[str] = ()) -> DataFrame:
+    return returns.groupBy(*by).agg(*series_summary("spread"), F.avg("q1").alias("q1_mean"), F.avg(f"q{n}").alias(f"q{n}_mean"), F.sum("spread").alias("cumulative"))
 
 
-def annual_spreads(returns: DataFrame, date: str = "date") -> DataFrame:
-    return returns.groupBy(F.year(date).alias("year")).agg(F.avg("spread").alias("mean_spread"), F.count(F.lit(1)).alias("n"))
+def annual_spreads(returns: DataFrame, date: str = "date", by: Sequence[str] = ()) -> DataFrame:
+    return returns.groupBy(*by, F.year(date).alias("year")).agg(F.avg("spread").alias("mean_spread"), F.count(F.lit(1)).alias("n"))
 
 
 def decay_curve(df: DataFrame, x: str, cal: DataFrame, bases: DataFrame, lags: Sequence[int], entity: str = "ticker", date: str = "date", least: int = MIN_IC) -> DataFrame:
@@ -136,10 +136,10 @@ def regimes(bench: DataFrame, dates: DataFrame, price: str = "adj_close", date:
     return at.crossJoin(F.broadcast(at.agg(F.median("vol").alias("mid")))).select(date, "trail_ret", "vol", (F.col("trail_ret") > 0).alias("mkt_up"), (F.col("vol") > F.col("mid")).alias("high_vol"))
 
 
-def by_regime(series: DataFrame, regime: DataFrame, x: str, date: str = "date", periods: int = 12) -> DataFrame:
-    """flag, state, n, ann_mean of a per-date series under each regime."""
-    rows = series.join(F.broadcast(regime), date).unpivot([date, x], ["mkt_up", "high_vol"], "flag", "state")
-    return rows.groupBy("flag", "state").agg(F.count(x).alias("n"), annualized(x, periods)[0].alias("ann_mean"))
+def by_regime(series: DataFrame, regime: DataFrame, x: str, date: str = "date", periods: int = 12, by: Sequence[str] = ()) -> DataFrame:
+    """by..., flag, state, n, ann_mean of a per-date series under each regime."""
+    rows = series.join(F.broadcast(regime), date).unpivot([*by, date, x], ["mkt_up", "high_vol"], "flag", "state")
+    return rows.groupBy(*by, "flag", "state").agg(F.count(x).alias("n"), annualized(x, periods)[0].alias("ann_mean"))
 
 
 def panel_sleeve_stats(df: DataFrame, sleeves: Mapping[str, Sequence[str]], ret: str, date: str = "date", least: int = MIN_IC) -> DataFrame:

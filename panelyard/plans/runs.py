@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import calendar as cal_ops
 from ..operators import clean
+from ..operators import panel as panel_ops
 from . import backtest, correlation, lab, scoring
 
 REQUIRED = ("ticker", "sector", "price")
@@ -22,27 +24,59 @@ def rank_snapshot(frame: DataFrame, weights: Mapping[str, float], date: str | No
     return scoring.snapshot_composite(scored, weights, sigma=sigma)
 
 
-def factor_lab(panel: DataFrame, factors: Sequence[str], returns: Sequence[str] = ("ret_fwd_21d", "ret_fwd_63d"), least: int = lab.MIN_PER_DATE) -> dict[str, DataFrame]:
-    """Per-factor IC by return, quantile spread summary per factor, coverage and correlations.
+def factor_lab(
+    panel: DataFrame, factors: Sequence[str], returns: Sequence[str] = ("ret_fwd_21d", "ret_fwd_63d"), least: int = lab.MIN_PER_DATE, sleeves: Mapping[str, Sequence[str]] | None = None,
+    price: str | None = None, bench: DataFrame | None = None, lags: Sequence[int] = lab.LAGS, horizons: Sequence[int] = lab.HORIZONS, every: int = 6,
+) -> dict[str, DataFrame]:
+    """Efficacy of factors and sleeves on a panel of signal dates: every result has a column ``factor``.
 
-    Factors are oriented and z-scored once; IC for all factors is one plan over the unpivoted z.
+    coverage; ic_<return>; quantiles (by date), spreads and annual for the first return; decay (base
+    dates: every ``every``-th) and half_life; correlations.  With ``price``, also ic_horizons over
+    calendar returns of the panel's dates and ic_half_life; with ``bench`` (date, adj_close), also
+    spreads by regime.  Factors are oriented and z-scored once; IC of all is one plan over the
+    unpivoted z.  All results are small and computed here, so the cached scores are released.
     """
-    z = scoring.add_panel_z(panel.withColumn("noise_raw", scoring.noise()), [*factors, "noise_raw"]).persist()
+    frame = scoring.add_panel_z(panel.withColumn("noise_raw", scoring.noise()), [*factors, "noise_raw"])
     names = [f"z_{f}" for f in [*factors, "noise_raw"]]
-    out: dict[str, DataFrame] = {"coverage": clean.coverage(z, names)}
+    for s, members in (sleeves or {}).items():
+        frame = frame.withColumn(f"sleeve_{s}", scoring.sleeve_column(frame, members))
+        names.append(f"sleeve_{s}")
+    z = frame.persist()
+    local, out = cal_ops.local, {"coverage": cal_ops.local(clean.coverage(z, names))}
     for ret in returns:
         long = z.select("date", ret, *names).unpivot(["date", ret], names, "factor", "z")
         dense = lab.ic_series(long, "z", ret, ["factor", "date"], max(least, lab.MIN_IC)).filter(F.col("n") >= least)
-        out[f"ic_{ret}"] = lab.ic_summary(dense, ["factor"])
-    spreads = [lab.spread_summary(lab.quantile_returns(lab.dense_dates(z, n, least), n, returns[0])).withColumn("factor", F.lit(n)) for n in names]
-    total = spreads[0]
-    for s in spreads[1:]:
-        total = total.unionByName(s)
-    out["spreads"] = total
-    out["correlations"] = correlation.fisher_mean(correlation.pair_correlations(z, names, "spearman", least=least))
+        out[f"ic_{ret}"] = local(lab.ic_summary(dense, ["factor"]))
+    cal = local(cal_ops.calendar(z))
+    bases = local(cal_ops.base_dates(cal.select("date"), cal, every, ahead=max(lags)))
+
+    def each(run) -> DataFrame:
+        return local(reduce(DataFrame.unionByName, [run(n).withColumn("factor", F.lit(n)) for n in names]))
+
+    out["quantiles"] = each(lambda n: lab.quantile_returns(lab.dense_dates(z, n, least), n, returns[0]))
+    out["spreads"], out["annual"] = local(lab.spread_summary(out["quantiles"], by=["factor"])), local(lab.annual_spreads(out["quantiles"], by=["factor"]))
+    out["decay"] = each(lambda n: lab.decay_curve(z, n, cal, bases, lags, least=min(least, lab.MIN_IC)))
+    out["half_life"] = _half_lives(out["decay"], names, "lag", "autocorr", lab.half_life)
+    out["correlations"] = local(correlation.fisher_mean(correlation.pair_correlations(z, names, "spearman", least=least)))
+    if price:
+        forward = panel_ops.calendar_forward_returns(z, cal, price, horizons)
+        out["ic_horizons"] = local(lab.ic_at_horizons(z.select("date", "ticker", *names), forward, names))
+        out["ic_half_life"] = _half_lives(out["ic_horizons"], names, "h", "mean", lambda means: lab.ic_half_life(means, horizons))
+    if bench is not None:
+        regime = local(lab.regimes(bench, cal.select("date")))
+        out["regimes"] = local(lab.by_regime(out["quantiles"].select("factor", "date", "spread"), regime, "spread", by=["factor"]))
+    z.unpersist()
     return out
 
 
+def _half_lives(curves: DataFrame, names: Sequence[str], x: str, y: str, half_life) -> DataFrame:
+    points: dict[str, dict] = {n: {} for n in names}
+    for row in curves.collect():
+        points[row["factor"]][row[x]] = row[y]
+    found = [(n, half_life(p)) for n, p in points.items()]
+    return curves.sparkSession.createDataFrame([(n, h["days"], h["censored"]) for n, h in found], "factor string, days double, censored string")
+
+
 def backtest_report(prices: DataFrame, signals: DataFrame, bench: str, caps: DataFrame | None = None, cost_bps: float = 10.0, rules: backtest.Rules = backtest.Rules(), floor: float | None = 5.0) -> dict[str, DataFrame]:
     """Month-end backtest of ``z_composite``: legs, spread at no and full cost, bounds, benchmark comparison.
 
@@ -53,7 +87,7 @@ def backtest_report(prices: DataFrame, signals: DataFrame, bench: str, caps: Dat
     cal = cal_ops.local(cal_ops.calendar(prices))
     trades = cal_ops.local(cal_ops.trade_calendar(cal, cal_ops.month_ends(cal)).select("trade_date"))
     z = signals.select("date", "ticker", F.col("z_composite").alias("z"))
-    legs = backtest.run_backtest(prices, z, trades, rules).persist()
+    legs = backtest.run_backtest(prices, z, trades, rules)
     loss = backtest.Rules(rules.n, rules.lag, rules.clip, None, None, -1.0, rules.staleness)
     out = {
         "legs": backtest.net(legs, cost_bps),
