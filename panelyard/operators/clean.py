@@ -14,6 +14,9 @@ TTM_PERIODS = ("Q1TTM", "Q2TTM", "Q3TTM", "FY")
 #: Tickers that the vendor files keep under another share class or name.
 TICKER_ALIASES = {"BF-B": "BF-A", "FOX": "FOXA", "GOOG": "GOOGL", "NWS": "NWSA", "MAA": "MAAI"}
 
+#: Names in the index lists.
+INDEX_SIZES = {"SP500": 503, "NASDAQ100": 101, "DOW": 30}
+
 
 def require(df: DataFrame, columns: Sequence[str]) -> None:
     missing = [c for c in columns if c not in df.columns]
@@ -158,8 +161,16 @@ def coverage(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> D
     return wide.unpivot(list(by), list(columns), "factor", "coverage")
 
 
-def membership(lists: Sequence[tuple[str, DataFrame]], key: str = "ticker") -> DataFrame:
-    """key and its memberships joined by | in the order of the lists."""
+def membership(lists: Sequence[tuple[str, DataFrame]], key: str = "ticker", sizes: Mapping[str, int] | None = None) -> DataFrame:
+    """key and its memberships joined by | in the order of the lists.
+
+    ValueError if a list named in ``sizes`` has another number of rows, or repeats a key.
+    """
+    for name, df in lists:
+        if sizes and name in sizes:
+            n, distinct = df.agg(F.count(key), F.count_distinct(key)).first()
+            if not n == distinct == sizes[name]:
+                raise ValueError(f"{name}: {n} rows, {distinct} keys, not {sizes[name]}")
     every = None
     for i, (name, df) in enumerate(lists):
         part = df.select(key).distinct().select(key, F.struct(F.lit(i).alias("i"), F.lit(name).alias("name")).alias("m"))

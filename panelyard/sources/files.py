@@ -63,6 +63,16 @@ def _members(z: zipfile.ZipFile) -> list[str]:
     return [m for m in sorted(z.namelist()) if m.lower().endswith(".csv")]
 
 
+def read_sheet(spark: SparkSession, path: str, sheet: str = "UNIVERSE") -> DataFrame:
+    """row, cells of a workbook's sheet, for ``load_sheet``; a workbook is a few hundred rows, read on the driver."""
+    try:
+        from openpyxl import load_workbook
+    except ImportError as e:
+        raise RuntimeError("reading workbooks needs openpyxl") from e
+    rows = load_workbook(path, read_only=True, data_only=True)[sheet].iter_rows(values_only=True)
+    return spark.createDataFrame([(i, [None if c is None else str(c) for c in r]) for i, r in enumerate(rows)], "row int, cells array<string>")
+
+
 def sheet_blocks(rows: DataFrame, cells: str = "cells", row: str = "row") -> DataFrame:
     """Rows of stacked blocks: a header has (n) in cell 0 and the sector in cell 2; a block ends at a blank.
 
@@ -76,8 +86,10 @@ def sheet_blocks(rows: DataFrame, cells: str = "cells", row: str = "row") -> Dat
 
 
 def load_sheet(rows: DataFrame) -> DataFrame:
-    """Normalized sheet: trimmed text, numbers, sector slugs; ValueError for an unknown sector."""
+    """Normalized sheet: trimmed text, numbers, sector slugs; ValueError for an unknown sector or no block."""
     b = sheet_blocks(rows)
+    if b.isEmpty():
+        raise ValueError("no sector blocks")
     slug = F.create_map(*[F.lit(x) for kv in SECTOR_SLUGS.items() for x in kv])
     out = b.select(*[(F.trim(c) if c in SHEET_TEXT else number(c)).alias(c) for c in SHEET_COLUMNS], "sector_raw", F.try_element_at(slug, F.trim("sector_raw")).alias("sector"))
     if lost := [r[0] for r in out.filter(F.col("sector").isNull()).select("sector_raw").distinct().collect()]:

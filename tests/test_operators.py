@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelyard.operators import asof, calendar, clean, dedup, live, panel
-from panelyard.sources import files
+from panelyard.sources import files, groups
 
 D = dt.date
 
@@ -115,6 +115,19 @@ def test_labels_tickers_membership(spark):
     assert {r[0]: r[1] for r in clean.membership([("SP500", a), ("DOW", b)]).collect()} == {"A": "SP500", "B": "SP500|DOW", "C": "DOW"}
     with pytest.raises(ValueError, match="no sector"):
         clean.map_groups(df, "s", spark.createDataFrame([("g", "x")], "group string, sector string"))
+    assert clean.membership([("SP500", a), ("DOW", b)], sizes={"DOW": 2}).count() == 3
+    for wrong in (a.union(a), a.limit(1)):
+        with pytest.raises(ValueError, match="SP500"):
+            clean.membership([("SP500", wrong)], sizes={"SP500": 2})
+
+
+def test_sector_groups(spark):
+    m = groups.sector_groups(spark)
+    assert m.count() == m.select("group").distinct().count() == 152
+    assert {r["sector"] for r in m.select("sector").distinct().collect()} == set(files.SECTOR_SLUGS.values())
+    assert {r["sector"]: r["count"] for r in m.groupBy("sector").count().collect()}["industrials"] == 42
+    df = spark.createDataFrame([("Services –\xa0Health",), ("REIT",), ("Toys",)], "g string")
+    assert [r["sector"] for r in clean.map_groups(df, "g", m).orderBy("sector").collect()] == ["consumer_discretionary", "health_care", "real_estate"]
 
 
 def test_validation(spark):
@@ -140,6 +153,18 @@ def test_sheet_blocks(spark):
     assert [(r["company"], r["ticker"], r["sector"], r["price"]) for r in out] == [("Med", "MED", "health_care", 0.0), ("Oil Co", "OIL", "energy", None)]
     with pytest.raises(ValueError, match="unknown sectors"):
         files.load_sheet(spark.createDataFrame([(0, ["(n)", "", "Mars"]), (1, ["1"])], "row int, cells array<string>"))
+    with pytest.raises(ValueError, match="no sector blocks"):
+        files.load_sheet(spark.createDataFrame([(0, ["x"])], "row int, cells array<string>"))
+
+
+def test_workbook(spark, tmp_path):
+    openpyxl = pytest.importorskip("openpyxl")
+    book = openpyxl.Workbook()
+    book.active.title = "UNIVERSE"
+    for row in (["(n)", None, "Energy"], [1, 1, "Oil Co", "OIL", "USD", "Q1", 2.5]):
+        book.active.append(row)
+    book.save(tmp_path / "u.xlsx")
+    assert [(r["ticker"], r["price"]) for r in files.load_sheet(files.read_sheet(spark, str(tmp_path / "u.xlsx"))).collect()] == [("OIL", 2.5)]
 
 
 def test_panel_layout_and_reuse(spark, tmp_path):
