@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, langid, lcp, mixing, neardup, quality, tokencount, urls, warc
+from . import ann, bpe, fim, langid, lcp, mixing, neardup, quality, tokencount, urls, warc
 
 QUERIES = {
     "op1_language_id": langid.op1,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_mix_sources": mixing.op8,
     "op9_warc": warc.op9,
     "op10_quality": quality.op10,
+    "op12_fill_in_middle": fim.op12,
 }
 ORACLES = {
     "op7_url_filter": urls.OP7_SQL,
     "op8_mix_sources": mixing.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
+    "op12_fill_in_middle": fim.OP12_SQL,
 }
