@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, fim, langid, lcp, mixing, neardup, quality, tokencount, urls, warc
+from . import ann, bpe, fim, kmeans, langid, lcp, mixing, neardup, quality, shards, tokencount, urls, warc
 
 QUERIES = {
     "op1_language_id": langid.op1,
@@ -15,11 +15,15 @@ QUERIES = {
     "op8_mix_sources": mixing.op8,
     "op9_warc": warc.op9,
     "op10_quality": quality.op10,
+    "op11_centroids": kmeans.op11,
     "op12_fill_in_middle": fim.op12,
+    "op13_shards": shards.op13,
 }
 ORACLES = {
     "op7_url_filter": urls.OP7_SQL,
     "op8_mix_sources": mixing.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
+    "op11_centroids": kmeans.OP11_SQL,
     "op12_fill_in_middle": fim.OP12_SQL,
+    "op13_shards": shards.OP13_SQL,
 }
