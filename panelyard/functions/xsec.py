@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import selection
+
 
 def _over(by: Sequence[str]):
     return Window.partitionBy(*by)
@@ -32,30 +34,39 @@ def add_group_z(df: DataFrame, columns: Sequence[str], by: Sequence[str], sigma:
     return clipped.withColumns({prefix + c: zscore(F.col(f"__w_{c}"), by) for c in columns}).drop(*[f"__w_{c}" for c in columns])
 
 
-def group_percentiles(df: DataFrame, x: str, by: Sequence[str], points: Sequence[float], name: str) -> DataFrame:
-    """Interpolated percentiles per group: one row a group, to be joined back (small)."""
+def group_percentiles(df: DataFrame, x: str, by: Sequence[str], points: Sequence[float], name: str, hot: int | None = None) -> DataFrame:
+    """Interpolated percentiles per group: one row a group, to be joined back (small).
+
+    ``percentile`` ends with a group's distinct values in one task.  With ``hot`` the groups are counted first, and
+    those of more values are selected from by counting (``selection``); the result is the same.
+    """
+    if hot is not None:
+        return selection.exact_quantiles(df, x, by, points, name, hot)
     return df.groupBy(*by).agg(F.percentile(x, F.array(*map(F.lit, points))).alias(name))
 
 
-def winsorize_percentiles(df: DataFrame, x: str, by: Sequence[str], low: float = 0.01, high: float = 0.99, out: str | None = None) -> DataFrame:
-    """Clip x to its group's interpolated percentiles, also where the two are equal."""
+def winsorize_percentiles(df: DataFrame, x: str, by: Sequence[str], low: float = 0.01, high: float = 0.99, out: str | None = None, hot: int | None = None) -> DataFrame:
+    """Clip x to its group's interpolated percentiles, also where the two are equal. hot: see ``group_percentiles``."""
     p = F.col("__p")
-    edges = group_percentiles(df, x, by, (low, high), "__p")
+    edges = group_percentiles(df, x, by, (low, high), "__p", hot)
     clipped = F.greatest(F.least(F.col(x), p[1]), p[0])
     return df.join(edges, list(by), "left").withColumn(out or x, F.when(F.col(x).isNotNull(), clipped)).drop("__p")
 
 
-def quantile_labels(df: DataFrame, x: str, by: Sequence[str], n: int = 5, out: str = "q", least: int | None = None, need_all: bool = False) -> DataFrame:
+def quantile_labels(df: DataFrame, x: str, by: Sequence[str], n: int = 5, out: str = "q", least: int | None = None, need_all: bool = False, hot: int | None = None) -> DataFrame:
     """Labels 1..n by right-closed bins on interpolated quantile edges, duplicate edges dropped.
 
     The label is 1 plus the number of distinct interior edges below the value.  Groups with fewer
     than ``least`` values or fewer than n distinct values get no labels; with ``need_all`` also
-    those whose edges collapse to fewer than n bins.  Not ntile, which would split ties.
+    those whose edges collapse to fewer than n bins.  Not ntile, which would split ties.  hot: see
+    ``group_percentiles``.
     """
     least = n if least is None else least
-    edges = df.groupBy(*by).agg(
-        F.percentile(x, F.array(*[F.lit(i / n) for i in range(n + 1)])).alias("__e"), F.count(x).alias("__n"), F.count_distinct(x).alias("__d")
-    )
+    points, counts = [i / n for i in range(n + 1)], (F.count(x).alias("__n"), F.count_distinct(x).alias("__d"))
+    if hot is None:
+        edges = df.groupBy(*by).agg(F.percentile(x, F.array(*map(F.lit, points))).alias("__e"), *counts)
+    else:
+        edges = group_percentiles(df, x, by, points, "__e", hot).join(df.groupBy(*by).agg(*counts), list(by))
     edges = edges.withColumn("__e", F.array_sort(F.array_distinct("__e")))
     good = (F.col("__n") >= least) & (F.col("__d") >= n)
     if need_all:
@@ -66,7 +77,7 @@ def quantile_labels(df: DataFrame, x: str, by: Sequence[str], n: int = 5, out: s
 
 
 def average_rank(x: str, by: Sequence[str]) -> Column:
-    """Rank with ties at their mean rank. Nulls must have been dropped."""
+    """Rank with ties at their mean rank. Nulls must have been dropped. A group is ranked in one task: ``operators.ranges`` splits large ones."""
     w = _over(by).orderBy(x)
     return F.rank().over(w) + (F.count(F.lit(1)).over(_over([*by, x])) - 1) / F.lit(2.0)
 

@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import io
 import json
-import re
-import zipfile
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-import pyarrow as pa
-import pyarrow.csv as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import number
+from . import zips
 
 #: Sheet columns by position, numeric ones among them, and sector names.
 SHEET_COLUMNS = ["n", "i", "company", "ticker", "currency", "last_qtr", "price", "market_cap", "high_52w", "low_52w", "pct_below_52w_high", "pct_above_52w_low", "ps_ratio", "pe_ratio", "sales_growth_q", "peg_ratio", "trailing_beta"]
@@ -29,38 +25,11 @@ INDEXES, UNIVERSE_SIZE = ("SP500", "NASDAQ100", "DOW"), (515, 525)
 def zip_csv(spark: SparkSession, folder: str, prefix: str, contains: str | None = None, columns: Sequence[str] | None = None) -> DataFrame:
     """All CSV members of the folder's zip files as text columns, plus file_no (the name's last number).
 
-    Files whose name has ``key`` in it, or lacks ``contains`` (case ignored), are left out.  Archives
-    are read by tasks, a file each, and streamed in blocks; the columns are those given, or the first
+    Files whose name has ``key`` in it, or lacks ``contains`` (case ignored), are left out.  Members are
+    read by byte range, many tasks to an archive (``sources.zips``); the columns are those given, or the first
     file's.  A column that a file lacks is null there.
     """
-    names = spark.read.format("binaryFile").option("pathGlobFilter", f"{prefix}*.zip").load(folder)
-    lower = F.lower(F.element_at(F.split("path", "/"), -1))
-    names = names.filter(~lower.contains("key") & (lower.contains(contains.lower()) if contains else F.lit(True)))
-    if columns is None:
-        first = names.orderBy("path").select("content").first()
-        if first is None:
-            raise ValueError(f"no {prefix}*.zip in {folder}")
-        with zipfile.ZipFile(io.BytesIO(first["content"])) as z, z.open(_members(z)[0]) as f:
-            columns = f.readline().decode("utf-8-sig").strip().replace('"', "").split(",")
-    columns = list(columns)
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-                number_ = re.findall(r"\d+", path.rsplit("/", 1)[-1])
-                with zipfile.ZipFile(io.BytesIO(content.as_buffer())) as z:
-                    for member in _members(z):
-                        with z.open(member) as f:
-                            blocks = pc.open_csv(f, convert_options=pc.ConvertOptions(include_columns=columns, include_missing_columns=True, column_types=dict.fromkeys(columns, pa.string()), strings_can_be_null=True, null_values=[""]))
-                            for block in blocks:
-                                text = [c.cast(pa.string()) for c in block.columns]
-                                yield pa.RecordBatch.from_arrays([*text, pa.array([int(number_[-1]) if number_ else 0] * block.num_rows, pa.int32())], names=[*columns, "file_no"])
-
-    return names.select("path", "content").mapInArrow(read, ", ".join(f"`{c}` string" for c in columns) + ", file_no int")
-
-
-def _members(z: zipfile.ZipFile) -> list[str]:
-    return [m for m in sorted(z.namelist()) if m.lower().endswith(".csv")]
+    return zips.read_zips(spark, folder, prefix, contains, columns)
 
 
 def read_sheet(spark: SparkSession, path: str, sheet: str = "UNIVERSE") -> DataFrame:
