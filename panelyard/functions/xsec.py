@@ -78,8 +78,8 @@ def quantile_labels(df: DataFrame, x: str, by: Sequence[str], n: int = 5, out: s
 
 def average_rank(x: str, by: Sequence[str]) -> Column:
     """Rank with ties at their mean rank. Nulls must have been dropped. A group is ranked in one task: ``operators.ranges`` splits large ones."""
-    w = _over(by).orderBy(x)
-    return F.rank().over(w) + (F.count(F.lit(1)).over(_over([*by, x])) - 1) / F.lit(2.0)
+    w = _over(by).orderBy(x)  # the first and the last place of a run of ties, from one sort
+    return (F.rank().over(w) + F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))) / F.lit(2.0)
 
 
 def impute_group_median(x: Column, by: Sequence[str]) -> Column:

@@ -17,22 +17,64 @@ def pair_correlations(df: DataFrame, columns: Sequence[str], method: str = "pear
     """date, factor_a, factor_b, corr (a < b) of complete pairs, on dates of at least ``least`` rows.
 
     Pearson: every pair is a few sums over the date's rows, so all pairs are one aggregation of the
-    wide frame and no row is multiplied.  Spearman ranks depend on the pair, so rows are spread over
-    the pairs (a fixed number, k (k - 1) / 2) before ranking.
+    wide frame and no row is multiplied.  Spearman: see ``_spearman``.
     """
     cols = sorted(columns)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    if method == "pearson":
-        aggs = [F.when(F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)) >= least, covariance_corr(a, b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]
-        wide = df.groupBy(date).agg(F.count(F.lit(1)).alias("__n"), *aggs).filter(F.col("__n") >= least)
-        rows = F.array(*[F.struct(F.lit(a).alias("factor_a"), F.lit(b).alias("factor_b"), F.col(f"p{i}").alias("corr")) for i, (a, b) in enumerate(pairs)])
-        return wide.select(date, F.explode(rows).alias("x")).select(date, "x.*").filter(F.col("corr").isNotNull())
-    big = df.groupBy(date).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= least).select(date)
-    rows = F.array(*[F.struct(F.lit(a).alias("factor_a"), F.lit(b).alias("factor_b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs])
-    long = df.join(F.broadcast(big), date, "left_semi").select(date, F.explode(rows).alias("p")).select(date, "p.*").filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-    by = [date, "factor_a", "factor_b"]
-    ranked = long.withColumn("rx", average_rank("x", by)).withColumn("ry", average_rank("y", by))
-    return ranked.groupBy(*by).agg(F.when(F.count(F.lit(1)) >= least, covariance_corr("rx", "ry")).alias("corr")).filter(F.col("corr").isNotNull())
+    if method != "pearson":
+        return _spearman(df, cols, date, least)
+    aggs = [F.when(F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)) >= least, covariance_corr(a, b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]
+    wide = df.groupBy(date).agg(F.count(F.lit(1)).alias("__n"), *aggs).filter(F.col("__n") >= least)
+    return _long(wide, pairs, [date]).filter(F.col("corr").isNotNull())
+
+
+def _long(wide: DataFrame, pairs: Sequence[tuple[str, str]], keys: Sequence[str]) -> DataFrame:
+    rows = F.array(*[F.struct(F.lit(a).alias("factor_a"), F.lit(b).alias("factor_b"), F.col(f"p{i}").alias("corr")) for i, (a, b) in enumerate(pairs)])
+    return wide.select(*keys, F.explode(rows).alias("x")).select(*keys, "x.*")
+
+
+def null_classes(df: DataFrame, columns: Sequence[str], date: str = "date", least: int = MIN_PER_DATE) -> DataFrame:
+    """date, classes: for each column the first one that is null on the same rows of the date. Dates of fewer than ``least`` rows are left out."""
+    differ = [[F.max(F.col(a).isNull() != F.col(b).isNull()).alias(f"d{i}_{j}") for j, b in enumerate(columns[:i])] for i, a in enumerate(columns)]
+    wide = df.groupBy(date).agg(F.count(F.lit(1)).alias("__n"), *[c for row in differ for c in row]).filter(F.col("__n") >= least)
+    first = []
+    for i in range(len(columns)):
+        c = F.lit(i)
+        for j in reversed(range(i)):
+            c = F.when(~F.col(f"d{i}_{j}"), F.lit(j)).otherwise(c)
+        first.append(c)
+    return wide.select(date, F.array(*first).alias("classes"))
+
+
+def _spearman(df: DataFrame, cols: Sequence[str], date: str, least: int) -> DataFrame:
+    """Rank correlations of complete pairs, ranked once for all pairs with the same complete rows.
+
+    The ranks of a pair depend on its complete rows, and these only on where its two factors are null.
+    A date's factors fall into classes with equal null patterns; all pairs of two classes (or within one) share
+    their complete rows.  So rows are spread over pairs of classes, m (m + 1) / 2 times for m classes: once on dense data,
+    where pairs of factors would be k (k - 1) / 2.
+    """
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    classes = null_classes(df, cols, date, least)
+    distinct = F.array_sort(F.array_distinct("classes"))
+    blocks = F.flatten(F.transform(distinct, lambda a: F.transform(F.filter(distinct, lambda b: b >= a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    present = F.array(*[F.col(c).isNotNull() for c in cols])
+    rows = df.select(date, *cols, present.alias("__present")).join(F.broadcast(classes.select(date, "classes", blocks.alias("__blocks"))), date)
+    mine = F.filter("__blocks", lambda x: F.get("__present", x["a"]) & F.get("__present", x["b"]))
+    rows = rows.select(date, *cols, "classes", F.explode(mine).alias("__block")).withColumn("__n", F.lit(1))
+    in_block = [F.get("classes", F.lit(i)).isin(F.col("__block.a"), F.col("__block.b")) for i in range(len(cols))]
+    rows = rows.withColumns({c: F.when(in_block[i], F.col(c)) for i, c in enumerate(cols)})
+    by = [date, "__block"]
+    ranked = rows.select(*by, "classes", *[(F.when(F.col(c).isNotNull(), average_rank(c, by)) * 2.0).alias(f"r{i}") for i, c in enumerate(cols)])
+    # twice the mean rank is n + 1 in every block, so products and squares are the only sums; a factor whose greatest rank is the mean is constant
+    sums = [F.sum(F.col(f"r{i}") * F.col(f"r{j}")).alias(f"c{n}") for n, (i, j) in enumerate(pairs)] + [f(F.col(f"r{i}") * g).alias(f"{x}{i}") for i in range(len(cols)) for x, f, g in (("s", F.sum, F.col(f"r{i}")), ("m", F.max, F.lit(1.0)))]
+    wide = ranked.groupBy(*by, "classes").agg(*sums, F.count(F.lit(1)).cast("double").alias("__n")).filter(F.col("__n") >= least)
+    n = F.col("__n")
+    centre = n * (n + 1) * (n + 1)
+    wide = wide.withColumns({f"s{i}": F.when(F.col(f"m{i}") > n + 1, F.sqrt(F.col(f"s{i}") - centre)) for i in range(len(cols))} | {f"c{p}": F.col(f"c{p}") - centre for p in range(len(pairs))})
+    own = [F.array_sort(F.array(F.get("classes", F.lit(i)), F.get("classes", F.lit(j)))) == F.array(F.col("__block.a"), F.col("__block.b")) for i, j in pairs]
+    wide = wide.select(date, *[F.when(own[n], F.try_divide(f"c{n}", F.col(f"s{i}") * F.col(f"s{j}"))).alias(f"p{n}") for n, (i, j) in enumerate(pairs)])
+    return _long(wide, [(cols[i], cols[j]) for i, j in pairs], [date]).filter(F.col("corr").isNotNull())
 
 
 def fisher_mean(corr: DataFrame) -> DataFrame:
@@ -100,6 +142,42 @@ def redundancy_clusters(columns: Sequence[str], corr, threshold: float = REDUNDA
     return sorted(groups, key=lambda g: -g["max_abs_corr"])
 
 
+def recursive_clusters(corr: DataFrame, threshold: float = REDUNDANT, priority: Mapping[str, float] | None = None) -> DataFrame:
+    """The same from the long table by one recursive query: members (joined by |), keep, max_abs_corr.
+
+    The recursion's only row holds the factors' labels, which become the smallest label nearby and then that
+    label's label, so chains halve in each step; it ends when nothing changes.  Nothing comes to the driver.
+    """
+    spark = corr.sparkSession
+    weights = spark.createDataFrame(list((priority or {}).items()), "name string, weight double")
+    keep = "max_by(name, struct(coalesce(weight, 0.0D), name))" if priority else "min(name)"
+    return spark.sql(
+        f"""
+        WITH RECURSIVE
+        links AS (SELECT factor_a AS a, factor_b AS b, abs(corr) AS c FROM {{corr}} WHERE abs(corr) >= {threshold}),
+        both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        names AS (SELECT sort_array(collect_set(a)) AS names FROM both),
+        near AS (SELECT a, collect_set(b) AS bs FROM both GROUP BY a),
+        nodes AS (
+          SELECT transform(sort_array(collect_list(struct(a, transform(bs, b -> CAST(array_position(names, b) - 1 AS int)) AS js))), x -> x.js) AS near, any_value(size(names)) AS n
+          FROM near CROSS JOIN names),
+        grow(step, labels, before, near) AS (
+          SELECT 0, transform(sequence(1, n), x -> x - 1), CAST(NULL AS array<int>), near FROM nodes WHERE n > 0
+          UNION ALL
+          SELECT step + 1, transform(nearest, x -> least(x, get(nearest, x))), labels, near
+          FROM (SELECT step, labels, near, transform(labels, (x, i) -> least(x, array_min(transform(get(near, i), j -> get(labels, j))))) AS nearest
+                FROM grow WHERE before IS NULL OR labels <> before)),
+        last AS (SELECT max_by(labels, step) AS labels FROM grow),
+        placed AS (SELECT name, get(labels, at) AS label FROM (SELECT posexplode(names) AS (at, name), labels FROM names CROSS JOIN last)),
+        heights AS (SELECT label, max(c) AS max_abs_corr FROM links JOIN placed ON a = name GROUP BY label)
+        SELECT array_join(sort_array(collect_list(name)), '|') AS members, {keep} AS keep, any_value(max_abs_corr) AS max_abs_corr
+        FROM placed LEFT JOIN {{weights}} USING (name) JOIN heights USING (label) GROUP BY label
+        """,
+        corr=corr,
+        weights=weights,
+    )
+
+
 def priority_from_efficacy(report: Mapping[str, Mapping], field: str = "tstat") -> dict[str, float]:
     """Size of the IC t-statistic per factor from an efficacy report."""
     return {f: abs(v[field]) for f, v in report.items() if v.get(field) is not None}
