@@ -5,11 +5,11 @@ median of the projection on the line through two of its points.  For inner produ
 one component more, which brings them all to the same length; queries get a zero there.  Every row is
 then put in its leaf of every tree.  A query walks all trees through one priority queue, keyed by
 the largest margin by which it lies on the other side of a split on the way, and collects leaves, best
-first, until they hold ``COVER`` of its ``NEAR`` nearest landmarks (vectors of the sample): the leaves
-that hold so much of what is near the query in the sample hold as much at least of its neighbours, which
-are nearer.  So the share of the vectors that a query meets follows from the data: small if they are
-clustered, large if they have no structure at all.  The candidates in the leaves are scored exactly,
-in double precision.
+first, until it has so many leaves, or the queue's margin is so large, as the data ask for.  How
+many, or how large, is measured: for ``TRIALS`` queries at most the neighbours are found exactly, and the rule (of the
+two the one that meets fewer vectors) is set where their queues have reached ``COVER`` of them.  So the share of the
+vectors that a query meets is small if they are clustered and large if they have no structure at
+all.  The candidates in the leaves are scored exactly, in double precision.
 
 Leaves are laid out in parts of about ``ROOM`` entries, a large leaf over several parts; a query
 goes once to each part that holds a leaf of its own.  A part's entries are in memory, its queries are
@@ -40,8 +40,8 @@ from .common import in_arrow, materialize, release, table
 K, EVERY = 20, 20
 #: Bound of the sample the trees are built from, trees, entries per leaf (more, if the sample is too small to split so far).
 SAMPLE, TREES, LEAF = 20_000, 4, 256
-#: Bound of the landmarks, how many near ones a query looks for, and the share it must find.
-LANDMARKS, NEAR, COVER = 20_000, 20, 0.95
+#: Bound of the queries whose neighbours are found exactly to set the stop rule, as a share of all and as a number, and the share of neighbours it must reach.
+TRIAL_SHARE, LEAST_TRIALS, TRIALS, COVER = 0.1, 16, 128, 0.95
 #: Entries of a part, queries that go through a part together, found rows held before they are thinned.
 ROOM, TOGETHER, HELD = 20_000, 1024, 300_000
 
@@ -55,9 +55,9 @@ class Forest:
     cuts: np.ndarray  # (trees, nodes)
     sizes: np.ndarray  # (trees, leaves), entries expected in each leaf
     longest: float  # length that vectors are filled up to
-    landmarks: np.ndarray  # (n, dim)
-    places: np.ndarray  # (trees, n): the landmarks' leaves
     parts: list[list[tuple[int, int]]]  # of each leaf, numbered tree * leaves + leaf: its first part and how many
+    most: int = 1 << 30  # leaves after which a query stops
+    farthest: float = np.inf  # margin of the queue beyond which it stops
 
     def filled(self, x: np.ndarray) -> np.ndarray:
         """Vectors with the component that brings them to the common length."""
@@ -73,26 +73,13 @@ class Forest:
                 out[t] = 2 * out[t] + (np.einsum("ij,ij->i", x, self.lines[t, node]) > self.cuts[t, node])
         return out
 
-    def wanted(self, q: np.ndarray, near: int = NEAR, cover: float = COVER) -> tuple[list[tuple[int, int]], int]:
-        """Of the landmarks nearest to a query: (tree, leaf) of each in each tree, and how many must be found."""
-        if not len(self.landmarks):
-            return [], 0
-        near = min(near, len(self.landmarks))
-        best = np.argpartition(-(self.landmarks @ q), near - 1)[:near]
-        return [list(enumerate(own)) for own in self.places[:, best].T.tolist()], int(np.ceil(cover * near))
-
-    def search(self, q: np.ndarray) -> list[int]:
-        """Numbers of the leaves in order of the shared queue, until they cover the landmarks near the query."""
-        wanted, enough = self.wanted(q)
-        holds: dict[tuple[int, int], list[int]] = {}
-        for j, own in enumerate(wanted):
-            for place in own:
-                holds.setdefault(place, []).append(j)
+    def queue(self, q: np.ndarray) -> Iterator[tuple[float, int]]:
+        """Margin and number of every leaf in order of the shared queue."""
         q = q / np.linalg.norm(q) * self.longest
         margins = (self.lines[:, :, :-1] @ q - self.cuts).tolist() if self.depth else []
         queue: list[tuple[float, int, int, int]] = [(0.0, t, 0, 0) for t in range(len(self.lines))]
-        found, covered, leaves = [], set(), self.sizes.shape[1]
-        while queue and (not wanted or len(covered) < enough):
+        leaves = self.sizes.shape[1]
+        while queue:
             worst, t, level, i = heapq.heappop(queue)
             while level < self.depth:
                 m = margins[t][2**level - 1 + i]
@@ -100,10 +87,45 @@ class Forest:
                 level += 1
                 heapq.heappush(queue, (max(worst, abs(m)), t, level, near ^ 1))
                 i = near
-            found.append(t * leaves + i)
-            covered.update(holds.get((t, i), ()))
+            yield worst, t * leaves + i
+
+    def search(self, q: np.ndarray) -> list[int]:
+        """Numbers of the leaves up to the stop rule; the first leaf of every tree is always among them."""
+        found = []
+        for margin, leaf in self.queue(q):
+            if margin > 0 and (len(found) >= self.most or margin > self.farthest):
+                break
+            found.append(leaf)
         return found
 
+    def set_rule(self, queries: np.ndarray, near: list[np.ndarray], cover: float = COVER) -> None:
+        """Sets the stop rule from queries and their exact neighbours: the cheaper of a number of leaves and a margin that reach ``cover`` of them."""
+        reached: list[tuple[int, float]] = []  # place in the queue and margin at which each neighbour is met
+        walks = []
+        for q, own in zip(queries, near, strict=True):
+            waiting = {}
+            for t, row in enumerate(self.leaves(own)):
+                for i, leaf in enumerate(row.tolist()):
+                    waiting.setdefault(t * self.sizes.shape[1] + leaf, []).append(i)
+            met, walk = set(), []
+            for place, (margin, leaf) in enumerate(self.queue(q)):
+                walk.append((margin, self.sizes.flat[leaf]))
+                for i in waiting.get(leaf, ()):
+                    if i not in met:
+                        met.add(i)
+                        reached.append((place + 1, margin))
+            walks.append(walk)
+        if not reached:
+            return
+        enough = min(len(reached) - 1, int(np.ceil(cover * len(reached))) - 1)
+        most, farthest = sorted(p for p, _ in reached)[enough], sorted(m for _, m in reached)[enough]
+        by_number = sum(size for walk in walks for _, size in walk[:most])
+        by_margin = sum(size for walk in walks for m, size in walk if m <= farthest)
+        if by_number <= by_margin:
+            self.most = most
+        else:
+            self.farthest = farthest
+
 
 def laid_out(sizes: np.ndarray, room: int = ROOM) -> list[tuple[int, int]]:
     """First part and number of parts of each leaf: leaves follow each other in parts of ``room`` entries, large ones fill several."""
@@ -121,7 +143,7 @@ def grow(sample: np.ndarray, total: int, longest: float, trees: int = TREES, lea
     """sample: (n, dim) distinct vectors, a bounded part of ``total``."""
     n = len(sample)
     depth = max(0, min(int(np.ceil(np.log2(max(1, total) / leaf))), int(np.log2(max(1, n / 4)))))
-    forest = Forest(depth, np.zeros((trees, max(1, 2**depth - 1), sample.shape[1] + 1)), np.zeros((trees, max(1, 2**depth - 1))), np.zeros((trees, 2**depth)), longest, sample[:LANDMARKS], np.zeros((trees, 0), np.int32), [])
+    forest = Forest(depth, np.zeros((trees, max(1, 2**depth - 1), sample.shape[1] + 1)), np.zeros((trees, max(1, 2**depth - 1))), np.zeros((trees, 2**depth)), longest, [])
     x = forest.filled(sample)
     for t in range(trees):
         rng = np.random.default_rng(t)
@@ -141,7 +163,6 @@ def grow(sample: np.ndarray, total: int, longest: float, trees: int = TREES, lea
                     halves += [own, own[:0]]
             split = halves
         forest.sizes[t] = [len(own) * total / max(1, n) for own in split]
-    forest.places = forest.leaves(forest.landmarks)
     forest.parts = laid_out(forest.sizes, room)
     return forest
 
@@ -151,6 +172,42 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.asarray(flat.flatten(), np.float64).reshape(len(flat), -1)
 
 
+def _exact(batches: Iterator[pa.RecordBatch], queries: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The ``k`` best vectors of a task for each of a few queries."""
+    score, x = np.zeros((len(queries), 0)), np.zeros((len(queries), 0, queries.shape[1]))
+    for b in batches:
+        for a in range(0, b.num_rows, 1024):
+            own = _matrix(b.slice(a, 1024).column("vec"))
+            both = np.hstack([score, queries @ own.T])
+            keep = np.argsort(-both, axis=1, kind="stable")[:, :k]
+            held = np.arange(len(queries))[:, None], np.minimum(keep, max(0, score.shape[1] - 1))
+            new = own[np.maximum(0, keep - score.shape[1])]
+            x = np.where((keep < score.shape[1])[:, :, None], x[held], new) if score.shape[1] else new
+            score = np.take_along_axis(both, keep, 1)
+    n = score.size
+    if n:
+        yield pa.RecordBatch.from_pydict({"q": pa.array(np.repeat(np.arange(len(queries), dtype=np.int32), score.shape[1])), "score": pa.array(score.ravel()), "vec": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), queries.shape[1]).cast(pa.list_(pa.float64()))})
+    release()
+
+
+def trials(distinct: DataFrame, forest: Forest, k: int) -> None:
+    """Measures the stop rule on a bounded sample of the queries (by a hash of their vectors)."""
+    asked = distinct.filter("asked")
+    n = asked.count()
+    wanted = min(TRIALS, max(LEAST_TRIALS, int(TRIAL_SHARE * n)))
+    slot = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 30))
+    drawn = asked.filter(slot < int(min(1.0, 4.0 * wanted / max(1, n)) * (1 << 30))).orderBy(slot, "key").limit(wanted).select("vec").toArrow()
+    if not drawn.num_rows:
+        return
+    queries = _matrix(drawn.column("vec"))
+    sent = distinct.sparkSession.sparkContext.broadcast(queries)
+    best = distinct.select("vec").transform(in_arrow, lambda it: _exact(it, sent.value, k + 1), "q int, score double, vec array<double>")
+    best = best.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec"))).filter(F.col("n") <= k + 1).select("q", "vec").toArrow().sort_by("q")
+    at, x = np.asarray(best.column("q")), _matrix(best.column("vec"))
+    near = [x[at == i] for i in range(len(queries))]
+    forest.set_rule(queries, [own[~(own == q).all(1)][:k] for own, q in zip(near, queries, strict=True)])
+
+
 #: What is dealt to parts: entries (query false) with their leaf, queries with all leaves they have there.
 DEALT = "part int, query boolean, leaf array<int>, key binary, rep bigint, vec array<double>"
 
@@ -279,7 +336,10 @@ def neighbours(vectors: DataFrame, k: int = K, every: int = EVERY, sample: int =
     total, longest = distinct.agg(F.count(F.lit(1)), F.max(norm)).first()
     slot = F.pmod(F.xxhash64("key"), F.lit(1 << 30))
     drawn = distinct.filter(slot < int(min(1.0, sample / total) * (1 << 30))).select("key", "vec").toArrow().sort_by("key")
-    forest = spark.sparkContext.broadcast(grow(_matrix(drawn.column("vec")) if drawn.num_rows else np.zeros((0, dims[0]["dim"])), total, longest, trees, leaf, room))
+    grown = grow(_matrix(drawn.column("vec")) if drawn.num_rows else np.zeros((0, dims[0]["dim"])), total, longest, trees, leaf, room)
+    if grown.depth:
+        trials(distinct, grown, k)
+    forest = spark.sparkContext.broadcast(grown)
     own = distinct.select("key", "rep", "vec")
     entries = own.transform(in_arrow, lambda it: _placed(it, forest.value), DEALT)
     asked = distinct.filter("asked").select("key", "rep", "vec").repartition("key").transform(in_arrow, lambda it: _sought(it, forest.value), DEALT)

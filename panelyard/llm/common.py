@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 ROWS = 256
 #: Bytes of a batch that goes from the JVM to a Python worker, which both hold; Spark's own bound is 64 MB.
 BATCH_BYTES = 1 << 20
+#: The session's setting for it, and Spark's default, which alone is replaced.
+BATCH_CONF, DEFAULT_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 #: Rows of a few numbers up to which a table is broadcast; beyond it is shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -67,8 +69,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` in batches of bounded bytes, whatever the length of the texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """``mapInArrow`` in batches of bounded bytes, whatever the length of the texts.
+
+    Spark reads the bound when it makes the physical plan, so a caller that has set one of its own keeps it.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_CONF, DEFAULT_BATCH) == DEFAULT_BATCH:
+        conf.set(BATCH_CONF, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 
 

@@ -40,8 +40,8 @@ from .common import in_arrow, materialize, shared_path, slices, small, table
 LEAST = 0
 #: A new archive file begins beyond this size; ranges are joined across small gaps up to a size.
 FILE_BYTES, GAP_BYTES, READ_BYTES = 1 << 30, 1 << 16, 8 << 20
-#: Records read before they are handed on, and bytes of archive in a read task.
-RECORDS, TASK_BYTES = 256, 4 << 20
+#: Records read before they are handed on, and bytes of archive in a read task at most (rows stream, so memory doesn't follow).
+RECORDS, TASK_BYTES = 256, 128 << 20
 DATE = "1970-01-01T00:00:00Z"
 
 INDEX = "file string, offset bigint, length bigint, url string, digest string, page_id bigint, record_type string"
@@ -178,9 +178,14 @@ def _read(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.Reco
             at = end
 
 
-def read_records(index: DataFrame, payloads: bool = False, chunk: int = TASK_BYTES) -> DataFrame:
-    """The records of the given index rows. A task reads whole chunks of files, in order; their number follows from the bytes to be read."""
-    tasks = -(-(index.agg(F.sum("length")).first()[0] or 0) // chunk)
+def read_records(index: DataFrame, payloads: bool = False, chunk: int | None = None) -> DataFrame:
+    """The records of the given index rows. A task reads whole chunks of files, in order.
+
+    Chunks hold ``TASK_BYTES`` of archive; where that would leave cores idle they shrink, down to the size of one read.
+    """
+    total = index.agg(F.sum("length")).first()[0] or 0
+    chunk = chunk or min(TASK_BYTES, max(READ_BYTES, total // (2 * index.sparkSession.sparkContext.defaultParallelism)))
+    tasks = -(-total // chunk)
     rows = index.select("file", "offset", "length", F.floor(F.col("offset") / chunk).alias("chunk"))
     rows = rows.repartition(max(1, tasks), "file", "chunk").sortWithinPartitions("file", "offset")
     return rows.select("file", "offset", "length").transform(in_arrow, lambda it: _read(it, payloads), SCHEMA + ", url string, payload binary" * payloads)

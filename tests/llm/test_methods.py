@@ -409,7 +409,7 @@ def test_neighbours_against_brute_force(spark):
     rows = df.select("vec_id", "embedding").collect()
     ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
     found: dict = {}
-    for r in ann.neighbours(df).collect():
+    for r in ann.neighbours(df, sample=400, leaf=64).collect():  # the trees know a fifth of the vectors
         found.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
     hits = []
     for i in np.flatnonzero(ids % 20 == 0):
@@ -437,11 +437,36 @@ def test_neighbours_of_clustered_vectors(spark):
     forest = ann.grow(x[rng.permutation(len(x))[:8000]], len(x), float(np.linalg.norm(x, axis=1).max()))
     leaves, met = forest.leaves(x) + np.arange(ann.TREES)[:, None] * forest.sizes.shape[1], []
     assert forest.sizes.shape[1] >= 64 and forest.sizes.max() < 1000
+    set_rule(forest, x, range(1, 20_000, 200))
     for i in range(0, 20_000, 200):
         met.append(np.isin(leaves, forest.search(x[i])).any(0).mean())
     assert np.mean(met) < 0.3
 
 
+def set_rule(forest, x, trials):
+    score = x[list(trials)] @ x.T
+    score[np.arange(len(score)), list(trials)] = -np.inf
+    forest.set_rule(x[list(trials)], [x[np.argsort(-s)[:20]] for s in score])
+
+
+@pytest.mark.parametrize(("clusters", "sample", "spread"), [(200, 2000, 0.0), (2000, 2000, 0.0), (2000, 20_000, 0.0), (200, 2000, 0.5)])
+def test_stop_rule_meets_a_small_share_of_clustered_vectors(clusters, sample, spread):
+    rng = np.random.default_rng(7)
+    n = 60_000
+    x = (rng.normal(size=(clusters, 64))[rng.integers(0, clusters, n)] + 0.3 * rng.normal(size=(n, 64))) * np.exp(spread * rng.normal(size=(n, 1)))  # spread: of their lengths
+    forest = ann.grow(x[rng.permutation(n)[:sample]], n, float(np.linalg.norm(x, axis=1).max()))
+    set_rule(forest, x, rng.choice(n, 100, replace=False).tolist())
+    leaves = forest.leaves(x) + np.arange(ann.TREES)[:, None] * forest.sizes.shape[1]
+    recall, scored = [], []
+    for i in rng.choice(n, 100, replace=False):
+        s = x @ x[i]
+        s[i] = -np.inf
+        met = np.isin(leaves, forest.search(x[i]))
+        recall.append(met.any(0)[np.argsort(-s)[:20]].mean())
+        scored.append(met.sum() / n)
+    assert np.mean(recall) >= 0.9 and np.mean(scored) < 0.3
+
+
 def test_large_leaves_fill_several_parts(spark):
     sizes = np.array([[5.0, 100.0, 20.0, 20.0]])
     assert ann.laid_out(sizes, 40) == [(0, 1), (1, 3), (4, 1), (4, 1)]
