@@ -9,6 +9,12 @@ from panelyard.llm import bpe, langid, mixing, neardup, quality
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(autouse=True)
+def nothing_stays_cached(spark):
+    yield
+    spark.catalog.clearCache()
+
+
 @pytest.fixture(scope="module")
 def labels_dir(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("tables")
