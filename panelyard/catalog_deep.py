@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from .operators import asof, ranges
 from .plans import correlation
 from .sources import increments, loads, stages, zips
 from .sources.scratch import scratch_path, written
+from .streaming import asof_state
 
 # ---------------------------------------------------------------- sources and sinks
 
@@ -126,6 +129,23 @@ def asof_in_ranges(spark, d):
     return asof.asof_backward(left, v, "key", "ts", "vts", ["known"], [F.desc("event_id")], parts=16).select("event_id", "known")
 
 
+@query(f"""WITH e AS (SELECT event_id, user_id, ts FROM events WHERE event_type <> 'purchase'), v AS (SELECT user_id, ts, value FROM events WHERE event_type = 'purchase' QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) = 1)
+  SELECT e.event_id, {r('v.value AS known')} FROM e ASOF LEFT JOIN v ON e.user_id = v.user_id AND e.ts >= v.ts""")
+def asof_with_state(spark, d):
+    """Both sides as streams, each ended by a row far ahead, which lets the watermark pass all others."""
+    ev = ad.read(spark, d, "events").filter("user_id is not null and ts is not null").withColumn("ts", F.col("ts").cast("timestamp"))
+    left, right = ev.filter("event_type <> 'purchase'").select("event_id", "user_id", "ts"), ev.filter("event_type = 'purchase'").select("user_id", F.col("ts").alias("vts"), F.col("value").alias("known"), "event_id")
+    end = dt.datetime(2200, 1, 1)
+    streams = []
+    for name, df, last in (("prices", left, (-1, -1, end)), ("vintages", right, (-1, end, 0.0, -1))):
+        path = scratch_path(spark, name)
+        df.unionByName(spark.createDataFrame([last], df.schema)).write.parquet(path)
+        streams.append(spark.readStream.schema(df.schema).parquet(path))
+    out = scratch_path(spark, "joined")
+    asof_state.write_asof(asof_state.asof_stream(*streams, "user_id", "ts", "vts", ["known"], "1 hour", "event_id"), out, scratch_path(spark, "offsets")).awaitTermination()
+    return spark.read.parquet(out).select("event_id", "known")
+
+
 # ---------------------------------------------------------------- correlations of many factors
 
 #: Factors of a part and month: SQL that both engines read.

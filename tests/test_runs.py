@@ -18,7 +18,12 @@ def test_rank_snapshot(spark):
     assert out.count() == 20 and {"z_value", "z_noise", "composite", "rank"} <= set(out.columns)
 
 
+def cached(spark):
+    return {*spark.sparkContext._jsc.getPersistentRDDs()}
+
+
 def test_lab_and_backtest(spark):
+    before = cached(spark)
     rng = np.random.default_rng(2)
     dates = [dt.date(2024, 1, 1) + dt.timedelta(days=7 * i) for i in range(30)]
     rows = []
@@ -37,11 +42,11 @@ def test_lab_and_backtest(spark):
     assert decay["z_roe", 1] > 0.95 and decay["sleeve_quality", 2] == pytest.approx(decay["z_roe", 2])
     days = {r["factor"]: (r["days"], r["censored"]) for r in out["half_life"].collect()}
     assert days["z_roe"] == (2.0, "above-0.5-at-max-lag") and days["z_noise_raw"][1] == "below-threshold-at-first-lag"
-    assert not spark.sparkContext._jsc.getPersistentRDDs()
+    assert cached(spark) <= before
     sig = df.select("date", "ticker", F.col("roe").alias("z_composite"))
     rep = runs.backtest_report(df.select("date", "ticker", "px"), sig, "T30", df.select("date", "ticker", F.col("px").alias("cap")))
     assert rep["spread_gross"].first()["ann_return"] > rep["spread_net"].first()["ann_return"]
-    assert not spark.sparkContext._jsc.getPersistentRDDs()
+    assert cached(spark) <= before
     assert rep["leg_stats"].count() == 5 and rep["cap_weighted_vs_bench"].first()["periods"] > 0 and rep["spread_price_floor"].count() == 1
 
 

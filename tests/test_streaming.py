@@ -1,6 +1,12 @@
 from __future__ import annotations
 
-from panelyard.streaming import vintages
+import datetime as dt
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from panelyard.operators import asof
+from panelyard.streaming import asof_state, vintages
 
 
 def test_append_and_enrich(spark, tmp_path):
@@ -15,3 +21,29 @@ def test_append_and_enrich(spark, tmp_path):
     vintages.enrich_prices(prices, str(tmp_path / "known"), str(tmp_path / "out"), str(tmp_path / "c2"), ["x"]).awaitTermination(120)
     out = {(r["ticker"], r["ts"].day): r["x"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert out == {("A", 3): 1.0, ("A", 6): 2.0, ("B", 6): None}
+
+
+def test_stateful_asof_equals_the_batch_join(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    start = dt.datetime(2024, 1, 1)
+    at = lambda day: start + dt.timedelta(days=float(day))
+    left = [(k, at(t), i) for i, (k, t) in enumerate(zip(rng.choice(["a", "b", "c"], 120), rng.integers(0, 60, 120), strict=True))]
+    right = [(k, at(t), None if t % 4 == 0 else float(t), f"v{i}", i) for i, (k, t) in enumerate(zip(rng.choice(["a", "b"], 80), rng.integers(0, 60, 80), strict=True))]  # equal times and equal to prices'
+    ls, rs = "k string, ts timestamp, i int", "k string, known timestamp, x double, name string, o int"
+    want = asof.asof_backward(spark.createDataFrame(left, ls), spark.createDataFrame(right, rs), "k", "ts", "known", ["x", "name"], [F.desc("o")]).collect()
+    for name, rows, schema, end in (("l", left, ls, ("~", at(500), -1)), ("r", right, rs, ("~", at(500), 0.0, "", 0))):
+        rows = sorted(rows, key=lambda r: (r[1] - start).days // 15 * 15 - 14 * rng.random())  # up to 30 days out of order
+        for part in range(4):
+            own = rows[part * len(rows) // 4 : (part + 1) * len(rows) // 4]
+            spark.createDataFrame(own, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}/{part}")
+        spark.createDataFrame([end], schema).coalesce(1).write.parquet(f"{tmp_path}/{name}/4")
+    stream = lambda name, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}/*")
+    joined = asof_state.asof_stream(stream("l", ls), stream("r", rs), "k", "ts", "known", ["x", "name"], "40 days", "o")
+    query = asof_state.write_asof(joined, f"{tmp_path}/out", f"{tmp_path}/check")
+    query.awaitTermination(300)
+    assert query.exception() is None
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 120
+    assert len(query.recentProgress) >= 5
+    kept = query.recentProgress[-1].stateOperators[0]
+    assert kept.numRowsTotal < 40  # a vintage for each key and the closing rows, of 200 rows
