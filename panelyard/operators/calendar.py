@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Mapping, Sequence
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def local(df: DataFrame) -> DataFrame:
     """A small table as literal rows: plans that join it often don't compute it again each time.
 
-    Only for tables whose size is bounded by the calendar (dates, periods), never by entities.
+    Only for tables whose size is bounded by the calendar (dates, periods), never by entities.  The rows go through
+    Arrow, which makes them a part of the plan; a list would become an RDD and cost a job at every use.
     """
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+
+
+def literal(spark: SparkSession, rows: Sequence[Mapping], schema: StructType) -> DataFrame:
+    """Rows made on the driver as a part of the plan."""
+    return spark.createDataFrame(pa.Table.from_pylist(list(rows), to_arrow_schema(schema)), schema)
 
 
 def calendar(df: DataFrame, date: str = "date") -> DataFrame:

@@ -7,16 +7,18 @@ returns are a projection of gross returns and turnover and nothing is run again
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructType
 
 from ..functions.nulls import safe_div
 from ..functions.stats import annualized, drawdowns, ratio_or_zero
 from ..functions.xsec import quantile_labels
-from ..operators.calendar import calendar, local
+from ..operators.calendar import calendar, literal, local
 
 
 @dataclass(frozen=True)
@@ -59,14 +61,21 @@ def periods(cal: DataFrame, trades: DataFrame, lag: int = 1) -> DataFrame:
     The exit is the next rebalance, for the final one the last date; periods that end where they
     begin, or have no signal date, are left out.  A trade date off the calendar is an error.
     """
-    at = local(trades.select("trade_date").join(cal, F.col("trade_date") == F.col("date"), "left"))
-    if not at.filter(F.col("pos").isNull()).isEmpty():
+    days = trades.select("trade_date")
+    pos = {r["date"]: r["pos"] for r in cal.collect()}
+    at = [r["trade_date"] for r in days.collect()]
+    if not all(t in pos for t in at):
         raise ValueError("a trade date is not on the calendar")
-    w = Window.orderBy("pos")
-    end = cal.agg(F.max("pos").alias("__end"))
-    p = at.select("trade_date", F.col("pos").alias("entry"), F.lead("pos").over(w).alias("next"), (F.row_number().over(w) - 1).alias("k")).crossJoin(F.broadcast(end))
-    p = p.select("k", "trade_date", "entry", F.coalesce("next", "__end").alias("exit"), (F.col("entry") - lag).alias("signal"), F.col("next").isNull().alias("last"))
-    return local(p.filter((F.col("exit") > F.col("entry")) & (F.col("signal") >= 0)))
+    at.sort(key=lambda t: pos[t])
+    rows = []
+    for k, t in enumerate(at):
+        last = k + 1 == len(at)
+        end = max(pos.values()) if last else pos[at[k + 1]]
+        if end > pos[t] and pos[t] >= lag:
+            rows.append({"k": k, "trade_date": t, "entry": pos[t], "exit": end, "signal": pos[t] - lag, "last": last})
+    kind = cal.schema["pos"].dataType
+    schema = StructType().add("k", IntegerType()).add("trade_date", days.schema[0].dataType).add("entry", kind).add("exit", kind).add("signal", kind).add("last", BooleanType())
+    return literal(cal.sparkSession, rows, schema)
 
 
 def period_signals(signals: DataFrame, per: DataFrame, cal: DataFrame, staleness: str = "carry", by: Sequence[str] = ()) -> DataFrame:
@@ -79,11 +88,14 @@ def period_signals(signals: DataFrame, per: DataFrame, cal: DataFrame, staleness
     s = signals.filter(F.col("z").isNotNull()).join(F.broadcast(cal), "date").select(*by, "ticker", "pos", "z")
     if staleness == "strict":
         return s.join(F.broadcast(per.select("k", F.col("signal").alias("pos"))), "pos").select(*by, "k", "ticker", "z")
-    first = local(cal.join(F.broadcast(per.select("k", "signal")), F.col("signal") >= F.col("pos"), "left").groupBy("pos").agg(F.min("k").alias("from_k")))
-    end = per.agg((F.max("k") + 1).alias("end_k"))
+    known = sorted((r["signal"], r["k"]) for r in per.collect())
+    end = max((k for _, k in known), default=-1) + 1
+    places = [r["pos"] for r in cal.select("pos").collect()]
+    schema = StructType().add("pos", cal.schema["pos"].dataType).add("from_k", IntegerType())
+    first = literal(cal.sparkSession, [{"pos": p, "from_k": known[i][1] if (i := bisect_left(known, (p, -1))) < len(known) else end} for p in places], schema)
     w = Window.partitionBy(*by, "ticker").orderBy("pos")
-    s = s.join(F.broadcast(first), "pos").crossJoin(F.broadcast(end))
-    s = s.withColumn("from_k", F.coalesce("from_k", "end_k")).withColumn("to_k", F.coalesce(F.lead("from_k").over(w), "end_k")).filter(F.col("to_k") > F.col("from_k"))
+    s = s.join(F.broadcast(first), "pos")
+    s = s.withColumn("to_k", F.coalesce(F.lead("from_k").over(w), F.lit(end))).filter(F.col("to_k") > F.col("from_k"))
     return s.select(*by, F.explode(F.sequence("from_k", F.col("to_k") - 1)).alias("k"), "ticker", "z").join(F.broadcast(per.select("k")), "k", "left_semi")
 
 
@@ -91,15 +103,22 @@ def holdings(prices: DataFrame, per: DataFrame, cal: DataFrame, rules: Rules, me
     """k, ticker, hold: return of every entity with an entry price in each period.
 
     Observed returns are clipped to the percentiles of all entities of the period (or of
-    ``members`` only, if given as k, ticker).
+    ``members`` only, if given as k, ticker).  An entity's prices at the periods' borders meet in one row
+    (a map of a few hundred at most), with its last date; one exchange by entity serves all periods.  prices: one row
+    for each date and ticker.
     """
+    rows = sorted(per.collect(), key=lambda r: r["k"])
+    used = sorted({r[c] for r in rows for c in ("entry", "exit")})
     px = prices.filter(F.col("px").isNotNull()).join(F.broadcast(cal), "date").select("ticker", "pos", "px")
-    seen = px.groupBy("ticker").agg(F.max("pos").alias("__seen"))
-    start = px.join(F.broadcast(per.select("k", F.col("entry").alias("pos"), "exit", "last")), "pos").select("k", "ticker", F.col("px").alias("p0"), "exit", "last")
+    of = px.groupBy("ticker").agg(F.max("pos").alias("__seen"), F.map_from_entries(F.collect_list(F.when(F.col("pos").isin(used), F.struct("pos", "px")))).alias("__px"))
+    each = F.array(*[F.struct(F.lit(r["k"]).alias("k"), F.lit(r["entry"]).alias("entry"), F.lit(r["exit"]).alias("exit"), F.lit(r["last"]).alias("last")) for r in rows])
+    if not rows:
+        each = F.array().cast("array<struct<k:int,entry:int,exit:int,last:boolean>>")
+    start = of.select("ticker", "__seen", "__px", F.explode(each).alias("p")).select("p.k", "ticker", "__seen", "p.exit", "p.last", F.try_element_at("__px", F.col("p.entry")).alias("p0"), F.try_element_at("__px", F.col("p.exit")).alias("p1"))
+    h = start.filter(F.col("p0").isNotNull())
     if members is not None:
-        start = start.join(members.select("k", "ticker"), ["k", "ticker"], "left_semi")
-    end = px.join(F.broadcast(per.select("k", F.col("exit").alias("pos"))), "pos").select("k", "ticker", F.col("px").alias("p1"))
-    h = start.join(end, ["k", "ticker"], "left").join(seen, "ticker").withColumn("raw", safe_div(F.col("p1"), F.col("p0")) - 1)
+        h = h.join(members.select("k", "ticker"), ["k", "ticker"], "left_semi")
+    h = h.withColumn("raw", safe_div(F.col("p1"), F.col("p0")) - 1)
     hold = F.col("raw")
     if rules.clip:
         edges = h.groupBy("k").agg(F.percentile("raw", F.array(*map(F.lit, rules.clip))).alias("__p"))
@@ -145,11 +164,12 @@ def label_periods(signals: DataFrame, prices: DataFrame, per: DataFrame, cal: Da
     return quantile_labels(z, "z", [*by, "k"], rules.n).filter(F.col("q").isNotNull())
 
 
-def _legs(labels: DataFrame, n: int, by: Sequence[str]) -> DataFrame:
-    live = local(labels.select(*by, "k").distinct())
+def _legs(counts: DataFrame, n: int, by: Sequence[str]) -> DataFrame:
+    """by..., k, seq, q of the periods that have labels. counts: a row for each by..., k, q."""
+    live = counts.select(*by, "k").distinct()
     w = Window.partitionBy(*by).orderBy("k")
     live = live.withColumn("seq", F.row_number().over(w))
-    return live.withColumn("q", F.explode(F.array(*map(F.lit, range(1, n + 1)))))
+    return local(live.withColumn("q", F.explode(F.array(*map(F.lit, range(1, n + 1))))))
 
 
 def run_backtest(prices: DataFrame, signals: DataFrame, trades: DataFrame, rules: Rules = Rules(), by: Sequence[str] = ()) -> DataFrame:
@@ -164,9 +184,9 @@ def run_backtest(prices: DataFrame, signals: DataFrame, trades: DataFrame, rules
         cal = local(calendar(prices))
         per = periods(cal, trades, rules.lag)
         labels = keep(label_periods(signals, prices, per, cal, rules, by))
-        n = F.count(F.lit(1)).over(Window.partitionBy(*by, "k", "q"))
-        weights = labels.select(*by, "q", "k", "ticker", (F.lit(1.0) / n).alias("w"))
-        legs = _legs(labels, rules.n, by)
+        counts = local(labels.groupBy(*by, "k", "q").agg(F.count(F.lit(1)).alias("__n")))  # a row for each leg and period
+        weights = labels.join(F.broadcast(counts), [*by, "k", "q"]).select(*by, "q", "k", "ticker", (F.lit(1.0) / F.col("__n")).alias("w"))
+        legs = _legs(counts, rules.n, by)
         return local(leg_returns(weights, holdings(prices, per, cal, rules), legs, by).join(F.broadcast(per.select("k", "trade_date")), "k"))
 
 
