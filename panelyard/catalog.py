@@ -383,7 +383,7 @@ _SNAP = """sn AS (SELECT p_partkey AS ticker, p_brand AS sector, CASE WHEN p_par
 @query(f"WITH {_SNAP} SELECT ticker, {r('value', 'quality', 'growth', 'momentum', 'lowvol', 'size')} FROM fs")
 def factor_scores(spark, d):
     df = _snapshot(spark, d)
-    return df.select("ticker", *[f(df).alias(n) for n, f in scoring.FACTORS.items()])
+    return scoring.add_scores(df).select("ticker", *scoring.FACTORS)
 
 
 @query(f"""WITH {_SNAP}, {_z('value', 'sector', 'fs', 'z1')}, {_z('momentum', 'sector', 'z1t', 'z2')}, {_z('lowvol', 'sector', 'z2t', 'z3')},
@@ -391,7 +391,7 @@ def factor_scores(spark, d):
   SELECT ticker, {r('composite')}, rank() OVER (PARTITION BY sector ORDER BY round(composite, 9) DESC)::INTEGER AS rank FROM c""")
 def live_composite(spark, d):
     df = _snapshot(spark, d)
-    df = df.select("ticker", "sector", *[f(df).alias(n) for n, f in scoring.FACTORS.items()])
+    df = scoring.add_scores(df).select("ticker", "sector", *scoring.FACTORS)
     out = scoring.snapshot_composite(df, {"value": 0.2, "momentum": 0.2, "lowvol": 0.1, "absent": 0.3})
     return out.select("ticker", "composite", "rank")
 

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import adapters as ad
-from .catalog import _RAW, _raw_prices, query, r
+from .catalog import CAL, RET, SUP, _LEGS, _LS, _RAW, _bt_sql, _dd_sql, _ic, _raw_prices, _sup, _sup_returns, _trades, _z, query, r
 from .functions import selection, xsec
-from .operators import asof, ranges
-from .plans import correlation
+from .operators import asof, dedup, ranges
+from .plans import backtest, correlation, lab
 from .sources import increments, loads, stages, zips
 from .sources.scratch import scratch_path, written
 from .streaming import asof_state
@@ -186,3 +186,67 @@ _PRIORITY = {"c_px": 2.0, "h_minus_disc": 1.0, "e_volume_sq": 3.0}
 def recursive_clusters(spark, d):
     corr = written(correlation.plain_mean(correlation.pair_correlations(_factors(spark, d), list(_FACTORS), "spearman", least=30)), "corr")
     return correlation.recursive_clusters(corr, 0.7, _PRIORITY)
+
+
+# ---------------------------------------------------------------- backtests of several sleeves, sensitivities, universes
+
+_TWO = f"{SUP}, {CAL}, {_z('volume', 'date, sector', 'sup')}, {_z('disc', 'date, sector', 'zt', 'z2')}, sg AS (SELECT 'volume' AS sleeve, date, ticker, z FROM zt UNION ALL SELECT 'discount', date, ticker, CASE WHEN month(date) <> 3 THEN z2 END FROM z2t)"
+
+
+@query(f"WITH {_TWO}, {_bt_sql()}, {_LEGS} SELECT sleeve, q, k, trade_date, {r('gross', 'turnover')} FROM bt")
+def multi_sleeve_backtest(spark, d):
+    """Two sleeves, one of them with carried scores, in one run that shares prices and fills."""
+    z = xsec.add_group_z(_sup(spark, d), ["volume", "disc"], ["date", "sector"])
+    both = z.select(F.lit("volume").alias("sleeve"), "date", "ticker", F.col("z_volume").alias("z")).unionByName(z.select(F.lit("discount").alias("sleeve"), "date", "ticker", F.when(F.month("date") != 3, F.col("z_disc")).alias("z")))
+    p = _sup(spark, d).select("date", "ticker", "px")
+    out = backtest.run_backtest(p, both, _trades(p), by=["sleeve"])
+    return out.select("sleeve", "q", F.col("k").cast("long").alias("k"), "trade_date", "gross", "turnover")
+
+
+def _sensitivity_sql() -> str:
+    def part(signals: str, loss: str) -> str:
+        run = f"{SUP}, {CAL}, {_z('volume', 'date, sector', 'sup')}, sg AS ({signals}), {_bt_sql()}, {_LEGS}, {_LS}, {_dd_sql('ls', 'spread', 'sleeve')}".replace("-0.3", loss)
+        columns = r("avg(spread) * 12 AS ann_return", "min(dd) AS max_drawdown", "avg((spread > 0)::INTEGER) AS hit_rate", "arg_max(cum, trade_date) - 1 AS cumulative")
+        return f"SELECT * FROM (WITH {run} SELECT sleeve AS run, count(*) AS periods, {columns} FROM c2 GROUP BY sleeve)"
+
+    full = "SELECT 'full' AS sleeve, date, ticker, z FROM zt UNION ALL SELECT 'px900', date, ticker, CASE WHEN px >= 900 THEN z END FROM zt"
+    return part(full, "-0.3") + " UNION ALL " + part("SELECT 'delist100' AS sleeve, date, ticker, z FROM zt", "-1.0")
+
+
+@query(_sensitivity_sql())
+def backtest_sensitivities(spark, d):
+    z = xsec.add_group_z(_sup(spark, d), ["volume"], ["date", "sector"]).select("date", "ticker", F.col("z_volume").alias("z"))
+    p = _sup(spark, d).select("date", "ticker", "px")
+    return backtest.sensitivities(p, z, _trades(p), floor=900.0).select("run", "periods", "ann_return", "max_drawdown", "hit_rate", "cumulative")
+
+
+@query(f"""WITH {SUP}, e AS (SELECT max(date) AS date FROM sup GROUP BY date_trunc('quarter', date)) SELECT date, ticker, {r("CASE WHEN ticker % 7 <> 0 THEN cap END AS cap")} FROM sup JOIN e USING (date)""")
+def cap_frame(spark, d):
+    """Caps as text, some of them unreadable, at quarter ends."""
+    df = _sup(spark, d)
+    ends = df.groupBy(F.trunc("date", "quarter").alias("quarter")).agg(F.max("date").alias("date"))
+    return backtest.cap_frame(df.select("date", "ticker", F.when(F.col("ticker") % 7 != 0, F.col("cap").cast("string")).otherwise("n/a").alias("market_cap")), ends)
+
+
+_EFF = {"volume": "z", "disc": "CASE WHEN ticker % 4 > 0 THEN z2 END"}
+
+
+def _efficacy_sql() -> str:
+    rows = " UNION ALL ".join(f"SELECT '{f}' AS factor, '{y}' AS ret, u.universe, date, {e} AS x, {y} AS y FROM fl JOIN un u ON u.universe = 'broad' OR is_lc" for f, e in _EFF.items() for y in ("ret_fwd_1", "ret_fwd_3"))
+    cover = " UNION ALL ".join(f"SELECT '{f}' AS factor, avg((({e}) IS NOT NULL)::INTEGER) AS cov_broad, avg((({e}) IS NOT NULL)::INTEGER) FILTER (is_lc) AS cov_lc FROM fl" for f, e in _EFF.items())
+    wide = ", ".join(f"max({v}) FILTER (ret = '{y}' AND universe = '{u}') AS {v}_{y}_{u}" for y in ("ret_fwd_1", "ret_fwd_3") for u in ("broad", "lc") for v in ("ic", "t"))
+    names = [f"{v}_{y}_{u}" for y in ("ret_fwd_1", "ret_fwd_3") for u in ("broad", "lc") for v in ("ic", "t")]
+    return f"""WITH {SUP}, {RET}, {_z('volume', 'date, sector', 'ret')}, {_z('disc', 'date, sector', 'zt', 'z2')}, un AS (SELECT unnest(['broad', 'lc']) AS universe),
+      fl AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY cap DESC, ticker) <= 40 AS is_lc FROM z2t), rows AS ({rows}), {_ic('rows', 'x', 'y', 'factor, ret, universe, date', 30)},
+      su AS (SELECT factor, ret, universe, avg(ic) AS ic, CASE WHEN count(ic) >= 2 AND stddev_samp(ic) > 0 THEN avg(ic) / (stddev_samp(ic) / sqrt(count(ic))) END AS t FROM ics WHERE n >= 30 GROUP BY ALL HAVING count(*) >= 10),
+      wd AS (SELECT factor, {wide} FROM su GROUP BY factor), cv AS ({cover})
+      SELECT factor, {r('cov_broad', 'cov_lc', *names)} FROM cv LEFT JOIN wd USING (factor)"""
+
+
+@query(_efficacy_sql())
+def universe_efficacy(spark, d):
+    """Coverage and IC at two horizons in the whole universe and in each date's forty largest."""
+    df = xsec.add_group_z(_sup_returns(spark, d), ["volume", "disc"], ["date", "sector"])
+    large = dedup.top_n(df, ["date"], F.col("cap"), 40, "ticker")
+    df = df.select("date", "ticker", "ret_fwd_1", "ret_fwd_3", F.col("z_volume").alias("volume"), F.when(F.col("ticker") % 4 > 0, F.col("z_disc")).alias("disc"))
+    return lab.universe_efficacy(lab.flag_members(df, large), ["volume", "disc"], ["ret_fwd_1", "ret_fwd_3"], least=30)

@@ -9,16 +9,17 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StructType
 
-from ..functions.nulls import safe_div
+from ..functions.nulls import number, safe_div
 from ..functions.stats import annualized, drawdowns, ratio_or_zero
 from ..functions.xsec import quantile_labels
 from ..operators.calendar import calendar, literal, local
+from ..operators.clean import price_floor
 
 
 @dataclass(frozen=True)
@@ -195,6 +196,32 @@ def net(returns: DataFrame, cost_bps: float) -> DataFrame:
     return returns.withColumn("net", F.col("gross") - F.col("turnover") * F.lit(cost_bps / 1e4))
 
 
+def cap_frame(panel: DataFrame, ends: DataFrame, cap: str = "market_cap") -> DataFrame:
+    """date, ticker, cap: market caps as known at the given dates (the panel is point-in-time), coerced to numbers.
+
+    Only the dates' rows are read: the dates are few and broadcast, so a panel by year is pruned by them at run time.  Of
+    several rows for a date and ticker the largest cap counts.
+    """
+    rows = panel.select("date", "ticker", number(cap).alias("cap")).join(F.broadcast(ends.select("date").distinct()), "date")
+    return rows.groupBy("date", "ticker").agg(F.max("cap").alias("cap"))
+
+
+def sensitivities(prices: DataFrame, signals: DataFrame, trades: DataFrame, rules: Rules = Rules(), cost_bps: float = 10.0, loss: float = -1.0, floor: float | None = 5.0) -> DataFrame:
+    """run, and the net spread report of: ``full``, ``delist100`` (an entity that is gone for good loses ``loss``) and ``px5`` (no score at a price below ``floor``, or without one).
+
+    Signals: date, ticker, z.  Scores and prices are the same for all, so the first two are sleeves of one run and
+    differ in the fill of what is gone; the third runs beside them as a sleeve with fewer scores.
+    """
+    z = signals.select("date", "ticker", "z")
+    runs = z.withColumn("run", F.lit("full"))
+    if floor is not None:
+        priced = z.join(prices.select("date", "ticker", "px"), ["date", "ticker"], "left")
+        runs = runs.unionByName(priced.select("date", "ticker", price_floor("z", "px", floor).alias("z"), F.lit(f"px{floor:g}").alias("run")))
+    legs = run_backtest(prices, runs, trades, rules, by=("run",))
+    hard = run_backtest(prices, z.withColumn("run", F.lit(f"delist{-100 * loss:g}")), trades, replace(rules, gone_fill=loss if rules.gone_fill is not None else None, delist_fill=loss), by=("run",))
+    return spread_report(legs.unionByName(hard), cost_bps, rules.n, by=("run",))
+
+
 def cap_weighted_top(prices: DataFrame, signals: DataFrame, caps: DataFrame, trades: DataFrame, rules: Rules = Rules(), by: Sequence[str] = ()) -> DataFrame:
     """The top quantile weighted by market cap at the signal date. caps: date, ticker, cap.
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import covariance_corr, safe_div
-from ..functions.stats import annualized, series_summary
+from ..functions.stats import annualized, series_summary, tstat
 from ..functions.xsec import average_rank, quantile_labels, winsorize_percentiles
 
 MIN_IC, MIN_PER_DATE = 30, 200
@@ -18,9 +18,9 @@ LAGS, HALF = (5, 21, 42, 63, 126, 189, 252), 0.5
 
 
 def dense_dates(df: DataFrame, x: str, least: int = MIN_PER_DATE, date: str = "date") -> DataFrame:
-    """Rows of the dates on which x has at least ``least`` values."""
-    n = F.count(x).over(Window.partitionBy(date))
-    return df.withColumn("__n", n).filter(F.col("__n") >= least).drop("__n")
+    """Rows of the dates on which x has at least ``least`` values: counts per date, and a semi-join with the dates, which are few."""
+    dense = df.groupBy(date).agg(F.count(x).alias("__n")).filter(F.col("__n") >= least).select(date)
+    return df.join(F.broadcast(dense), date, "left_semi")
 
 
 def ic_series(df: DataFrame, x: str, y: str, by: Sequence[str] = ("date",), least: int = MIN_IC) -> DataFrame:
@@ -88,6 +88,31 @@ def comparison(broad: DataFrame, large: DataFrame, key: str = "sleeve", least: i
     return side(broad, "broad").join(side(large, "large"), key, "full").withColumn("delta", F.col("large_mean") - F.col("broad_mean"))
 
 
+def flag_members(df: DataFrame, members: DataFrame, flag: str = "is_lc", keys: Sequence[str] = ("date", "ticker")) -> DataFrame:
+    """Adds whether the row's keys are in ``members`` (which may repeat them)."""
+    there = members.select(*keys).distinct().withColumn(flag, F.lit(True))
+    return df.join(there, list(keys), "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+
+
+def universe_efficacy(df: DataFrame, factors: Sequence[str], returns: Sequence[str], flag: str = "is_lc", least: int = MIN_PER_DATE, dates: int = 10, names: tuple[str, str] = ("broad", "lc")) -> DataFrame:
+    """A row for each factor: its coverage in all rows and in the flagged ones, and mean and t-statistic of its rank IC with each return in both.
+
+    Coverage counts every row of a universe, IC only dates with ``least`` complete pairs, and a universe with
+    fewer than ``dates`` such dates has no IC.  All factors, returns and universes are ranked in one plan: a row for each of
+    them, so the work is their number times the rows.
+    """
+    every, some = names
+    cover = df.agg(*[f(c) for c in factors for f in (lambda c: F.avg(F.col(c).isNotNull().cast("double")).alias(f"{every}|{c}"), lambda c: F.avg(F.when(F.col(flag), F.col(c).isNotNull().cast("double"))).alias(f"{some}|{c}"))])
+    cover = cover.select(F.explode(F.array(*[F.struct(F.lit(c).alias("factor"), F.col(f"{every}|{c}").alias(f"cov_{every}"), F.col(f"{some}|{c}").alias(f"cov_{some}")) for c in factors])).alias("x")).select("x.*")
+    long = df.select("date", flag, *returns, *factors).unpivot(["date", flag, *returns], list(factors), "factor", "__z").unpivot(["date", flag, "factor", "__z"], list(returns), "ret", "__y")
+    both = F.when(F.col(flag), F.array(F.lit(every), F.lit(some))).otherwise(F.array(F.lit(every)))
+    long = long.filter(F.col("__z").isNotNull() & F.col("__y").isNotNull()).withColumn("universe", F.explode(both))
+    ics = ic_series(long, "__z", "__y", ["factor", "ret", "universe", "date"], least).filter(F.col("n") >= least)
+    found = ics.groupBy("factor", "ret", "universe").agg(F.count(F.lit(1)).alias("__dates"), F.avg("ic").alias("ic"), tstat(F.col("ic")).alias("t")).filter(F.col("__dates") >= dates)
+    wide = found.groupBy("factor").agg(*[F.max(F.when((F.col("ret") == y) & (F.col("universe") == u), F.col(v))).alias(f"{v}_{y}_{u}") for y in returns for u in names for v in ("ic", "t")])
+    return cover.join(wide, "factor", "left")
+
+
 def half_life(decay: Mapping[int, float | None], threshold: float = HALF) -> dict:
     """First lag at which the curve crosses the threshold, interpolated; a handful of numbers."""
     pts = [(k, v) for k, v in sorted(decay.items()) if v is not None and not math.isnan(v)]

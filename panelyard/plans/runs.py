@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -19,8 +20,7 @@ REQUIRED = ("ticker", "sector", "price")
 def rank_snapshot(frame: DataFrame, weights: Mapping[str, float], date: str | None = None, sigma: float = 3.0) -> DataFrame:
     """Validated snapshot with sleeve scores, z-scores, composite and rank within the sector."""
     clean.validate(frame, REQUIRED)
-    scored = frame.withColumns({name: score(frame) for name, score in scoring.FACTORS.items()})
-    scored = scored.withColumn("noise", scoring.noise(F.lit(date or "snapshot")))
+    scored = scoring.add_scores(frame).withColumn("noise", scoring.noise(F.lit(date or "snapshot")))
     return scoring.snapshot_composite(scored, weights, sigma=sigma)
 
 
@@ -81,20 +81,19 @@ def backtest_report(prices: DataFrame, signals: DataFrame, bench: str, caps: Dat
     """Month-end backtest of ``z_composite``: legs, spread at no and full cost, bounds, benchmark comparison.
 
     prices: date, ticker, px. signals: date, ticker, z_composite. caps: date, ticker, cap.
-    The sensitivities are the same plan with other rules: every missing exit a total loss, and no
+    The sensitivities are the same plan with other rules: entities that are gone for good a total loss, and no
     scores below a price.
     """
     cal = cal_ops.local(cal_ops.calendar(prices))
     trades = cal_ops.local(cal_ops.trade_calendar(cal, cal_ops.month_ends(cal)).select("trade_date"))
     z = signals.select("date", "ticker", F.col("z_composite").alias("z"))
     legs = backtest.run_backtest(prices, z, trades, rules)
-    loss = backtest.Rules(rules.n, rules.lag, rules.clip, None, None, -1.0, rules.staleness)
     out = {
         "legs": backtest.net(legs, cost_bps),
         "leg_stats": backtest.leg_stats(backtest.net(legs, cost_bps)),
         "spread_gross": backtest.spread_report(legs, 0.0, rules.n),
         "spread_net": backtest.spread_report(legs, cost_bps, rules.n),
-        "spread_total_loss": backtest.spread_report(backtest.run_backtest(prices, z, trades, loss), cost_bps, rules.n),
+        "spread_total_loss": backtest.spread_report(backtest.run_backtest(prices, z, trades, replace(rules, gone_fill=-1.0, delist_fill=-1.0)), cost_bps, rules.n),
         "incidence": backtest.delist_incidence(prices, z, trades),
         "equal_weight": backtest.equal_weight_benchmark(prices, trades, z, rules),
     }

@@ -60,29 +60,45 @@ def filled(df: DataFrame, columns: Sequence[str]) -> set[str]:
     return {c for c in have if row[c]}
 
 
-def value_score(df: DataFrame, group: str = "sector", pe: str = "pe_ratio", ey: str = "earn_yield", ps: str = "ps_ratio", ev: str = "ev_to_ebitda", pb: str = "pb_ratio") -> Column:
-    """Mean of earnings yield (negative kept) and the inverses of positive ratios, each imputed first."""
+def value_parts(df: DataFrame, pe: str = "pe_ratio", ey: str = "earn_yield", ps: str = "ps_ratio", ev: str = "ev_to_ebitda", pb: str = "pb_ratio") -> list[Column]:
+    """Earnings yield (negative kept) and the inverses of positive ratios."""
     parts = []
     if ey in df.columns:
         parts.append(F.col(ey))
     elif pe in df.columns:
         parts.append(safe_div(F.lit(1.0), F.when(F.col(pe) > 0, F.col(pe))))
-    parts += [safe_div(F.lit(1.0), F.when(F.col(c) > 0, F.col(c))) for c in (ps, ev, pb) if c in df.columns]
-    return row_mean([impute_group_median(p, [group]) for p in parts])
+    return parts + [safe_div(F.lit(1.0), F.when(F.col(c) > 0, F.col(c))) for c in (ps, ev, pb) if c in df.columns]
 
 
-def quality_score(df: DataFrame, group: str = "sector") -> Column:
+def quality_parts(df: DataFrame) -> list[Column]:
+    """The quality metrics that exist, higher = better."""
     have = [c for c in QUALITY_METRICS if c in df.columns]
     if not have:
-        warnings.warn("no quality metric present; the sleeve is left out", UserWarning, stacklevel=2)
-        return _null()
-    return row_mean([impute_group_median(F.col(c) if QUALITY_METRICS[c] else -F.col(c), [group]) for c in have])
+        warnings.warn("no quality metric present; the sleeve is left out", UserWarning, stacklevel=3)
+    return [F.col(c) if QUALITY_METRICS[c] else -F.col(c) for c in have]
 
 
-def growth_score(df: DataFrame, group: str = "sector") -> Column:
+def growth_parts(df: DataFrame) -> list[Column]:
+    """Trailing growth metrics with any value, else quarterly ones."""
     some = filled(df, [*TTM_GROWTH_METRICS, *QUARTER_GROWTH_METRICS])
-    use = [c for c in TTM_GROWTH_METRICS if c in some] or [c for c in QUARTER_GROWTH_METRICS if c in some]
-    return row_mean([impute_group_median(F.col(c), [group]) for c in use]) if use else _null()
+    return [F.col(c) for c in [c for c in TTM_GROWTH_METRICS if c in some] or [c for c in QUARTER_GROWTH_METRICS if c in some]]
+
+
+def _imputed_mean(parts: Sequence[Column], group: str) -> Column:
+    return row_mean([impute_group_median(p, [group]) for p in parts]) if parts else _null()
+
+
+def value_score(df: DataFrame, group: str = "sector", **columns: str) -> Column:
+    """Mean of the value parts, each imputed by its group's median first; ``add_scores`` does it without sorting a group."""
+    return _imputed_mean(value_parts(df, **columns), group)
+
+
+def quality_score(df: DataFrame, group: str = "sector") -> Column:
+    return _imputed_mean(quality_parts(df), group)
+
+
+def growth_score(df: DataFrame, group: str = "sector") -> Column:
+    return _imputed_mean(growth_parts(df), group)
 
 
 def momentum_score(df: DataFrame) -> Column:
@@ -135,6 +151,27 @@ def noise_sequence(df: DataFrame, date: str = "date", entity: str = "ticker", sa
 FACTORS: dict[str, Callable[..., Column]] = {"value": value_score, "quality": quality_score, "growth": growth_score, "momentum": momentum_score, "lowvol": lowvol_score, "size": size_score}
 
 
+#: Scores that are means of imputed parts.
+PARTS: dict[str, Callable[..., list[Column]]] = {"value": value_parts, "quality": quality_parts, "growth": growth_parts}
+
+
+def add_scores(df: DataFrame, group: str = "sector") -> DataFrame:
+    """All of ``FACTORS`` as columns.
+
+    The medians of every part come from one aggregation by group and a join with its few rows, instead of a
+    window that sorts a group in one task for each of the parts.
+    """
+    parts = {(name, i): p for name, of in PARTS.items() for i, p in enumerate(of(df))}
+    at = {k: f"__{k[0]}_{k[1]}" for k in parts}
+    rows = df.withColumns({at[k]: p for k, p in parts.items()}) if parts else df
+    if parts:
+        medians = rows.groupBy(F.col(group).alias("__g")).agg(*[F.median(c).alias(f"{c}_m") for c in at.values()])
+        rows = rows.join(F.broadcast(medians), F.col(group).eqNullSafe(F.col("__g")), "left")
+    mean = {name: [F.coalesce(at[k], f"{at[k]}_m") for k in at if k[0] == name] for name in PARTS}
+    scores = {name: (row_mean(mean[name]) if mean[name] else _null()) if name in PARTS else score(df) for name, score in FACTORS.items()}
+    return rows.withColumns(scores).drop("__g", *at.values(), *[f"{c}_m" for c in at.values()])
+
+
 def snapshot_composite(df: DataFrame, weights: Mapping[str, float], group: str = "sector", sigma: float = 3.0, tie: Sequence[str] = ()) -> DataFrame:
     """z_<sleeve>, composite and rank (1 = best within the group, ties share the least rank).
 
