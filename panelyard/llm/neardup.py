@@ -17,7 +17,7 @@ Large groups hardly ever meet as pairs.  Equal texts are one node.  Every text i
 one that is most often the first of its buckets, and the links make classes.  Then, for ``ROUNDS``, each
 class of a bucket is compared with the bucket's largest class by one text of either.  What is left in a
 bucket of several classes is compared in full inside the tasks, classes apart, each pair in one of its
-buckets: the texts of the largest class are dealt over cells of about ``CELL`` texts, the others
+buckets: the texts of the largest class are dealt over cells of about ``CELL`` texts or ``CELL_WORDS`` words, the others
 are sent to all of these and over cells of their own.  So all pairs of a bucket are compared or are
 in one class, and only links leave a task.
 
@@ -31,6 +31,7 @@ mistaken for equal.  Extra columns are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -52,6 +53,10 @@ SHORT = 32
 ROUNDS = 1
 #: Texts of the largest class, and of the others, that are compared in one go.
 CELL = 512
+#: Words of these in one go, beyond which the cells become more.
+CELL_WORDS = 1 << 20
+#: Rows of a text that one bit set of the alignment covers.
+STRETCH = 4096
 #: Texts in which k-mers and buckets are counted, how many of the most frequent k-mers are known as
 #: such (the order of the rest is by hash: any order is right, a good one makes buckets small), and
 #: how often a bucket must occur among these texts to be split.
@@ -181,7 +186,8 @@ def distance(a: Sequence, b: Sequence, most: int) -> int:
     """Edit distance of two sequences if it is at most ``most``, else most + 1.
 
     Bit-parallel within a band of ``most`` cells on either side of the diagonal: bit i of the band
-    at column j stands for row j - most + i; the vertical steps of a column are two bit sets.
+    at column j stands for row j - most + i; the vertical steps of a column are two bit sets.  Memory is
+    in proportion to the texts: bit sets as long as a text, one for each of its words, would not be.
     """
     if len(a) < len(b):
         a, b = b, a
@@ -197,16 +203,26 @@ def distance(a: Sequence, b: Sequence, most: int) -> int:
     if not b:
         return len(a)
     k, extra = min(most, len(a)), len(a) - len(b)
-    rows: dict = {}
+    rows: dict = {}  # of each word the rows it is in, as bits of stretches, so that a bit set has no more bits than a stretch
     for i, x in enumerate(a):
-        rows[x] = rows.get(x, 0) | 1 << i
+        own = rows.setdefault(x, {})
+        own[i // STRETCH] = own.get(i // STRETCH, 0) | 1 << i % STRETCH
+    nothing: dict = {}
     full = (1 << (2 * k + 1)) - 1
     diagonal = 1 << (k + extra)
     plus, minus, dist = full & ~((1 << k) - 1), 0, extra
     for j, x in enumerate(b):  # column j + 1 covers rows j + 1 - k ..
-        found = rows.get(x, 0)
-        if found:
-            found = (found >> (j - k) if j >= k else found << (k - j)) & full
+        found, first = 0, j - k
+        own = rows.get(x, nothing)
+        if len(own) == 1 or len(own) < (2 * k) // STRETCH:
+            near = own
+        else:
+            near = range(max(0, first) // STRETCH, (j + k) // STRETCH + 1)
+        for c in near:
+            if bits := own.get(c):
+                at = c * STRETCH - first
+                found |= bits << at if at >= 0 else bits >> -at
+        found &= full
         same = ((((found & plus) + plus) ^ plus) | found | minus) & full
         right_plus, right_minus = (minus | ~(same | plus)) & full, same & plus
         if not same & diagonal:
@@ -307,16 +323,21 @@ def _classed(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _open(classes: DataFrame) -> DataFrame:
-    """classes: key, class, size, rep (node, n) -> the buckets of several classes: key, main (size, class, rep), others (texts)."""
-    keys = classes.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.sum("size").alias("all"), F.max(F.struct("size", "class", "rep")).alias("main"))
-    return keys.filter("classes > 1").select("key", "main", (F.col("all") - F.col("main.size")).alias("others"))
+    """classes: key, class, size, words, rep (node, n) -> the buckets of several classes: key, main (size, class, rep, words), others (texts), other_words."""
+    keys = classes.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.sum("size").alias("all"), F.sum("words").alias("words"), F.max(F.struct("size", "class", "rep", "words")).alias("main"))
+    return keys.filter("classes > 1").select("key", "main", (F.col("all") - F.col("main.size")).alias("others"), (F.col("words") - F.col("main.words")).alias("other_words"))
 
 
 class _Cell:
-    """Texts of one bucket that are compared in one go."""
+    """Texts of one bucket that are compared in one go, as numbers of their words."""
 
     def __init__(self, key: int):
-        self.key, self.rows, self.root = key, [], {}
+        self.key, self.rows, self.root, self.numbers = key, [], {}, {}
+
+    def add(self, row: dict) -> None:
+        numbers = self.numbers
+        row["words"] = array("I", [numbers.setdefault(w, len(numbers)) for w in row.pop("text").split()])
+        self.rows.append(row)
 
     def find(self, c: int) -> int:
         while self.root.get(c, c) != c:
@@ -327,7 +348,6 @@ class _Cell:
         """(node, node): links between texts of different slots, or of one if it is marked so, that make other classes one."""
         earlier: dict[int, list[int]] = {}
         self.rows.sort(key=lambda r: (r["n"], r["node"]))
-        words = [r["text"].split() for r in self.rows]
         at = 0
         for i, r in enumerate(self.rows):
             while self.rows[at]["n"] < least * r["n"] - 1e-6:
@@ -338,7 +358,7 @@ class _Cell:
                 earlier.setdefault(k, []).append(i)
             for j in range(at, i):
                 o = self.rows[j]
-                if (r["slot"] != o["slot"] or r["within"]) and j not in met and self.find(r["class"]) != self.find(o["class"]) and similar(words[i], words[j], least):
+                if (r["slot"] != o["slot"] or r["within"]) and j not in met and self.find(r["class"]) != self.find(o["class"]) and similar(r["words"], o["words"], least):
                     self.root[self.find(r["class"])] = self.find(o["class"])
                     yield r["node"], o["node"]
 
@@ -352,19 +372,24 @@ def _linked(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
             if now != (row["key"], row["cell"]):
                 out += cell.links(least)
                 now, cell = (row["key"], row["cell"]), _Cell(row["key"])
-            cell.rows.append(row)
+            cell.add(row)
         yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
     out = list(cell.links(least))
     yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
-def cells(rows: DataFrame, keys: DataFrame, size: int = CELL) -> DataFrame:
+def _parts(texts: Column, n: Column, size: int, words: int) -> Column:
+    """Into how many parts texts are dealt, by their number and by their words."""
+    return F.greatest(F.lit(1), F.ceil(texts / size), F.ceil(n / words))
+
+
+def cells(rows: DataFrame, keys: DataFrame, size: int = CELL, words: int = CELL_WORDS) -> DataFrame:
     """rows: key, node, n, class; keys: of _open -> key, cell, slot, within, node, n, class.
 
     Two texts of a bucket are in one cell, in slots to be compared, exactly once, unless both are
     of the largest class.
     """
-    rows = rows.join(keys.select("key", F.col("main.class").alias("main"), F.ceil(F.col("main.size") / size).alias("na"), F.greatest(F.lit(1), F.ceil(F.col("others") / size)).alias("no")), "key")
+    rows = rows.join(keys.select("key", F.col("main.class").alias("main"), _parts(F.col("main.size"), F.col("main.words"), size, words).alias("na"), _parts(F.col("others"), F.col("other_words"), size, words).alias("no")), "key")
     is_main, mixed = F.col("class") == F.col("main"), F.xxhash64("node", "key")
     slot = F.when(is_main, F.pmod(mixed, F.col("na"))).otherwise(F.pmod(mixed, F.col("no")))
     rows = rows.withColumn("slot", slot)
@@ -409,8 +434,8 @@ class _Links:
         self.test(votes.groupBy("a").agg(F.max_by("b", F.struct("votes", "b")).alias("b")))
 
     def classes(self, members: DataFrame) -> DataFrame:
-        """key, class, size, rep of every class in every bucket."""
-        return materialize(_classed(members, self.roots).groupBy("key", "class").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("node", "n")).alias("rep")), "bucket-classes")
+        """key, class, size, words, rep of every class in every bucket."""
+        return materialize(_classed(members, self.roots).groupBy("key", "class").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("words"), F.max(F.struct("node", "n")).alias("rep")), "bucket-classes")
 
     def class_star(self, members: DataFrame) -> None:
         """Compares each class of a bucket with the largest by one text of either, the two once in all buckets."""

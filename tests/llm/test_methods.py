@@ -369,7 +369,7 @@ def test_near_duplicates_in_cells(spark, monkeypatch):
     # cells and parts much smaller than the buckets: every pair must still meet
     monkeypatch.setattr(neardup, "CELL", 4)
     monkeypatch.setattr(neardup, "HOT", 20)
-    monkeypatch.setattr(neardup.cells, "__defaults__", (4,))
+    monkeypatch.setattr(neardup.cells, "__defaults__", (4, 300))
     rng = random.Random(13)
     passage, texts = [f"p{rng.randrange(10**6)}" for _ in range(80)], []
     for _ in range(30):
@@ -378,6 +378,36 @@ def test_near_duplicates_in_cells(spark, monkeypatch):
     assert found_classes(spark, texts) == classes_by_all_pairs(texts)
 
 
+@pytest.mark.parametrize("stretch", [3, 8, 4096])
+def test_distance_in_stretches(monkeypatch, stretch):
+    monkeypatch.setattr(neardup, "STRETCH", stretch)
+    rng = random.Random(stretch)
+    for _ in range(400):
+        a, b = ([rng.randrange(4) for _ in range(rng.randrange(30))] for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        most = rng.randrange(20)
+        assert neardup.distance(a, b, most) == min(row[-1], most + 1)
+
+
+def test_sketches_of_repeated_lines_meet():
+    rng = random.Random(9)
+    for kinds, least in ((3, 0.93), (10, 0.95)):
+        met = 0
+        for i in range(250):
+            lines = [[f"w{rng.randrange(10**6)}" for _ in range(8)] for _ in range(kinds)]
+            text = [w for _ in range(20) for w in rng.choice(lines)]
+            n = len(text)
+            at = set(rng.sample(range(n), n // 5) if i % 2 else range(2, n, 5))
+            other = [f"x{j}" if j in at else w for j, w in enumerate(text)]
+            assert neardup.similar(text, other)
+            met += bool({*neardup.sketched(text)} & {*neardup.sketched(other)})
+        assert met / 250 >= least, (kinds, met)
+
+
 def test_sketches_meet_at_the_threshold():
     rng = random.Random(6)
     for similarity, least in ((0.9, 0.999), (0.85, 0.995), (0.8, 0.985)):
