@@ -1,7 +1,8 @@
-"""Commands: ``python -m panelyard rank|lab|backtest|shortlist --input table.parquet ... --out folder``.
+"""Commands: ``python -m panelyard panel|rank|lab|backtest|shortlist --input table.parquet ... --out folder``.
 
 Each reads Parquet tables with the columns that the run of the same name in ``plans.runs`` states, and
-writes its small results as CSV, and reports as text, into the folder.
+writes its small results as CSV, and reports as text, into the folder.  ``panel`` builds a panel from prices and
+vintages and writes it by year; it is built again only if its inputs or arguments have changed.
 """
 
 from __future__ import annotations
@@ -11,9 +12,11 @@ import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .operators import panel as panel_ops
 from .plans import reports, runs, scoring
-from .sources import files
+from .sources import files, stages
 
 
 def weights(text: str) -> dict[str, float]:
@@ -49,6 +52,17 @@ def backtest(spark: SparkSession, a: argparse.Namespace) -> dict[str, DataFrame
     return dict(runs.backtest_report(spark.read.parquet(a.input), spark.read.parquet(a.signals), a.bench, caps, a.cost_bps, floor=a.floor))
 
 
+def panel(spark: SparkSession, a: argparse.Namespace) -> dict[str, DataFrame | str]:
+    names = dict(pair.split("=") for pair in a.factors.split(",")) if a.factors else {}
+
+    def build() -> DataFrame:
+        tables = [spark.read.parquet(p) for p in (a.input, a.fundamentals, a.revenue, a.companies)]
+        return panel_ops.build_panel(*tables, names, a.trailing, a.forward)
+
+    built = stages.reuse(spark, f"{a.out}/panel", build, rebuild=a.rebuild, write=files.write_panel)
+    return {"years": built.groupBy("year").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("ticker").alias("tickers")).orderBy("year")}
+
+
 def numbers(text: str) -> tuple[int, ...]:
     return tuple(map(int, text.split(",")))
 
@@ -64,6 +78,13 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--out", required=True)
         return c
 
+    c = command(panel, "build a panel from prices and vintages")
+    for name in ("fundamentals", "revenue", "companies"):
+        c.add_argument(f"--{name}", required=True)
+    c.add_argument("--factors", default="", help="vendor=panel,... names of fundamentals")
+    c.add_argument("--trailing", type=numbers, default=(21, 126, 252))
+    c.add_argument("--forward", type=numbers, default=(21, 63))
+    c.add_argument("--rebuild", action="store_true")
     for run, text, top in ((rank, "score and rank a snapshot", 5), (shortlist, "the best of a snapshot", 20)):
         c = command(run, text)
         c.add_argument("--weights", type=weights, required=True)

@@ -15,7 +15,7 @@ from .functions import xsec
 from .functions.nulls import safe_div
 from .functions.stats import drawdowns, welch
 from .operators import asof, calendar, clean, dedup, panel
-from .plans import backtest, correlation, lab, scoring
+from .plans import backtest, correlation, lab, reports, scoring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -308,7 +308,7 @@ def index_membership(spark, d):
 @query("""SELECT DISTINCT o_custkey FROM orders WHERE year(o_orderdate) = 1998 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1997)""")
 def new_vs_previous(spark, d):
     o = ad.read(spark, d, "orders").select("o_custkey", F.year("o_orderdate").alias("y"))
-    return o.filter("y = 1998").select("o_custkey").distinct().join(o.filter("y = 1997"), "o_custkey", "left_anti")
+    return reports.newcomers(o.filter("y = 1998"), o.filter("y = 1997"), "o_custkey")
 
 
 @query(f"WITH {SUP} SELECT date, ticker, {r('CASE WHEN px >= 900 THEN volume END AS z')} FROM sup")
@@ -349,8 +349,7 @@ def qcut_labels(spark, d):
 
 @query(f"""WITH {SUP} SELECT date, ticker, {r("rank() OVER w + (count(*) OVER (PARTITION BY date, volume) - 1) / 2.0::DOUBLE AS average")}, rank() OVER (PARTITION BY date ORDER BY volume DESC)::INTEGER AS least, row_number() OVER (PARTITION BY date ORDER BY volume DESC, ticker)::INTEGER AS first FROM sup WINDOW w AS (PARTITION BY date ORDER BY volume)""")
 def ranks(spark, d):
-    w = Window.partitionBy("date")
-    return _sup(spark, d).select("date", "ticker", xsec.average_rank("volume", ["date"]).alias("average"), F.rank().over(w.orderBy(F.desc("volume"))).alias("least"), F.row_number().over(w.orderBy(F.desc("volume"), "ticker")).alias("first"))
+    return _sup(spark, d).select("date", "ticker", xsec.average_rank("volume", ["date"]).alias("average"), xsec.least_rank("volume", ["date"]).alias("least"), xsec.first_rank("volume", ["date"], "ticker").alias("first"))
 
 
 @query(f"""WITH {PRT}, s AS (SELECT date, ticker, sector, CASE WHEN ticker % 5 <> 0 THEN px END AS px FROM prt) SELECT date, ticker, {r('coalesce(px, median(px) OVER (PARTITION BY sector)) AS px')} FROM s""")
@@ -416,7 +415,7 @@ def lab_composite(spark, d):
 def attribution_unpivot(spark, d):
     df = _lab(spark, d)
     last = df.agg(F.max("date").alias("date"))
-    return df.join(F.broadcast(last), "date", "left_semi").select("ticker", F.col("z_volume").alias("volume"), F.col("z_nd").alias("nd"), F.col("z_p4").alias("p4")).unpivot(["ticker"], ["volume", "nd", "p4"], "factor", "z")
+    return scoring.attributions(df.join(F.broadcast(last), "date", "left_semi"), {"z_volume": "volume", "z_nd": "nd", "z_p4": "p4"})
 
 
 _U = "(('0x' || substr(h, {i}, 8))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4294967296.0::DOUBLE"

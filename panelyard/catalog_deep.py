@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from . import adapters as ad
 from .catalog import CAL, RET, SUP, _LEGS, _LS, _RAW, _bt_sql, _dd_sql, _ic, _raw_prices, _sup, _sup_returns, _trades, _z, query, r
 from .functions import selection, xsec
-from .operators import asof, dedup, ranges
+from .operators import asof, clean, dedup, ranges
 from .plans import backtest, correlation, lab
 from .sources import increments, loads, stages, zips
+from .sources.groups import SECTOR_GROUPS, sector_groups
 from .sources.scratch import scratch_path, written
 from .streaming import asof_state
 
@@ -86,6 +87,17 @@ def reused_stage(spark, d):
     return stages.reuse(spark, path, since("1995-01-01"))
 
 
+_GROUP_NAMES = sorted(g for groups in SECTOR_GROUPS.values() for g in groups)
+
+
+@query("WITH g AS (SELECT * FROM (VALUES " + ", ".join(f"({_GROUP_NAMES.index(g)}, '{g}', '{s}')" for s, groups in SECTOR_GROUPS.items() for g in groups) + f") t(i, grp, sector)) SELECT p_partkey, grp, sector FROM part JOIN g ON p_partkey % {len(_GROUP_NAMES)} = i")
+def mapped_groups(spark, d):
+    """Every part in one of the vendor's industry groups, mapped to its sector by exact text."""
+    names = F.array(*map(F.lit, _GROUP_NAMES))
+    p = ad.read(spark, d, "part").select("p_partkey", F.get(names, (F.col("p_partkey") % len(_GROUP_NAMES)).cast("int")).alias("grp"))
+    return clean.map_groups(p, "grp", sector_groups(spark))
+
+
 # ---------------------------------------------------------------- one key over many tasks
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranges import scan
+
 
 def tstat(x: Column) -> Column:
     sd = F.stddev_samp(x)
@@ -23,12 +25,16 @@ def series_summary(x: str) -> list[Column]:
     ]
 
 
-def drawdowns(returns: DataFrame, r: str, order: str, by: tuple[str, ...] = ()) -> DataFrame:
+def drawdowns(returns: DataFrame, r: str, order: str, by: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
     """Adds cum (compounded growth) and dd (cum over its running peak, minus one).
 
     Products, not logs, so a return of -1 survives.  The frames run within ``by`` (a portfolio leg);
-    a leg has one row per period, so a partition is small.
+    a leg has one row per period, so a partition is small.  For long series ``parts`` gives the number of ranges
+    over which growth and peak are carried.
     """
+    if parts is not None:
+        grown = scan(returns.withColumn("__g", 1 + F.col(r)), by, [order], {"cum": ("product", "__g")}, parts).drop("__g")
+        return scan(grown, by, [order], {"__peak": ("max", "cum")}, parts).withColumn("dd", F.try_divide("cum", "__peak") - 1).drop("__peak")
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     df = returns.withColumn("cum", F.product(1 + F.col(r)).over(w))
     return df.withColumn("dd", F.try_divide(F.col("cum"), F.max("cum").over(w)) - 1)

@@ -82,6 +82,16 @@ def average_rank(x: str, by: Sequence[str]) -> Column:
     return (F.rank().over(w) + F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))) / F.lit(2.0)
 
 
+def least_rank(x: str | Column, by: Sequence[str]) -> Column:
+    """1 for the largest; ties share the least rank."""
+    return F.rank().over(_over(by).orderBy(F.desc(x) if isinstance(x, str) else x.desc()))
+
+
+def first_rank(x: str, by: Sequence[str], tie: str) -> Column:
+    """1 for the largest; ties in order of ``tie``."""
+    return F.row_number().over(_over(by).orderBy(F.desc(x), tie))
+
+
 def impute_group_median(x: Column, by: Sequence[str]) -> Column:
     return F.coalesce(x, F.median(x).over(_over(by)))
 

@@ -18,6 +18,8 @@ TAGS: Mapping[str, Sequence[str]] = {
     "profit_margin": ["profitmargin"], "debt_to_ebitda": ["debttoebitda"], "interest_coverage": ["ebittointerestex"], "ev_to_ebitda": ["evtoebitda"], "pb_ratio": ["pricetobook"], "enterprise_value": ["enterprisevalue"],
     "ebit_growth": ["ebitgrowth"], "ebitda_growth": ["ebitdagrowth"], "rev_growth": ["revenuegrowth"], "freecashflow": ["freecashflow"], "beta": ["beta"], "debt_to_equity": ["debttoequity"],
 }
+#: What the vendor's prices are in.
+CURRENCY = "USD"
 
 
 def latest_prices(prices: DataFrame) -> DataFrame:
@@ -50,7 +52,7 @@ def revenue_metrics(income: DataFrame) -> DataFrame:
     return trailing_sum(q, ["ticker"], ["fy", "q"], "x").join(yoy, "ticker", "full").select("ticker", "ttm", "yoy", F.concat(F.lit("Q"), F.col("q").cast("string"), F.lit(" "), F.col("fy").cast("string")).alias("last_qtr"))
 
 
-def build_live(universe: DataFrame, companies: DataFrame, prices: DataFrame, calcs: DataFrame, income: DataFrame, sectors: DataFrame, bench: str | None = "SPY", **windows) -> tuple[DataFrame, DataFrame]:
+def build_live(universe: DataFrame, companies: DataFrame, prices: DataFrame, calcs: DataFrame, income: DataFrame, sectors: DataFrame, bench: str | None = "SPY", currency: str = CURRENCY, **windows) -> tuple[DataFrame, DataFrame]:
     """(snapshot, excluded): one row per universe ticker with a price, and those without.
 
     prices: ticker, date, close, adj_close, high_52w, low_52w. sectors: group, sector.
@@ -68,6 +70,6 @@ def build_live(universe: DataFrame, companies: DataFrame, prices: DataFrame, cal
     w = Window.partitionBy("sector").orderBy("ticker")
     frame = frame.select(
         "*", F.col("close").alias("price"), F.coalesce("beta", "__beta").alias("trailing_beta"), earnings_yield("pe_ratio").alias("earn_yield"), fcf_margin("freecashflow", "ttm").alias("fcf_margin"), F.col("yoy").alias("sales_growth_q"),
-        (safe_div(F.col("close"), F.col("high_52w")) - 1).alias("pct_below_52w_high"), (safe_div(F.col("close"), F.col("low_52w")) - 1).alias("pct_above_52w_low"), F.row_number().over(w).alias("n"),
+        (safe_div(F.col("close"), F.col("high_52w")) - 1).alias("pct_below_52w_high"), (safe_div(F.col("close"), F.col("low_52w")) - 1).alias("pct_above_52w_low"), F.row_number().over(w).alias("n"), F.lit(currency).alias("currency"),
     ).drop("close", "__beta", "beta", "freecashflow", "ttm", "yoy")
     return frame, excluded

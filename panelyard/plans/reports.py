@@ -25,6 +25,11 @@ def top_per_group(df: DataFrame, n: int = 5, group: str = "sector", rank: str =
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(F.asc_nulls_last(rank), tie))).filter(F.col("__n") <= n).drop("__n")
 
 
+def newcomers(now: DataFrame, before: DataFrame, key: str = "ticker") -> DataFrame:
+    """Keys of the first table that the second lacks, each once."""
+    return now.select(key).distinct().join(before.select(key), key, "left_anti")
+
+
 def shortlist(df: DataFrame, n: int, weights: Mapping[str, float], by: str = "composite", previous: DataFrame | None = None) -> DataFrame:
     """The n best with ``driver``, the sleeve of the largest weighted z, and ``is_new`` against a previous list."""
     have = [s for s in weights if f"z_{s}" in df.columns]

@@ -11,11 +11,11 @@ import hashlib
 import warnings
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import number, row_mean, safe_div
-from ..functions.xsec import add_group_z, impute_group_median
+from ..functions.xsec import add_group_z, impute_group_median, least_rank
 
 #: Direction of each panel factor (+1: higher is better).
 FACTOR_DIRECTION = {
@@ -186,7 +186,7 @@ def snapshot_composite(df: DataFrame, weights: Mapping[str, float], group: str =
     for s in active:
         score = score + F.coalesce(F.col(f"z_{s}"), F.lit(0.0)) * F.lit(weights[s] / total)
     out = out.withColumn("composite", score)
-    return out.withColumn("rank", F.rank().over(Window.partitionBy(group).orderBy(F.desc(F.round("composite", 9)))))
+    return out.withColumn("rank", least_rank(F.round("composite", 9), [group]))
 
 
 def oriented(factor: str, directions: Mapping[str, int] = FACTOR_DIRECTION) -> Column:
@@ -237,9 +237,14 @@ def signal_frame(panel: DataFrame, dates: DataFrame, eligible: DataFrame | None
     return scored.select("date", "ticker", "z_composite", *[f"sleeve_{s}" for s in sleeves])
 
 
+def attributions(df: DataFrame, columns: Mapping[str, str], entity: str = "ticker") -> DataFrame:
+    """entity, factor, z of every entity, nulls included. columns: z column -> factor."""
+    return df.select(entity, *[F.col(c).alias(f) for c, f in columns.items()]).unpivot([entity], list(columns.values()), "factor", "z")
+
+
 def attribution(df: DataFrame, key: str, columns: Sequence[str], entity: str = "ticker") -> DataFrame:
     """factor, z of one entity, best first; KeyError if it isn't there."""
     row = df.filter(F.col(entity) == key)
     if row.isEmpty():
         raise KeyError(key)
-    return row.unpivot([entity], list(columns), "factor", "z").orderBy(F.desc_nulls_last("z"), "factor")
+    return attributions(row, {c: c for c in columns}, entity).orderBy(F.desc_nulls_last("z"), "factor")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import number
+from ..operators.ranges import scan
 from . import zips
 
 #: Sheet columns by position, numeric ones among them, and sector names.
@@ -18,6 +19,8 @@ SECTOR_SLUGS = {
     "Consumer Discretionary": "consumer_discretionary", "Consumer Staples": "consumer_staples", "Energy": "energy", "Financials": "financials", "Health Care": "health_care", "Industrials": "industrials",
     "Materials": "materials", "Real Estate": "real_estate", "Technology": "technology", "Telecommunication": "telecommunication", "Utilities": "utilities",
 }
+#: Rows of a result that may come to the driver.
+SMALL_ROWS = 1_000_000
 #: Indexes a universe list may name, and its size.
 INDEXES, UNIVERSE_SIZE = ("SP500", "NASDAQ100", "DOW"), (515, 525)
 
@@ -42,15 +45,19 @@ def read_sheet(spark: SparkSession, path: str, sheet: str = "UNIVERSE") -> DataF
     return spark.createDataFrame([(i, [None if c is None else str(c) for c in r]) for i, r in enumerate(rows)], "row int, cells array<string>")
 
 
-def sheet_blocks(rows: DataFrame, cells: str = "cells", row: str = "row") -> DataFrame:
+def sheet_blocks(rows: DataFrame, cells: str = "cells", row: str = "row", parts: int | None = None) -> DataFrame:
     """Rows of stacked blocks: a header has (n) in cell 0 and the sector in cell 2; a block ends at a blank.
 
-    rows: a row number and an array of cells.  Ragged rows are padded, extra cells ignored.
+    rows: a row number and an array of cells.  Ragged rows are padded, extra cells ignored.  A workbook's
+    few hundred rows are one window; with ``parts`` the block that is open is carried over so many ranges of rows.
     """
     head, blank = F.col(cells)[0] == "(n)", F.coalesce(F.trim(F.col(cells)[0]), F.lit("")) == ""
     mark = F.when(head, F.struct(F.lit(True).alias("open"), F.get(cells, F.lit(2)).alias("sector"))).when(blank, F.struct(F.lit(False).alias("open"), F.lit(None).cast("string").alias("sector")))
-    w = Window.orderBy(row).rowsBetween(Window.unboundedPreceding, 0)
-    m = rows.withColumn("__m", F.last(mark, ignorenulls=True).over(w)).filter(F.col("__m.open") & ~head & ~blank)
+    if parts is None:
+        m = rows.withColumn("__m", F.last(mark, ignorenulls=True).over(Window.orderBy(row).rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        m = scan(rows.withColumn("__mark", mark), [], [row], {"__m": ("last", "__mark")}, parts).drop("__mark")
+    m = m.filter(F.col("__m.open") & ~head & ~blank)
     return m.select(F.col(row).alias("row"), *[F.get(cells, F.lit(i)).alias(c) for i, c in enumerate(SHEET_COLUMNS)], F.col("__m.sector").alias("sector_raw"))
 
 
@@ -61,7 +68,7 @@ def load_sheet(rows: DataFrame) -> DataFrame:
         raise ValueError("no sector blocks")
     slug = F.create_map(*[F.lit(x) for kv in SECTOR_SLUGS.items() for x in kv])
     out = b.select(*[(F.trim(c) if c in SHEET_TEXT else number(c)).alias(c) for c in SHEET_COLUMNS], "sector_raw", F.try_element_at(slug, F.trim("sector_raw")).alias("sector"))
-    if lost := [r[0] for r in out.filter(F.col("sector").isNull()).select("sector_raw").distinct().collect()]:
+    if lost := [r[0] for r in out.filter(F.col("sector").isNull()).select("sector_raw").distinct().limit(20).collect()]:
         raise ValueError(f"unknown sectors: {lost}")
     return out
 
@@ -117,9 +124,12 @@ def reuse(spark: SparkSession, path: str, build: Callable[[], DataFrame], rebuil
     return spark.read.parquet(path)
 
 
-def write_small_csv(df: DataFrame, path: str) -> None:
-    """A small result as one CSV file."""
-    df.toPandas().to_csv(path, index=False)
+def write_small_csv(df: DataFrame, path: str, most: int = SMALL_ROWS) -> None:
+    """A small result as one CSV file; ValueError if it has more than ``most`` rows, which belong into ``df.write.csv``."""
+    rows = df.limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    rows.to_csv(path, index=False)
 
 
 def write_json(value: Mapping, path: str) -> None:

@@ -59,16 +59,19 @@ def _kept(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def reuse(spark: SparkSession, path: str, build: Callable[[], DataFrame], params: Mapping | None = None, rebuild: bool = False) -> DataFrame:
+def reuse(spark: SparkSession, path: str, build: Callable[[], DataFrame], params: Mapping | None = None, rebuild: bool = False, write: Callable[[DataFrame, str], None] | None = None) -> DataFrame:
     """The stage at ``path`` if it was completed for the same key, else built and written first.
 
     ``build`` only makes the plan.  Python functions in it show by name: their version belongs into ``params``.
-    The key is written last, so a stage that died half-way is built again.
+    ``write`` writes another layout than plain Parquet.  The key is written last, so a stage that died half-way is built again.
     """
     df = build()
     key = stage_key(df, params)
     if rebuild or _kept(spark, path) != key:
-        df.write.mode("overwrite").parquet(path)
+        if write:
+            write(df, path)
+        else:
+            df.write.mode("overwrite").parquet(path)
         where, p = hadoop_path(spark, f"{path}/{KEY_FILE}")
         out = where.create(p, True)
         out.write(bytearray(key.encode()))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import warnings
 
 import numpy as np
 import pytest
@@ -215,3 +216,41 @@ def test_names_without_a_group_are_not_capped_as_one(spark):
     out = backtest.apply_caps(spark.createDataFrame(rows, "ticker string, sector string, w double")).collect()
     by = {r["ticker"]: r["w"] for r in out}
     assert abs(by["t0"] - 0.03 / 0.8) < 1e-12 and abs(by["t15"] - 0.05 / 0.8) < 1e-12
+
+
+def test_efficacy_of_two_universes(spark):
+    rng = np.random.default_rng(11)
+    rows = [(d, f"T{t}", float(t), float(t) + float(rng.normal()), float(rng.normal()) if t % 2 else None) for d in range(14) for t in range(60)]
+    df = spark.createDataFrame(rows, "date int, ticker string, a double, r double, b double")
+    big = df.filter("a >= 30").select("date", "ticker")
+    flagged = lab.flag_members(df, big.unionByName(big))
+    assert flagged.count() == df.count() and flagged.filter("is_lc").count() == big.count()
+    out = {x["factor"]: x for x in lab.universe_efficacy(flagged, ["a", "b"], ["r"], least=25).collect()}
+    assert out["a"]["cov_broad"] == 1.0 and out["b"]["cov_broad"] == out["b"]["cov_lc"] == 0.5
+    assert out["a"]["ic_r_broad"] > out["a"]["ic_r_lc"] > 0.8 and out["a"]["t_r_lc"] > 2
+    assert out["b"]["ic_r_broad"] is not None and out["b"]["ic_r_lc"] is None  # 30 rows, 15 of them with a value: no date has enough
+    assert out["b"]["t_r_lc"] is None
+
+
+def test_scores_from_medians_equal_the_windows(spark):
+    rng = np.random.default_rng(12)
+    rows = [(f"T{i}", "xyz"[i % 3] if i % 11 else None, *[None if rng.random() < 0.3 else float(rng.normal() * 10) for _ in range(5)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "ticker string, sector string, pe_ratio double, ps_ratio double, roe double, vol_126d double, mom_12_1 double")
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        a = scoring.add_scores(df).select("ticker", *scoring.FACTORS)
+        b = df.select("ticker", *[f(df).alias(n) for n, f in scoring.FACTORS.items()])
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_sensitivities_and_caps(spark):
+    days = list(range(40))
+    rows = [(d, f"T{t}", 10.0 * (1 + 0.001 * t) ** d) for d in days for t in range(30) if not (t == 29 and d >= 20)]  # one of the best is gone for good
+    px = spark.createDataFrame(rows, "date int, ticker string, px double")
+    sig = px.select("date", "ticker", F.substring("ticker", 2, 2).cast("double").alias("z"))
+    trades = spark.createDataFrame([(d,) for d in range(5, 40, 7)], "trade_date int")
+    out = {r["run"]: r for r in backtest.sensitivities(px, sig, trades, floor=10.2).collect()}
+    assert set(out) == {"full", "px10.2", "delist100"} and out["delist100"]["cumulative"] < out["full"]["cumulative"]
+    panel = spark.createDataFrame([(1, "A", "5"), (1, "A", "7"), (1, "B", "x"), (2, "A", "9")], "date int, ticker string, market_cap string")
+    caps = backtest.cap_frame(panel, spark.createDataFrame([(1,)], "date int"))
+    assert sorted(map(tuple, caps.collect())) == [(1, "A", 7.0), (1, "B", None)]

@@ -8,7 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelyard.functions import selection, xsec
+from panelyard.functions.stats import drawdowns
 from panelyard.operators import asof, ranges
+from panelyard.sources import files
 
 
 def test_exact_quantiles_of_odd_distributions(spark):
@@ -86,3 +88,14 @@ def test_asof_in_ranges_equals_the_window(spark):
         args = (left, right, "k", "t", "known", ["v"], [F.desc("v")], strict)
         want, got = asof.asof_backward(*args), asof.asof_backward(*args, parts=6)
         assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_drawdowns_and_sheets_in_ranges(spark):
+    rng = np.random.default_rng(6)
+    legs = spark.createDataFrame([("q1" if i % 3 else "q2", i, float(r)) for i, r in enumerate(rng.normal(0, 0.05, 400))], "q string, k int, r double")
+    plain, split = ({(x["q"], x["k"]): (x["cum"], x["dd"]) for x in drawdowns(legs, "r", "k", ("q",), parts=p).collect()} for p in (None, 5))
+    assert plain.keys() == split.keys() and all(split[k] == pytest.approx(v) for k, v in plain.items())
+    cells = [["x"], ["(n)", "", "Energy"], ["1", "", "A"], ["2", "", "B"], [""], ["3", "", "no block"], ["(n)", "", "Materials"], ["4"], [None], ["(n)", "", "Utilities"], *[[str(i), "", "C"] for i in range(60)]]
+    rows = spark.createDataFrame(list(enumerate(cells)), "row int, cells array<string>")
+    a, b = (sorted(map(str, files.sheet_blocks(rows, parts=p).collect())) for p in (None, 4))
+    assert a == b and len(a) == 63

@@ -74,3 +74,21 @@ def test_commands(spark, tmp_path):
     assert len(lines) == 21 and sum("False" in line for line in lines) == 1
     with pytest.raises(SystemExit):
         cli.main(["rank", "--input", "x"], spark)
+
+
+def test_panel_command_builds_once(spark, tmp_path):
+    days = [dt.date(2023, 12, 25) + dt.timedelta(days=i) for i in range(20)]
+    spark.createDataFrame([(t, t, d, 10.0 + i) for t in ("A", "B") for i, d in enumerate(days)], "ticker string, company_id string, date date, adj_close double").write.parquet(f"{tmp_path}/prices")
+    spark.createDataFrame([("A", days[3], "FY", "7.5")], "ticker string, available_date date, fiscal_period string, pricetoearnings string").write.parquet(f"{tmp_path}/funds")
+    spark.createDataFrame([("A", days[5], "100")], "ticker string, available_date date, totalrevenue string").write.parquet(f"{tmp_path}/rev")
+    spark.createDataFrame([("A", "x", 0), ("B", "y", 0)], "company_id string, sector string, row int").write.parquet(f"{tmp_path}/companies")
+    args = ["panel", "--input", f"{tmp_path}/prices", "--fundamentals", f"{tmp_path}/funds", "--revenue", f"{tmp_path}/rev", "--companies", f"{tmp_path}/companies", "--out", f"{tmp_path}/out", "--factors", "pricetoearnings=pe", "--trailing", "1", "--forward", "1"]
+    cli.main(args, spark)
+    panel_rows = spark.read.parquet(f"{tmp_path}/out/panel")
+    assert panel_rows.count() == 40 and panel_rows.filter("ticker = 'A' AND date = '2023-12-28'").first()["pe"] == 7.5
+    assert (tmp_path / "out" / "years.csv").read_text().splitlines() == ["year,rows,tickers", "2023,14,2", "2024,26,2"]
+    files = sorted(panel_rows.inputFiles())
+    cli.main(args, spark)
+    assert sorted(spark.read.parquet(f"{tmp_path}/out/panel").inputFiles()) == files  # equal inputs: kept
+    cli.main([*args[:-1], "2"], spark)
+    assert sorted(spark.read.parquet(f"{tmp_path}/out/panel").inputFiles()) != files
