@@ -63,10 +63,11 @@ def build_live(universe: DataFrame, companies: DataFrame, prices: DataFrame, cal
     fundamentals = clean.explode_aliases(universe, latest_vintages(calcs))
     revenue = clean.explode_aliases(universe, revenue_metrics(income))
     first = companies.groupBy("ticker").agg(F.min(F.struct("name", "industry_group_name")).alias("c")).select("ticker", F.col("c.name").alias("company"), F.col("c.industry_group_name").alias("sector_raw"))
-    frame = frame.join(clean.explode_aliases(universe, first), "ticker", "left").join(fundamentals, "ticker", "left").join(revenue, "ticker", "left")
+    frame = frame.join(clean.explode_aliases(universe, first), "ticker", "left")
+    frame = clean.map_groups(frame, "sector_raw", sectors)  # before the larger joins, which its check need not run
+    frame = frame.join(fundamentals, "ticker", "left").join(revenue, "ticker", "left")
     stats = live_price_stats(prices.withColumn("adj_close", number("adj_close")), bench, **windows)
     frame = frame.join(stats.select("ticker", F.col("vol").alias("vol_126d"), F.col("mom").alias("mom_12_1"), F.col("beta").alias("__beta")), "ticker", "left")
-    frame = clean.map_groups(frame, "sector_raw", sectors)
     w = Window.partitionBy("sector").orderBy("ticker")
     frame = frame.select(
         "*", F.col("close").alias("price"), F.coalesce("beta", "__beta").alias("trailing_beta"), earnings_yield("pe_ratio").alias("earn_yield"), fcf_margin("freecashflow", "ttm").alias("fcf_margin"), F.col("yoy").alias("sales_growth_q"),
