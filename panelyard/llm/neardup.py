@@ -182,6 +182,16 @@ def sketched(words: Sequence[str], least: float = SIMILAR) -> np.ndarray:
     return order_minhash(grams(words, _k(least)), sketches(least))
 
 
+def _near(stretches: dict[int, int], first: int, last: int) -> int:
+    """Bits of rows ``first`` to ``last``, and perhaps of some behind."""
+    found = 0
+    for c in stretches if len(stretches) < (last - first) // STRETCH + 2 else range(max(0, first) // STRETCH, last // STRETCH + 1):
+        at = c * STRETCH - first
+        if bits := stretches.get(c):
+            found |= bits << at if at >= 0 else bits >> -at
+    return found
+
+
 def distance(a: Sequence, b: Sequence, most: int) -> int:
     """Edit distance of two sequences if it is at most ``most``, else most + 1.
 
@@ -203,26 +213,23 @@ def distance(a: Sequence, b: Sequence, most: int) -> int:
     if not b:
         return len(a)
     k, extra = min(most, len(a)), len(a) - len(b)
-    rows: dict = {}  # of each word the rows it is in, as bits of stretches, so that a bit set has no more bits than a stretch
+    short = len(a) <= STRETCH
+    rows: dict = {}  # of each word the rows it is in, as bits; of a long text as bits of stretches, which are no longer than a stretch
     for i, x in enumerate(a):
-        own = rows.setdefault(x, {})
-        own[i // STRETCH] = own.get(i // STRETCH, 0) | 1 << i % STRETCH
-    nothing: dict = {}
+        if short:
+            rows[x] = rows.get(x, 0) | 1 << i
+        else:
+            own = rows.setdefault(x, {})
+            own[i // STRETCH] = own.get(i // STRETCH, 0) | 1 << i % STRETCH
     full = (1 << (2 * k + 1)) - 1
     diagonal = 1 << (k + extra)
     plus, minus, dist = full & ~((1 << k) - 1), 0, extra
     for j, x in enumerate(b):  # column j + 1 covers rows j + 1 - k ..
-        found, first = 0, j - k
-        own = rows.get(x, nothing)
-        if len(own) == 1 or len(own) < (2 * k) // STRETCH:
-            near = own
-        else:
-            near = range(max(0, first) // STRETCH, (j + k) // STRETCH + 1)
-        for c in near:
-            if bits := own.get(c):
-                at = c * STRETCH - first
-                found |= bits << at if at >= 0 else bits >> -at
-        found &= full
+        found = rows.get(x, 0)
+        if found and short:
+            found = (found >> (j - k) if j >= k else found << (k - j)) & full
+        elif found:
+            found = _near(found, j - k, j + k) & full
         same = ((((found & plus) + plus) ^ plus) | found | minus) & full
         right_plus, right_minus = (minus | ~(same | plus)) & full, same & plus
         if not same & diagonal:
