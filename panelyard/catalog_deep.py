@@ -26,7 +26,7 @@ def zip_round_trip(spark, d):
     li = ad.read(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("l_orderkey"), F.col("l_linenumber").cast("string").alias("l_linenumber"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("shipped"), F.concat("l_returnflag", F.lit(', "'), "l_linestatus", F.lit('"')).alias("flags"))
     folder = scratch_path(spark, "zips")
     zips.write_zips(li, folder, "lines", member_rows=50_000)
-    return zips.read_zips(spark, folder, "lines", split=4 << 20).drop("file_no")
+    return zips.read_zips(spark, folder, "lines", columns=li.columns, split=4 << 20).drop("file_no")
 
 
 def _report(spark: SparkSession, report: dict) -> DataFrame:

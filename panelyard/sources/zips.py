@@ -87,10 +87,37 @@ def archives(folder: str, prefix: str = "", contains: str = "") -> list[str]:
     return sorted(p for p in names if fits(p.rsplit("/", 1)[-1]))
 
 
+class Seekable(io.RawIOBase):
+    """An Arrow file as ``zipfile`` takes it: a seek to before the file's start, which it tries on archives of a few bytes, is an OSError."""
+
+    def __init__(self, f: pa.NativeFile):
+        self.f = f
+
+    def seekable(self) -> bool:
+        return True
+
+    def readable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.f.tell()
+
+    def seek(self, to: int, whence: int = io.SEEK_SET) -> int:
+        at = to + (0, self.f.tell(), self.f.size())[whence]
+        if at < 0:
+            raise OSError(f"seek to {at}")
+        return self.f.seek(at)
+
+    def readinto(self, into) -> int:
+        data = self.f.read(len(into))
+        into[: len(data)] = data
+        return len(data)
+
+
 def members(folder: str, path: str) -> list[Range]:
-    """The CSV members of an archive, from its central directory, each as one range."""
+    """The CSV members of an archive, from its central directory, each as one range; an archive may have none."""
     numbers = re.findall(r"\d+", path.rsplit("/", 1)[-1])
-    with store(folder)[0].open_input_file(path) as f, zipfile.ZipFile(f) as z:
+    with store(folder)[0].open_input_file(path) as f, zipfile.ZipFile(Seekable(f)) as z:
         out = []
         for i in sorted(z.infolist(), key=lambda i: i.filename):
             if i.filename.lower().endswith(".csv") and i.file_size:
@@ -235,7 +262,7 @@ class ZipCsvReader(DataSourceReader):
     def partitions(self) -> list[Ranges]:
         with ThreadPoolExecutor(LISTERS) as pool:
             found = [m for own in pool.map(lambda p: members(self.folder, p), self.source.found()) for m in own]
-        return [Ranges(p) for p in planned(found, self.split, not self.multi)]
+        return [Ranges(p) for p in planned(found, self.split, not self.multi)] or [Ranges([])]  # of no partitions Spark makes one that is None
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         where = store(self.folder)[0]
@@ -289,13 +316,16 @@ class ZipCsvWriter(DataSourceArrowWriter):
             if out is not None:
                 out.close()
                 held.close()
+        if not member:  # a task without rows leaves no archive
+            where.delete_file(staged)
+            return Written("", "")
         return Written(staged, f"{path}/{self.prefix}-{self.job[:8]}_file-{number}.zip")
 
     def commit(self, messages: list[Written | None]) -> None:
         where, path = store(self.folder)
         before = archives(self.folder) if self.overwrite else []
         for m in messages:
-            if m is not None:
+            if m is not None and m.staged:
                 where.move(m.staged, m.name)
         for old in before:
             where.delete_file(old)

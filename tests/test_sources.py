@@ -95,6 +95,18 @@ def scans(df):
     return df._jdf.queryExecution().executedPlan().toString().count("FileScan")
 
 
+def test_tasks_without_rows_and_archives_without_members(spark, tmp_path):
+    df = spark.range(0, 100, 1, 4).filter("id < 25").select(F.col("id").cast("string").alias("id"))  # three of four tasks have no rows
+    for name in ("z", "none"):
+        (tmp_path / name).mkdir()
+        zipfile.ZipFile(tmp_path / name / "lines-0_file-9.zip", "w").close()  # 22 bytes, as earlier versions left them
+    zips.write_zips(df, str(tmp_path / "z"), "lines")
+    assert len(zips.archives(str(tmp_path / "z"))) == 2 and not [x for x in os.listdir(tmp_path / "z") if x.startswith("_")]
+    assert sorted(int(r["id"]) for r in zips.read_zips(spark, str(tmp_path / "z"), "lines").collect()) == list(range(25))
+    zips.write_zips(df.filter("id < 0"), str(tmp_path / "none"), "lines")
+    assert zips.read_zips(spark, str(tmp_path / "none"), "lines", columns=["id"]).count() == 0
+
+
 def test_load_report_equals_counts(spark, tmp_path):
     spark.createDataFrame(RAW, "DATE string, TICKER string, ADJ_CLOSE string, n int").write.parquet(f"{tmp_path}/raw")
     raw = spark.read.parquet(f"{tmp_path}/raw")
