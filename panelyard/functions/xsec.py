@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from . import selection
 
 
@@ -62,18 +63,40 @@ def quantile_labels(df: DataFrame, x: str, by: Sequence[str], n: int = 5, out: s
     ``group_percentiles``.
     """
     least = n if least is None else least
-    points, counts = [i / n for i in range(n + 1)], (F.count(x).alias("__n"), F.count_distinct(x).alias("__d"))
+    points = [i / n for i in range(n + 1)]
     if hot is None:
-        edges = df.groupBy(*by).agg(F.percentile(x, F.array(*map(F.lit, points))).alias("__e"), *counts)
+        rows = _with_sorted_edges(df, x, by, points)
     else:
-        edges = group_percentiles(df, x, by, points, "__e", hot).join(df.groupBy(*by).agg(*counts), list(by))
-    edges = edges.withColumn("__e", F.array_sort(F.array_distinct("__e")))
+        df = written(df, "label-rows")  # the edges must come from the very values that are labelled
+        edges = group_percentiles(df, x, by, points, "__e", hot).join(df.groupBy(*by).agg(F.count(x).alias("__n"), F.count_distinct(x).alias("__d")), list(by))
+        rows = df.join(edges, list(by), "left")
+    rows = rows.withColumn("__e", F.array_sort(F.array_distinct("__e")))
     good = (F.col("__n") >= least) & (F.col("__d") >= n)
     if need_all:
         good = good & (F.size("__e") == n + 1)
+    for c in by:  # rows without a group have no edges
+        good = good & F.col(c).isNotNull()
     interior = F.slice("__e", F.lit(2), F.greatest(F.size("__e") - 2, F.lit(0)))
     label = 1 + F.size(F.filter(interior, lambda e: e < F.col(x)))
-    return df.join(edges, list(by), "left").withColumn(out, F.when(F.col(x).isNotNull() & good, label.cast("int"))).drop("__e", "__n", "__d")
+    return rows.withColumn(out, F.when(F.col(x).isNotNull() & good, label.cast("int"))).drop("__e", "__n", "__d")
+
+
+def _with_sorted_edges(df: DataFrame, x: str, by: Sequence[str], points: Sequence[float]) -> DataFrame:
+    """Adds __e, the interpolated percentiles of x in the row's group, __n values and __d distinct values of it.
+
+    All from one sort of the rows themselves: edges aggregated beside the rows would come from another run of the plan,
+    whose float sums may differ in the last bit, and then all rows tied at an edge change sides.
+    """
+    whole, order = _over(by), _over(by).orderBy(F.asc_nulls_last(x))
+    rows = df.withColumns({"__i": F.row_number().over(order), "__d": F.dense_rank().over(order), "__n": F.count(x).over(whole)})
+    at = [F.lit(p) * (F.col("__n") - 1) for p in points]
+    low, high = ([F.max(F.when(F.col("__i") == f(a) + 1, F.col(x).cast("double"))).over(whole) for a in at] for f in (F.floor, F.ceil))
+    rows = rows.withColumns({"__d": F.max(F.when(F.col(x).isNotNull(), F.col("__d"))).over(whole)} | {f"__{k}{i}": c for k, cs in (("l", low), ("h", high)) for i, c in enumerate(cs)})
+    edges = []
+    for i, a in enumerate(at):
+        lo, hi = F.col(f"__l{i}"), F.col(f"__h{i}")
+        edges.append(F.when(lo == hi, lo).otherwise((F.ceil(a) - a) * lo + (a - F.floor(a)) * hi))
+    return rows.withColumn("__e", F.array(*edges)).drop("__i", *[f"__{k}{i}" for k in "lh" for i in range(len(points))])
 
 
 def average_rank(x: str, by: Sequence[str]) -> Column:

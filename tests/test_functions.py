@@ -57,6 +57,17 @@ def test_quantile_labels_with_collapsed_edges(spark):
     assert {r["q"] for r in xsec.quantile_labels(df, "x", ["g"], need_all=True).collect()} == {None}
 
 
+@pytest.mark.parametrize("hot", [None, 100])
+def test_quantile_labels_come_from_the_labelled_values(spark, hot):
+    noise = F.udf(lambda v: v + float(np.random.default_rng().random()), "double").asNondeterministic()  # another draw in each run of the plan
+    df = spark.range(0, 400, 1, 4).select("id", (F.col("id") % 2).alias("g"), noise(F.lit(0.0)).alias("x"))
+    rows = pd.DataFrame([r.asDict() for r in xsec.quantile_labels(df, "x", ["g"], hot=hot).collect()])
+    assert len(rows) == 400
+    for _, own in rows.groupby("g"):
+        assert own["q"].tolist() == (pd.qcut(own["x"], 5, labels=False) + 1).tolist()
+    assert {r["q"] for r in xsec.quantile_labels(df.withColumn("g", F.lit(None).cast("int")), "x", ["g"], hot=hot).collect()} == {None}
+
+
 def test_percentile_winsor(spark):
     df = spark.createDataFrame([(1, 0.01)] * 199 + [(1, 100.0)], "g int, x double")
     assert one(xsec.winsorize_percentiles(df, "x", ["g"]).agg(F.max("x"))) < 100.0
