@@ -139,6 +139,15 @@ def test_rank_ic(spark):
     assert ic(n, [1] * 40) is None and ic(range(3), range(3)) is None
 
 
+def test_a_rank_correlation_of_nothing_is_zero(spark):
+    pairs = [(p // 7 + 0.0, (p * 3) % 7 + 0.0) for p in range(49)]  # every x with every y
+    df = spark.createDataFrame([(d, *p) for d in range(20) for p in (pairs if d % 2 else pairs[::-1])], "date int, x double, y double").repartition(5)
+    ics = lab.ic_series(df, "x", "y", least=30)
+    assert {r["ic"] for r in ics.collect()} == {0.0} and lab.ic_summary(ics).first()["hit_rate"] == 0.0
+    one = lab.ic_series(df.withColumn("y", F.lit(1.1)), "x", "y", least=30)
+    assert {r["ic"] for r in one.collect()} == {None}
+
+
 def test_quantile_returns_and_skips(spark):
     df = spark.createDataFrame([(1, float(i), float(i >= 50)) for i in range(100)] + [(2, 1.0, 0.5)] * 100, "date int, z double, r double")
     out = lab.quantile_returns(df, "z", "r").collect()
