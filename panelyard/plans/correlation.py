@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 from ..functions.nulls import covariance_corr
 from ..functions.xsec import average_rank
 
 MIN_PER_DATE, REDUNDANT = 200, 0.70
+#: Values of a date (rows times factors) up to which a task ranks the date in memory, at 16 to 20 bytes each.
+CELLS = 100_000_000
 
 
-def pair_correlations(df: DataFrame, columns: Sequence[str], method: str = "pearson", date: str = "date", least: int = MIN_PER_DATE) -> DataFrame:
+def pair_correlations(df: DataFrame, columns: Sequence[str], method: str = "pearson", date: str = "date", least: int = MIN_PER_DATE, cells: int = CELLS) -> DataFrame:
     """date, factor_a, factor_b, corr (a < b) of complete pairs, on dates of at least ``least`` rows.
 
     Pearson: every pair is a few sums over the date's rows, so all pairs are one aggregation of the
@@ -22,7 +27,7 @@ def pair_correlations(df: DataFrame, columns: Sequence[str], method: str = "pear
     cols = sorted(columns)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
     if method != "pearson":
-        return _spearman(df, cols, date, least)
+        return _spearman(df, cols, date, least, cells)
     aggs = [F.when(F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)) >= least, covariance_corr(a, b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]
     wide = df.groupBy(date).agg(F.count(F.lit(1)).alias("__n"), *aggs).filter(F.col("__n") >= least)
     return _long(wide, pairs, [date]).filter(F.col("corr").isNotNull())
@@ -46,7 +51,69 @@ def null_classes(df: DataFrame, columns: Sequence[str], date: str = "date", leas
     return wide.select(date, F.array(*first).alias("classes"))
 
 
-def _spearman(df: DataFrame, cols: Sequence[str], date: str, least: int) -> DataFrame:
+def _spearman(df: DataFrame, cols: Sequence[str], date: str, least: int, cells: int) -> DataFrame:
+    """Rank correlations of complete pairs, each date's in one task by columns; dates of more than ``cells`` values by windows, which spill.
+
+    Rows are exchanged once by date and not multiplied.  Rows per date are counted first: a row for each date comes to the driver.
+    """
+    df = df.filter(F.col(date).isNotNull())
+    counts = {r[0]: r[1] for r in df.groupBy(date).count().filter(F.col("count") >= least).collect()}
+    large = [d for d, n in counts.items() if n * len(cols) > cells]
+    schema = StructType().add(date, df.schema[date].dataType).add("factor_a", StringType()).add("factor_b", StringType()).add("corr", DoubleType())
+
+    def ranked(key: tuple[pa.Scalar], rows: pa.Table) -> pa.Table:
+        found = list(_rank_correlations(rows, cols, least)) if rows.num_rows >= least else []
+        names = [pa.array([f[i] for f in found], pa.string()) for i in (0, 1)]
+        return pa.table([pa.array([key[0].as_py()] * len(found), key[0].type), *names, pa.array([f[2] for f in found], pa.float64())], names=schema.names)
+
+    small = df.filter(~F.col(date).isin(large)) if large else df
+    out = small.select(date, *[F.col(c).cast("double").alias(c) for c in cols]).groupBy(date).applyInArrow(ranked, schema)
+    return out.unionByName(_spearman_by_windows(df.filter(F.col(date).isin(large)), cols, date, least)) if large else out
+
+
+def _centred_ranks(x: np.ndarray) -> np.ndarray:
+    """Twice the average rank less its mean, n + 1: whole numbers. NaNs are ties, above all others."""
+    order = np.argsort(x)
+    x = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) & ~(np.isnan(x[1:]) & np.isnan(x[:-1]))
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(x))
+    out = np.empty(len(x))
+    out[order] = np.repeat((starts + ends - len(x)).astype(float), ends - starts)
+    return out
+
+
+def _rank_correlations(rows: pa.Table, cols: Sequence[str], least: int):
+    """(factor_a, factor_b, corr) of one date. Factors with equal null patterns are a class; all pairs of two classes share their complete rows and ranks."""
+    classes: list[tuple[np.ndarray, list[int]]] = []
+    for i, c in enumerate(cols):
+        there = rows[c].is_valid().to_numpy()
+        own = next((own for mask, own in classes if np.array_equal(mask, there)), None)
+        if own is None:
+            classes.append((there, [i]))
+        else:
+            own.append(i)
+
+    def ranks(i: int, mask: np.ndarray) -> tuple[np.ndarray, float]:
+        r = _centred_ranks(rows[cols[i]].fill_null(0.0).to_numpy()[mask])
+        return r, float(np.sqrt(r @ r))
+
+    for a, (mask, some) in enumerate(classes):
+        for b, (other, rest) in enumerate(classes[a:], a):
+            both = mask & other
+            if int(both.sum()) < least:
+                continue
+            held = {i: ranks(i, both) for i in some}
+            for j in rest:
+                y, sy = held[j] if a == b else ranks(j, both)
+                for i in some:
+                    x, sx = held[i]
+                    if (a != b or i < j) and sx > 0 and sy > 0:
+                        yield cols[min(i, j)], cols[max(i, j)], float(x @ y) / (sx * sy)
+
+
+def _spearman_by_windows(df: DataFrame, cols: Sequence[str], date: str, least: int) -> DataFrame:
     """Rank correlations of complete pairs, ranked once for all pairs with the same complete rows.
 
     The ranks of a pair depend on its complete rows, and these only on where its two factors are null.
@@ -93,8 +160,6 @@ def ranked_pairs(corr: DataFrame) -> DataFrame:
 
 def matrix(corr: DataFrame, columns: Sequence[str]):
     """The k x k matrix on the driver; k is the number of factors, some dozens."""
-    import numpy as np
-
     cols = sorted(columns)
     out = np.eye(len(cols))
     for r in corr.collect():
@@ -105,8 +170,6 @@ def matrix(corr: DataFrame, columns: Sequence[str]):
 
 def pca(corr) -> dict:
     """Eigenvalues (descending, none below 0), explained shares, cumulative shares, loadings."""
-    import numpy as np
-
     values, vectors = np.linalg.eigh(np.asarray(corr, float))
     order = np.argsort(-values)
     values, vectors = np.maximum(values[order], 0.0), vectors[:, order]
@@ -115,8 +178,6 @@ def pca(corr) -> dict:
 
 
 def effective_dimensions(result: dict, shares: Sequence[float] = (0.8, 0.9)) -> dict[str, int]:
-    import numpy as np
-
     out = {"kaiser_gt1": int((result["eigenvalues"] > 1).sum())}
     return out | {f"n_pc_{round(100 * s)}pct": int(np.searchsorted(result["cumulative"], s)) + 1 for s in shares}
 

@@ -39,6 +39,18 @@ def test_spearman_ranks_each_class_once(spark):
     assert classes == {0: [0, 0, 2, 2, 0], 1: [0, 0, 0, 0, 4], 2: [0, 1, 1, 1, 1]}
 
 
+def test_rows_are_not_multiplied_and_large_dates_go_by_windows(spark):
+    rng = np.random.default_rng(2)
+    cols = ["a", "b", "c", "d"]
+    rows = [(int(d), *[None if rng.random() < 0.2 else float(v) for v in vs]) for d, *vs in np.column_stack([rng.integers(0, 3, 900), rng.integers(0, 9, (900, 4))])]
+    rows += [(3, float(i), 1.0, 0.0 * i, float("nan") if i % 2 else float(i)) for i in range(50)] + [(3, None, None, None, None)] * 10 + [(None, 1.0, 2.0, 3.0, 4.0)] * 50
+    df = spark.createDataFrame(rows, "date int, a double, b double, c double, d double").repartition(3)
+    inside, windows, some = ({tuple(r)[:3]: r["corr"] for r in correlation.pair_correlations(df, cols, "spearman", least=30, cells=n).collect()} for n in (10**9, 0, 1220))
+    assert inside == pytest.approx(windows) and some == pytest.approx(windows) and len(windows) == 19 and (3, "a", "d") in windows
+    plan = correlation.pair_correlations(df, cols, "spearman", least=30)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan
+
+
 def test_clusters_of_two_hundred_factors(spark):
     rng = np.random.default_rng(1)
     names, k = [f"f{i:03d}" for i in range(200)], 200
