@@ -57,21 +57,16 @@ def scan(df: DataFrame, by: Sequence[str], order: Sequence[str], outputs: Mappin
 def average_ranks(df: DataFrame, x: str, by: Sequence[str], out: str = "rank", parts: int | None = None) -> DataFrame:
     """Adds the rank of x within ``by``, ties at their mean rank; rows without x are dropped.
 
-    Runs of equal values may go over the borders of ranges; each value at a border has its
-    run added up over all ranges.
+    Rows with equal values are counted first (before the exchange, too), so only the distinct values are put in order, by ranges,
+    and the rows look their rank up: no task holds or sorts a run of ties, and with few distinct values the rows stay where they are.
     """
     by = list(by)
-    t = ranged(df.filter(F.col(x).isNotNull()), by, [x], parts, spread_ties=True)
-    per = t.groupBy(*by, "__range").agg(F.count(F.lit(1)).alias("__n"), F.min(x).alias("__lo"), F.max(x).alias("__hi"))
+    rows = df.filter(F.col(x).isNotNull())
+    t = ranged(rows.groupBy(*by, x).agg(F.count(F.lit(1)).alias("__c")), by, [x], parts)
+    per = t.groupBy(*by, "__range").agg(F.sum("__c").alias("__n"))
     before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    per = written(per.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))), "range-counts")
-    placed = t.alias("l").join(per.alias("r"), _same(by, "__range")).select("l.*", "__n", "__lo", "__hi", "__before")
-    edge = placed.filter((F.col(x) == F.col("__lo")) | (F.col(x) == F.col("__hi")))
-    edge = edge.groupBy(*by, "__range", x, "__n", "__hi", "__before").agg(F.count(F.lit(1)).alias("__c"))
-    below = F.col("__before") + F.when(F.col(x) == F.col("__hi"), F.col("__n") - F.col("__c")).otherwise(0)
-    runs = written(edge.groupBy(*by, x).agg(F.count(F.lit(1)).alias("__ranges"), F.min(below).alias("__below"), F.sum("__c").alias("__ties")).filter("__ranges > 1"), "border-runs")
-    inside = Window.partitionBy(*by, "__range")
-    placed = placed.withColumn("__r", F.rank().over(inside.orderBy(x)) + F.col("__before") - 1).withColumn("__t", F.count(F.lit(1)).over(Window.partitionBy(*by, "__range", x)))
-    found = placed.alias("l").join(runs.alias("r"), _same(by, x), "left").select("l.*", "__below", "__ties")
-    rank = F.coalesce("__below", "__r") + (F.coalesce("__ties", "__t") + 1) / F.lit(2.0)
-    return found.withColumn(out, rank).drop("__range", "__n", "__lo", "__hi", "__before", "__r", "__t", "__below", "__ties")
+    per = per.select(*by, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    upto = F.sum("__c").over(Window.partitionBy(*by, "__range").orderBy(x).rowsBetween(Window.unboundedPreceding, 0))
+    found = t.alias("l").join(F.broadcast(per.alias("r")), _same(by, "__range")).select(*[f"l.{c}" for c in by], F.col(f"l.{x}"), "l.__range", "__c", "__before")
+    found = found.select(*by, x, (F.col("__before") + upto - (F.col("__c") - 1) / F.lit(2.0)).alias(out))
+    return rows.alias("l").join(written(found, "ranks").alias("r"), _same(by, x)).select("l.*", F.col(f"r.{out}"))

@@ -59,6 +59,19 @@ def test_average_ranks_equal_the_window(spark):
     assert ranges.average_ranks(df.filter("false"), "x", ["g"]).count() == 0
 
 
+def test_average_ranks_put_only_distinct_values_in_order(spark, monkeypatch):
+    counts, plain = [], ranges.ranged
+
+    def counted(df, *args, **options):
+        counts.append(df.count())
+        return plain(df, *args, **options)
+
+    monkeypatch.setattr(ranges, "ranged", counted)
+    df = spark.range(20_000).select((F.col("id") % 2).alias("g"), (F.col("id") % 50).cast("double").alias("x"))
+    ranks = {(r["g"], r["x"], r["rank"]) for r in ranges.average_ranks(df, "x", ["g"], parts=4).collect()}
+    assert ranks == {(x % 2, float(x), x // 2 * 400 + 200.5) for x in range(50)} and counts == [50]
+
+
 def test_scan_equals_the_window(spark):
     rng = np.random.default_rng(3)
     rows = [(["a", "b", None][int(g)], i, None if rng.random() < 0.6 else float(rng.normal())) for i, g in enumerate(rng.choice(3, 2000, p=[0.9, 0.05, 0.05]))]
