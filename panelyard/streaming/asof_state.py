@@ -26,41 +26,49 @@ class AsOf(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.vintages = handle.getMapState("vintages", "us bigint", StructType().add("rank", LongType()).add("known", self.known))
+        self.vintages = handle.getListState("vintages", StructType().add("us", LongType()).add("rank", LongType()).add("known", self.known))
         self.open = handle.getListState("open", StructType().add("us", LongType()).add("row", self.row))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        first = None
-        for _, _, us, side, row, known, order in rows:
+        opened, known = [], []
+        for _, _, us, side, row, own, order in rows:
             if side:
-                self.open.appendValue((us, _fields(row, self.row)))
-                first = us if first is None else min(first, us)
-            elif not self.vintages.containsKey((us,)) or self.vintages.getValue((us,))[0] < order:  # of equal times the greatest order
-                self.vintages.updateValue((us,), (order, _fields(known, self.known)))
-        if first is not None:
-            self.handle.registerTimer(first // 1000 + 1)
+                opened.append((us, _fields(row, self.row)))
+            else:
+                known.append((us, order, _fields(own, self.known)))
+        if known:  # a call to the state store for each list, not for each row
+            self.vintages.appendList(known)
+        if opened:
+            self.open.appendList(opened)
+            self.handle.registerTimer(min(us for us, _ in opened) // 1000 + 1)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
         waiting = sorted(((us, tuple(row)) for us, row in self.open.get()), key=lambda x: x[0])
-        vintages = sorted(((k[0], tuple(v[1])) for k, v in self.vintages.iterator()), key=lambda x: x[0]) if waiting else []
+        if not waiting:  # an earlier timer of this key let them go
+            return
+        best: dict[int, tuple[int, tuple]] = {}
+        for us, order, known in self.vintages.get():
+            if us not in best or best[us][0] < order:  # of equal times the greatest order
+                best[us] = (order, tuple(known))
+        vintages = sorted(best.items())
         done, at, last = 0, 0, (None,) * len(self.known)
         for us, row in waiting:
             if us >= now:
                 break
             while at < len(vintages) and vintages[at][0] <= us:
-                last = vintages[at][1]
+                last = vintages[at][1][1]
                 at += 1
             done += 1
             yield Row(**dict(zip(self.fields, (*row, *last), strict=True)))
         if rest := waiting[done:]:
             self.open.put(rest)
             self.handle.registerTimer(rest[0][0] // 1000 + 1)
-        elif waiting:
+        else:
             self.open.clear()
-        for us, _ in [v for v in vintages if v[0] < now][:-1]:
-            self.vintages.removeKey((us,))
+        if old := max(0, sum(us < now for us, _ in vintages) - 1):
+            self.vintages.put([(us, *v) for us, v in vintages[old:]])
 
 
 def _fields(value, schema: StructType) -> tuple:

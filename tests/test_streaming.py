@@ -4,6 +4,7 @@ import datetime as dt
 
 import numpy as np
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructType
 
 from panelyard.operators import asof
 from panelyard.streaming import asof_state, vintages
@@ -47,3 +48,41 @@ def test_stateful_asof_equals_the_batch_join(spark, tmp_path):
     assert len(query.recentProgress) >= 5
     kept = query.recentProgress[-1].stateOperators[0]
     assert kept.numRowsTotal < 40  # a vintage for each key and the closing rows, of 200 rows
+
+
+def test_state_is_written_by_lists():
+    class Store:
+        def __init__(self):
+            self.rows, self.calls = [], 0
+
+        def appendList(self, rows):
+            self.rows, self.calls = self.rows + rows, self.calls + 1
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows, self.calls = rows, self.calls + 1
+
+        def clear(self):
+            self.put([])
+
+    class Handle(dict):
+        def getListState(self, name, _):
+            return self.setdefault(name, Store())
+
+        def registerTimer(self, at):
+            self["timer"] = at
+
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return 500
+
+    handle, join = Handle(), asof_state.AsOf(StructType().add("i", LongType()), StructType().add("x", DoubleType()))
+    join.init(handle)
+    rows = [(None, None, 1000 * t, 1, (t,), None, None) for t in range(1000)] + [(None, None, 10_000 * t, 0, None, (float(t + o),), o) for t in range(100) for o in (5, 0)]
+    assert list(join.handleInputRows(("k",), iter(rows))) == [] and handle["timer"] == 1
+    got = [(r["i"], r["x"]) for r in join.handleExpiredTimer(("k",), Now(), None)]
+    assert got == [(t, float(t // 10 + 5)) for t in range(500)] and handle["timer"] == 501
+    assert len(handle["open"].rows) == 500 and len(handle["vintages"].rows) == 51
+    assert handle["open"].calls + handle["vintages"].calls == 4
