@@ -81,7 +81,7 @@ def test_state_is_written_by_lists():
     handle, join = Handle(), asof_state.AsOf(StructType().add("i", LongType()), StructType().add("x", DoubleType()))
     join.init(handle)
     rows = [(None, None, 1000 * t, 1, (t,), None, None) for t in range(1000)] + [(None, None, 10_000 * t, 0, None, (float(t + o),), o) for t in range(100) for o in (5, 0)]
-    assert list(join.handleInputRows(("k",), iter(rows))) == [] and handle["timer"] == 1
+    assert list(join.handleInputRows(("k",), iter(rows), None)) == [] and handle["timer"] == 1
     got = [(r["i"], r["x"]) for r in join.handleExpiredTimer(("k",), Now(), None)]
     assert got == [(t, float(t // 10 + 5)) for t in range(500)] and handle["timer"] == 501
     assert len(handle["open"].rows) == 500 and len(handle["vintages"].rows) == 51
