@@ -184,11 +184,14 @@ def run_backtest(prices: DataFrame, signals: DataFrame, trades: DataFrame, rules
         prices = keep(prices.select("date", "ticker", "px"))
         cal = local(calendar(prices))
         per = periods(cal, trades, rules.lag)
-        labels = keep(label_periods(signals, prices, per, cal, rules, by))
-        counts = local(labels.groupBy(*by, "k", "q").agg(F.count(F.lit(1)).alias("__n")))  # a row for each leg and period
-        weights = labels.join(F.broadcast(counts), [*by, "k", "q"]).select(*by, "q", "k", "ticker", (F.lit(1.0) / F.col("__n")).alias("w"))
-        legs = _legs(counts, rules.n, by)
-        return local(leg_returns(weights, holdings(prices, per, cal, rules), legs, by).join(F.broadcast(per.select("k", "trade_date")), "k"))
+        return _label_returns(keep(label_periods(signals, prices, per, cal, rules, by)), prices, per, cal, rules, by)
+
+
+def _label_returns(labels: DataFrame, prices: DataFrame, per: DataFrame, cal: DataFrame, rules: Rules, by: Sequence[str]) -> DataFrame:
+    counts = local(labels.groupBy(*by, "k", "q").agg(F.count(F.lit(1)).alias("__n")))  # a row for each leg and period
+    weights = labels.join(F.broadcast(counts), [*by, "k", "q"]).select(*by, "q", "k", "ticker", (F.lit(1.0) / F.col("__n")).alias("w"))
+    legs = _legs(counts, rules.n, by)
+    return local(leg_returns(weights, holdings(prices, per, cal, rules), legs, by).join(F.broadcast(per.select("k", "trade_date")), "k"))
 
 
 def net(returns: DataFrame, cost_bps: float) -> DataFrame:
@@ -209,17 +212,22 @@ def cap_frame(panel: DataFrame, ends: DataFrame, cap: str = "market_cap") -> Dat
 def sensitivities(prices: DataFrame, signals: DataFrame, trades: DataFrame, rules: Rules = Rules(), cost_bps: float = 10.0, loss: float = -1.0, floor: float | None = 5.0) -> DataFrame:
     """run, and the net spread report of: ``full``, ``delist100`` (an entity that is gone for good loses ``loss``) and ``px5`` (no score at a price below ``floor``, or without one).
 
-    Signals: date, ticker, z.  Scores and prices are the same for all, so the first two are sleeves of one run and
-    differ in the fill of what is gone; the third runs beside them as a sleeve with fewer scores.
+    Signals: date, ticker, z.  Scores and prices are read once for all; the first two have the same labels and
+    differ in the fill of what is gone, the third is a sleeve with fewer scores.
     """
-    z = signals.select("date", "ticker", "z")
-    runs = z.withColumn("run", F.lit("full"))
-    if floor is not None:
-        priced = z.join(prices.select("date", "ticker", "px"), ["date", "ticker"], "left")
-        runs = runs.unionByName(priced.select("date", "ticker", price_floor("z", "px", floor).alias("z"), F.lit(f"px{floor:g}").alias("run")))
-    legs = run_backtest(prices, runs, trades, rules, by=("run",))
-    hard = run_backtest(prices, z.withColumn("run", F.lit(f"delist{-100 * loss:g}")), trades, replace(rules, gone_fill=loss if rules.gone_fill is not None else None, delist_fill=loss), by=("run",))
-    return spread_report(legs.unionByName(hard), cost_bps, rules.n, by=("run",))
+    hard = replace(rules, gone_fill=loss if rules.gone_fill is not None else None, delist_fill=loss)
+    with _Cached() as keep:
+        prices, z = keep(prices.select("date", "ticker", "px")), keep(signals.select("date", "ticker", "z"))
+        runs = z.withColumn("run", F.lit("full"))
+        if floor is not None:
+            priced = z.join(prices, ["date", "ticker"], "left")
+            runs = runs.unionByName(priced.select("date", "ticker", price_floor("z", "px", floor).alias("z"), F.lit(f"px{floor:g}").alias("run")))
+        cal = local(calendar(prices))
+        per = periods(cal, trades, rules.lag)
+        labels = keep(label_periods(runs, prices, per, cal, rules, ("run",)))
+        same = labels.filter(F.col("run") == "full").withColumn("run", F.lit(f"delist{-100 * loss:g}"))
+        both = [_label_returns(x, prices, per, cal, r, ("run",)) for x, r in ((labels, rules), (same, hard))]
+        return spread_report(both[0].unionByName(both[1]), cost_bps, rules.n, by=("run",))
 
 
 def cap_weighted_top(prices: DataFrame, signals: DataFrame, caps: DataFrame, trades: DataFrame, rules: Rules = Rules(), by: Sequence[str] = ()) -> DataFrame:

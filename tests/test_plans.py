@@ -139,6 +139,16 @@ def test_rank_ic(spark):
     assert ic(n, [1] * 40) is None and ic(range(3), range(3)) is None
 
 
+def test_sensitivities_label_once(spark, monkeypatch):
+    runs, plain = [], backtest.label_periods
+    monkeypatch.setattr(backtest, "label_periods", lambda *args: runs.append(args) or plain(*args))
+    px = prices_of(spark, {t: [10, 10, 11, 12] for t in ABCDE} | {"E": [10, 10, None, None]})
+    out = backtest.sensitivities(px, signals_of(spark, 0, ABCDE), trades_of(spark, 1, 2), backtest.Rules(clip=None), cost_bps=0.0, floor=None)
+    found = {r["run"]: r for r in out.collect()}
+    assert len(runs) == 1 and set(found) == {"full", "delist100"}
+    assert found["full"]["ann_return"] - found["delist100"]["ann_return"] == pytest.approx(12 * 0.7 / found["full"]["periods"])
+
+
 def test_a_rank_correlation_of_nothing_is_zero(spark):
     pairs = [(p // 7 + 0.0, (p * 3) % 7 + 0.0) for p in range(49)]  # every x with every y
     df = spark.createDataFrame([(d, *p) for d in range(20) for p in (pairs if d % 2 else pairs[::-1])], "date int, x double, y double").repartition(5)
